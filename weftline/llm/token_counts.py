@@ -31,7 +31,7 @@ class _Seen(dict):
 class TrieCounter:
     """Counts of the tokens in the best unigram segmentation; each distinct pre-token is worked out once."""
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 900_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, remember: int = 500_000) -> None:
         self.v, self.remember = vocabulary, remember
         own = [vocabulary.pieces[i] for i in vocabulary.matched]
         self.scores = vocabulary.scores[vocabulary.matched]
@@ -146,7 +146,7 @@ class TrieCounter:
 _COUNTERS: dict[str, TrieCounter] = {}  # of a Python worker, which runs many tasks
 
 
-def token_counts(docs: DataFrame, model_file: str = PIECES, id_col: str = "doc_id", text_col: str = "text", piece: int = 4_000_000) -> DataFrame:
+def token_counts(docs: DataFrame, model_file: str = PIECES, id_col: str = "doc_id", text_col: str = "text", piece: int = 2_000_000) -> DataFrame:
     """doc_id, n_pretokens, n_tokens of every whole text: the length of the best unigram segmentation into the pieces.
 
     Scores are those in the model file, whatever its type; characters that no piece has count as their bytes. Null and
