@@ -186,17 +186,20 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int = 27, id_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("version", F.coalesce(F.xxhash64("text"), F.lit(0)))
     found = occurrences(rows.where(F.col("doc_id").isNotNull()), k)
     repeated = found.groupBy("edge").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    repeated = materialize(repeated)  # a written table: Spark can then split a hot edge's rows in the join
     marks = materialize(found.join(repeated, "edge"))
     only = lambda c: (F.min(c) == F.max(c)) & (F.count(c) == F.count("*"))
     graph = marks.groupBy("edge").agg(F.min("next").alias("next"), F.min("prior").alias("prior"), only("next").alias("one_on"), only("prior").alias("one_to"))
     graph = materialize(graph)
     steps = graph.where("one_on").select(F.col("next").alias("step")).join(graph.where("one_to").select(F.col("prior").alias("step")), "step").distinct()
+    steps = materialize(steps)
     linked = marks.join(steps.withColumn("linked", F.lit(True)), marks["next"] == F.col("step"), "left")
     lists = linked.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("at", F.coalesce("linked", F.lit(False)).alias("linked"), "least"))).alias("marks"))
     checked = rows.join(lists, ["doc_id", "version"], "left").select("doc_id", "version", "text", "marks")
     checked = materialize(checked.mapInArrow(_check(window, k), f"doc_id {kind}, version bigint, n_words bigint, sha string, text string, sure array<int>, open array<int>, h1 array<bigint>, h2 array<bigint>"))
     open_ = checked.where(F.size("open") > 0).select("doc_id", "version", F.explode(F.arrays_zip("open", "h1", "h2")).alias("w")).select("doc_id", "version", "w.*")
     least = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = materialize(least)
     more = open_.join(least, ["h1", "h2"]).where("least < doc_id").groupBy("doc_id", "version").agg(F.collect_set("open").alias("more"))
 
     @F.pandas_udf("n_removed bigint, kept_text string")
