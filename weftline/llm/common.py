@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +71,33 @@ def by_size(texts: list, most: int = 1 << 20, longest: int = 1 << 20, overlap: i
                 out, held = [], 0
     if out:
         yield out
+
+
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, part) of parts of a batch with about `most` bytes of text each; a row is never divided."""
+    sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))
+    part = (np.cumsum(sizes) // most).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield a, texts.slice(a, b - a)
+
+
+def map_texts(docs: DataFrame, text_col: str, added: str, start: Callable[[], Callable[[pa.Array], list[pa.Array]]], piece: int = 1 << 20) -> DataFrame:
+    """docs with the columns `added` (a schema string; a column with such a name is replaced).
+
+    In each task start() gives a function from some whole texts, about `piece` bytes of them, to the added columns, so
+    that a Python worker holds a few MB besides the batch that Spark sends.
+    """
+    new = [f.split()[0] for f in added.split(", ")]
+    kept = docs.drop(*[c for c in new if c != text_col])
+    names = kept.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for b in batches:
+            for at, texts in slices(b.column(names.index(text_col)), piece):
+                own = b.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([*own.columns, *work(texts)], [*names, *new])
+
+    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), added]))

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import in_fold, materialize
+from weftline.llm.common import in_fold, map_texts, materialize
 from weftline.llm.ngrams import counts
 
 FOLDS, HELD_OUT = 4, 2
@@ -95,18 +94,22 @@ def fit(docs: DataFrame, per_language: int = 1500, orders: tuple[int, ...] = (1,
     rate = F.element_at(F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, per_language / c))]), F.col("lang"))
     train = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < rate * (1 << 30)).select("lang", "text")
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                x = features(part["text"].tolist(), orders, bits)
-                ix = [np.flatnonzero(r) for r in x]
-                yield pd.DataFrame({"lang": part["lang"].tolist(), "at": [i.tolist() for i in ix], "v": [r[i].astype(float).tolist() for r, i in zip(x, ix, strict=True)]})
+    def start():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            at, v = [], []
+            for i in range(0, len(texts), 256):
+                for r in features(texts.slice(i, 256).to_pylist(), orders, bits):
+                    at.append(np.flatnonzero(r))
+                    v.append(r[at[-1]].astype(float))
+            return [pa.array(at, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float64()))]
+
+        return work
 
     size = 1 << bits
     sparse = F.udf(lambda at, v: Vectors.sparse(size, at, v), VectorUDT())
     family = F.element_at(F.create_map(*[F.lit(v) for f, ls in groups.items() for lang in ls for v in (lang, f)]), F.col("lang"))
-    points = materialize(train.mapInPandas(vectors, "lang string, at array<int>, v array<double>").select("lang", family.alias("family"), sparse("at", "v").alias("x")))
+    found = materialize(map_texts(train, "text", "at array<int>, v array<double>", start).drop("text"))
+    points = materialize(found.select("lang", family.alias("family"), sparse("at", "v").alias("x")))
     seen = {r["lang"] for r in points.select("lang").distinct().collect()}
     groups = {f: kept for f, ls in groups.items() if (kept := [x for x in ls if x in seen])}
     machines = {}
@@ -124,14 +127,15 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     """doc_id, held_out, lang_pred, score. `und` with score 0 where the text is null or has no letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by bits and the number of language pairs
 
-    @F.pandas_udf("lang string, score double")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            langs, score = shared.value.predict(p.tolist())
-            yield pd.DataFrame({"lang": langs, "score": score})
+    def start():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            langs, score = shared.value.predict(texts.to_pylist())
+            return [pa.array(langs, pa.string()), pa.array(score)]
+
+        return work
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), in_fold(id_col, FOLDS, HELD_OUT).alias("held_out"), run(F.col(text_col)).alias("p"))
-    return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+    rows = map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "lang_pred string, score double", start)
+    return rows.select("doc_id", in_fold("doc_id", FOLDS, HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
 def identify(docs: DataFrame, **fitting) -> DataFrame:

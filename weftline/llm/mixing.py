@@ -79,7 +79,7 @@ def round_rates(sizes: np.ndarray, rates: np.ndarray, most: int = int(MOST)) ->
     return copies
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chunk: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chunk: int = 2_000) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies, taken of every row of docs.
 
     Rates become copies within chunks of about `chunk` documents of a source, chosen by a hash of the id, so that a hot

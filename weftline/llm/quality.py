@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import in_fold, materialize
+from weftline.llm.common import in_fold, map_texts, materialize
 
 #: The held-out rows of the contract: crc32(id) mod FOLDS is HELD_OUT.
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
@@ -20,7 +20,6 @@ _KINDS = np.full(256, 4, np.uint8)  # of a byte: 0 lower, 1 upper, 2 digit, 3 sp
 _KINDS[97:123], _KINDS[65:91], _KINDS[48:58], _KINDS[[32, *range(9, 14)]], _KINDS[128:] = 0, 1, 2, 3, 5
 _ODD = np.zeros(256, bool)
 _ODD[[ord(c) for c in "#$%&*@^~<>{}[]\\/|=+_"]] = True
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def measures(text: str | None) -> list[float]:
@@ -79,12 +78,8 @@ class QualityModel:
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, x (array<double>) of every whole text."""
 
-    @F.pandas_udf("array<double>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for p in parts:
-            yield pd.Series([measures(t) for t in p.tolist()])
-
-    return docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("x"))
+    start = lambda: lambda texts: [pa.array([measures(t) for t in texts.to_pylist()], pa.list_(pa.float64()))]
+    return map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "x array<double>", start).drop("text")
 
 
 def fit(x: DataFrame, labels: DataFrame, steps: int = 25, ridge: float = 1e-4, step_back: float = 0.1) -> QualityModel:

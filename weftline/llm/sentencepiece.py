@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import map_texts
 from weftline.llm.vocabulary import CONTROL, PIECES, SPACE, UNKNOWN, Vocabulary, read
 
 LETTERS_PER_KEY = 4
@@ -32,7 +32,7 @@ class _Known(dict):
 class Encoder:
     """Encodes batches of distinct pre-tokens and remembers what it has encoded, up to `remember` of them."""
 
-    def __init__(self, vocabulary: Vocabulary, batch: int = 400_000, remember: int = 500_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, batch: int = 200_000, remember: int = 300_000) -> None:
         self.v, self.batch, self.remember = vocabulary, batch, remember
         own = [vocabulary.pieces[i] for i in vocabulary.matched]
         letters = sorted(set("".join(own)))
@@ -229,9 +229,6 @@ class Encoder:
         return ids, np.diff(ends)
 
 
-_ENCODERS: dict[str, Encoder] = {}  # of a Python worker, which runs many tasks
-
-
 class Decoder:
     def __init__(self, v: Vocabulary) -> None:
         self.prefix = v.prefix
@@ -244,51 +241,23 @@ class Decoder:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, list]]:
-    """(first row, texts) of parts of a batch with about `most` characters each."""
-    sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))
-    part = (np.cumsum(sizes) // most).astype(np.int64)
-    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(sizes)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b > a:
-            yield a, texts.slice(a, b - a).to_pylist()
-
-
-def _encoder(model_file: str, vocabulary: Vocabulary) -> Encoder:
-    if model_file not in _ENCODERS:
-        _ENCODERS[model_file] = Encoder(vocabulary)
-    return _ENCODERS[model_file]
-
-
-def _mapped(docs: DataFrame, text_col: str, model_file: str, added: str, work, piece: int) -> DataFrame:
-    """docs without the added columns' names, with the columns that work(encoder, decoder, texts) returns as Arrow arrays."""
-    shared = docs.sparkSession.sparkContext.broadcast(read(model_file))
-    new = [f.split()[0] for f in added.split(", ")]
-    kept = docs.drop(*[c for c in new if c != text_col])
-    names = kept.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _encoder(model_file, shared.value), Decoder(shared.value)
-        for b in batches:
-            for at, texts in _slices(b.column(names.index(text_col)), piece):
-                own = b.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*own.columns, *work(encoder, decoder, texts)], [*names, *new])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), added])
-    return kept.mapInArrow(run, schema)
-
-
 def _ids(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def encode(docs: DataFrame, text_col: str = "text", model_file: str = PIECES, ids_col: str = "ids", piece: int = 2_000_000) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", model_file: str = PIECES, ids_col: str = "ids", piece: int = 1_000_000) -> DataFrame:
     """docs with ids (array<int>), the ids of each whole text, equal to the library's own for the model file.
 
     Null and empty texts have no ids. The vocabulary is broadcast; its size is that of the model file. Columns of docs
     are passed on as they are; a column that has the name ids_col is replaced.
     """
-    return _mapped(docs, text_col, model_file, f"{ids_col} array<int>", lambda e, d, texts: [_ids(*e.encode(texts))], piece)
+    shared = docs.sparkSession.sparkContext.broadcast(read(model_file))
+
+    def start():
+        encoder = Encoder(shared.value)
+        return lambda texts: [_ids(*encoder.encode(texts.to_pylist()))]
+
+    return map_texts(docs, text_col, f"{ids_col} array<int>", start, piece)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", model_file: str = PIECES, text_col: str = "decoded") -> DataFrame:
@@ -304,17 +273,25 @@ def decode(rows: DataFrame, ids_col: str = "ids", model_file: str = PIECES, text
     return rows.withColumn(text_col, run(F.col(ids_col)))
 
 
-def round_trip(docs: DataFrame, model_file: str = PIECES, piece: int = 2_000_000) -> DataFrame:
+def round_trip(docs: DataFrame, model_file: str = PIECES, piece: int = 1_000_000) -> DataFrame:
     """doc_id, ids, n_tokens, restored of every row: whether decoding gives the text back (its space marks read as spaces).
 
     The ids are encoded and decoded in one pass, so that they go from Python to Spark once. A null text is an empty one.
     """
 
-    def work(encoder: Encoder, decoder: Decoder, texts: list) -> list[pa.Array]:
-        ids, sizes = encoder.encode(texts)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        same = [decoder.decode(ids[a:b].tolist()) == (t or "").replace(SPACE, " ") for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
-        return [_ids(ids, sizes), pa.array(sizes.astype(np.int32)), pa.array(same)]
+    shared = docs.sparkSession.sparkContext.broadcast(read(model_file))
+
+    def start():
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            own = texts.to_pylist()
+            ids, sizes = encoder.encode(own)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            same = [decoder.decode(ids[a:b].tolist()) == (t or "").replace(SPACE, " ") for t, a, b in zip(own, ends[:-1], ends[1:], strict=True)]
+            return [_ids(ids, sizes), pa.array(sizes.astype(np.int32)), pa.array(same, pa.bool_())]
+
+        return work
 
-    rows = _mapped(docs.select("doc_id", "text"), "text", model_file, "ids array<int>, n_tokens int, restored boolean", work, piece)
+    rows = map_texts(docs.select("doc_id", "text"), "text", "ids array<int>, n_tokens int, restored boolean", start, piece)
     return rows.select("doc_id", "ids", "n_tokens", "restored")

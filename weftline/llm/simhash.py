@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import lookup, materialize
+from weftline.llm.common import lookup, map_texts, materialize
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
@@ -61,13 +61,8 @@ def fingerprints_of(texts: list[bytes | None], words_per_shingle: int = 4) -> np
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every whole text; null texts count as empty."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints_of(texts, words_per_shingle).view(np.int64))], ["doc_id", "fp"])
-
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    start = lambda: lambda texts: [pa.array(fingerprints_of(texts.cast(pa.binary()).to_pylist(), words_per_shingle).view(np.int64))]
+    return map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", "fp bigint", start).drop("text")
 
 
 class BKTree:

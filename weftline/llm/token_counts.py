@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import map_texts
 from weftline.llm.vocabulary import PIECES, Vocabulary, read
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -31,14 +30,12 @@ class _Seen(dict):
 class TrieCounter:
     """Counts of the tokens in the best unigram segmentation; each distinct pre-token is worked out once."""
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 500_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, remember: int = 300_000) -> None:
         self.v, self.remember = vocabulary, remember
         own = [vocabulary.pieces[i] for i in vocabulary.matched]
         self.scores = vocabulary.scores[vocabulary.matched]
         self.unknown = float(self.scores.min(initial=0.0)) - 10.0
-        self.power = np.ones(vocabulary.longest + 1, np.uint64)
-        for k in range(1, len(self.power)):
-            self.power[k] = self.power[k - 1] * BASE
+        self.power = np.array([pow(int(BASE), k, 1 << 64) for k in range(vocabulary.longest + 1)], np.uint64)
         self.hashes = np.zeros(len(own), np.uint64)
         lengths = np.array([len(p) for p in own])
         codes = np.zeros((len(own), vocabulary.longest), np.uint64)
@@ -143,10 +140,7 @@ class TrieCounter:
         return per_text, np.diff(sums[ends]).tolist()
 
 
-_COUNTERS: dict[str, TrieCounter] = {}  # of a Python worker, which runs many tasks
-
-
-def token_counts(docs: DataFrame, model_file: str = PIECES, id_col: str = "doc_id", text_col: str = "text", piece: int = 2_000_000) -> DataFrame:
+def token_counts(docs: DataFrame, model_file: str = PIECES, id_col: str = "doc_id", text_col: str = "text", piece: int = 1_000_000) -> DataFrame:
     """doc_id, n_pretokens, n_tokens of every whole text: the length of the best unigram segmentation into the pieces.
 
     Scores are those in the model file, whatever its type; characters that no piece has count as their bytes. Null and
@@ -155,21 +149,9 @@ def token_counts(docs: DataFrame, model_file: str = PIECES, id_col: str = "doc_i
     """
     shared = docs.sparkSession.sparkContext.broadcast(read(model_file))
 
-    @F.pandas_udf("n_pretokens bigint, n_tokens bigint")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if model_file not in _COUNTERS:
-            _COUNTERS[model_file] = TrieCounter(shared.value)
-        counter = _COUNTERS[model_file]
-        for p in parts:
-            a, b, some, held = [], [], [], 0
-            texts = p.tolist()
-            for k, t in enumerate(texts):
-                some.append(t)
-                held += len(t or "")
-                if held >= piece or k == len(texts) - 1:
-                    x, y = counter.count(some)
-                    a, b, some, held = a + x, b + y, [], 0
-            yield pd.DataFrame({"n_pretokens": a, "n_tokens": b}, dtype="int64")
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("c"))
-    return rows.select("doc_id", "c.n_pretokens", "c.n_tokens")
+    def start():
+        counter = TrieCounter(shared.value)
+        return lambda texts: [pa.array(x, pa.int64()) for x in counter.count(texts.to_pylist())]
+
+    rows = map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "n_pretokens bigint, n_tokens bigint", start, piece)
+    return rows.drop("text")

@@ -6,13 +6,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import in_fold, materialize
+from weftline.llm.common import in_fold, map_texts, materialize, slices
 from weftline.llm.ngrams import present
 
 #: The held-out rows of the contract: crc32(id) mod FOLDS is HELD_OUT.
@@ -65,17 +65,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, orders: tuple
         prior = 0.5 if not n1 + n0 else (n1 + 0.5) / (n1 + n0 + 1)
         return ToxicityModel(orders, bits, table, np.zeros(1), float(np.log(prior / (1 - prior))))
 
-    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                rows, buckets = present(part["text"].tolist(), orders, bits)
-                y = part["y"].to_numpy()[rows]
-                pos, neg = (np.bincount(buckets[y == v], minlength=1 << bits) for v in (1, 0))
-                has = np.flatnonzero(pos + neg)
-                yield pd.DataFrame({"bucket": has, "pos": pos[has], "neg": neg[has]})
-
-    df = train.select("text", "y").mapInPandas(frequencies, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+            for at, texts in slices(b.column(0), 1 << 20):
+                rows, buckets = present(texts.to_pylist(), orders, bits)
+                one = b.column(1).slice(at, len(texts)).to_numpy(zero_copy_only=False)[rows] == 1
+                has, at_has = np.unique(buckets, return_inverse=True)
+                found = [has, *(np.bincount(at_has[x], minlength=len(has)) for x in (one, ~one))]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["bucket", "pos", "neg"])
+
+    df = train.select("text", "y").mapInArrow(frequencies, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     rate = lambda c, n: (F.col(c) + 0.5) / (n + 1.0)
     both = (F.col("pos") + F.col("neg") + 1.0) / (n1 + n0 + 2.0)
     gain = lambda p, n: n * (p * F.log(p / both) + (1 - p) * F.log((1 - p) / (1 - both)))
@@ -86,15 +85,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, orders: tuple
     ratios = np.array([r["ratio"] for r in top])
     table[[r["bucket"] for r in top]] = np.arange(1, len(top) + 1)
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows, found = present(b["text"].tolist(), orders, bits, table)
-            cuts = np.searchsorted(rows, np.arange(len(b) + 1))
-            yield pd.DataFrame({"y": b["y"].astype(float), "w": b["w"], "at": [found[i:j].tolist() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]})
+    def start():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            rows, found = present(texts.to_pylist(), orders, bits, table)
+            return [pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32)), pa.array(found.astype(np.int32)))]
+
+        return work
 
     size = len(top)
     sparse = F.udf(lambda at: Vectors.sparse(size, at, ratios[at].tolist()), VectorUDT())
-    points = train.select("text", "y", "w").mapInPandas(vectors, "y double, w double, at array<int>").select("y", "w", sparse("at").alias("x"))
+    points = materialize(map_texts(train.select("text", "y", "w"), "text", "at array<int>", start).drop("text"))
+    points = points.select(F.col("y").cast("double").alias("y"), "w", sparse("at").alias("x"))
     model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=reg, standardization=False, maxIter=40).fit(materialize(points))
     return ToxicityModel(orders, bits, table, ratios * model.coefficients.toArray(), float(model.intercept))
 
@@ -103,12 +104,8 @@ def add_score(docs: DataFrame, model: ToxicityModel, name: str, text_col: str =
     """docs with the score of every whole text. Null texts score as empty ones."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by bits and features
 
-    @F.pandas_udf("double")
-    def toxic(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for p in parts:
-            yield pd.Series(shared.value.score(p.tolist()))
-
-    return docs.withColumn(name, toxic(F.col(text_col)))
+    start = lambda: lambda texts: [pa.array(shared.value.score(texts.to_pylist()))]
+    return map_texts(docs, text_col, f"{name} double", start)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
