@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from weftline import queries
-from weftline.operators import align, history, summaries
+from weftline.operators import align, assembly, history, replays, summaries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -81,3 +81,36 @@ def test_bh_is_monotone(spark):
 def test_empty_tables(spark):
     t = _trials(spark, [(1, 0, 1, 1, 1, 0)]).where("false")
     assert summaries.blocks(t).count() == 0 and history.reward_counters(t).count() == 0 and history.incorrect_runs(t).count() == 0
+
+
+def test_decayed_sums_over_many_chunks(spark):
+    rows = [(1, i, i % 3 % 2, (i * 7) % 5 % 2, 1, 0) for i in range(1000)]
+    got = [r[0] for r in replays.forgetting_q(_trials(spark, rows), 0.5).orderBy("seq").select("fq_value").collect()]
+    want, q = [], 0.0
+    for _, _, a, r, _, _ in rows:
+        want.append(q)
+        q = 0.5 * q + 0.5 * r * (2 * a - 1)
+    assert max(abs(g - w) for g, w in zip(got, want, strict=True)) < 1e-12
+
+
+def test_fold_carries_its_state_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        t = _trials(spark, [(s, i, 1, 1, 1, 0) for s in (1, 2) for i in range(20)])
+        got = replays.ordered_fold(t, "x", 0.0, lambda x, a, r: x + r).orderBy("session", "seq").select("x").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r[0] for r in got] == [float(i) for _ in (1, 2) for i in range(20)]
+
+
+def test_trials_without_outcome_and_with_two(spark):
+    names = "correct_choice_left_patch trial_start trial_start wrong_choice_right_patch invalid_switch enter_left_patch trial_start".split()
+    log = spark.createDataFrame([(1, i, i, n, "reward_True") for i, n in enumerate(names)], "session int, t int, seq int, event string, note string")
+    got = assembly.decode_outcomes(assembly.assemble_trials(log)).orderBy("trial").select("trial", "outcome", "n_outcomes", "action", "correct").collect()
+    assert [tuple(r) for r in got] == [(1, "unknown", 0, None, None), (2, "wrong_choice_right_patch", 2, 0, 0)]
+
+
+def test_welch_finds_a_tone(spark):
+    s = spark.createDataFrame([("a", i, math.sin(2 * math.pi * i / 8)) for i in range(256)] + [("short", i, 1.0) for i in range(5)], "series string, i int, v double")
+    out = {(r["series"], r["f"]): r["density"] for r in assembly.welch(s, 1.0, 32).collect()}
+    assert max(out, key=out.get) == ("a", 4) and not [k for k in out if k[0] == "short"]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import align as al
+from weftline.operators import assembly as asm
 from weftline.operators import history as hi
+from weftline.operators import replays as rp
 from weftline.operators import summaries as su
 from weftline.operators import vectors as ve
 from weftline.plans.standins import TRIALS_SQL, table, trials
@@ -27,7 +29,7 @@ def _add(name: str, run: Callable[[SparkSession, str], DataFrame], columns: str,
 
     QUERIES[name] = query
     picked = ", ".join(f"round({c[1:]}, 6) + 0.0 AS {c[1:]}" if c[0] == "~" else c for c in columns.split())
-    SQL[name] = f"WITH {TRIALS_SQL}{ctes} SELECT {picked} FROM ({sql})"
+    SQL[name] = f"WITH RECURSIVE {TRIALS_SQL}{ctes} SELECT {picked} FROM ({sql})"
     assert len(set(names)) == len(names)
 
 
@@ -188,3 +190,89 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
 
 _add("m15_binary_metrics", lambda s, d: ve.binary_metrics(_scored(s, d), ["lang"], "score", "quality"), "lang n ~accuracy ~balanced_accuracy ~precision ~recall ~brier ~auc",
      "SELECT lang, count(*) AS n, avg((h = quality)::INT) AS accuracy, (avg(h) FILTER (WHERE quality = 1) + avg(1 - h) FILTER (WHERE quality = 0)) / 2 AS balanced_accuracy, avg(quality) FILTER (WHERE h = 1) AS precision, avg(h) FILTER (WHERE quality = 1) AS recall, avg((score - quality) ^ 2) AS brier, (sum(r) FILTER (WHERE quality = 1) - sum(quality) * (sum(quality) + 1) / 2) / nullif(sum(quality) * (count(*) - sum(quality)), 0) AS auc FROM (SELECT *, (score >= 0.5)::INT AS h, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2 AS r FROM (SELECT lang, n_chars / (n_chars + 1500) AS score, quality FROM documents JOIN labels USING (doc_id))) GROUP BY 1")
+
+# Replays: the recursion of the SQL walks the trials one by one.
+REPLAY = VALID + """, fold(session, rn, seq, action, reward, ql, qr, fq, num, den, hm, hd) AS (
+  SELECT session, rn, seq, action, reward, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE, 0.5::DOUBLE FROM v WHERE rn = 1
+  UNION ALL SELECT session, rn, seq, action, reward, ql, qr, fq, num, den, h0 * 0.95 + (1 - h0) * 0.05, d0 * 0.95 + (1 - d0) * 0.05 FROM (
+    SELECT n.session, n.rn, n.seq, n.action, n.reward, f.ql + CASE WHEN f.action = 1 THEN 0.1 * (f.reward - f.ql) ELSE 0 END AS ql, f.qr + CASE WHEN f.action = 0 THEN 0.1 * (f.reward - f.qr) ELSE 0 END AS qr,
+      0.9 * f.fq + 0.1 * f.reward * (2 * f.action - 1) AS fq, exp(-0.5) * (f.num + 2 * f.action - 1) AS num, exp(-0.5) * (f.den + 1) AS den,
+      (f.hm * a + 5e-13) / (f.hm * a + (1 - f.hm) * b + 1e-12) AS h0,
+      CASE WHEN f.reward = 1 THEN (f.hd * a + 5e-13) / (f.hd * a + (1 - f.hd) * b + 1e-12) ELSE 1 / (1 + exp(-0.7 * ln(f.hd / (1 - f.hd)))) END AS d0
+    FROM (SELECT *, CASE WHEN action = 1 THEN CASE WHEN reward = 1 THEN 0.8 ELSE 0.2 END ELSE CASE WHEN reward = 1 THEN 0.1 ELSE 0.9 END END::DOUBLE AS a,
+      CASE WHEN action = 1 THEN CASE WHEN reward = 1 THEN 0.1 ELSE 0.9 END ELSE CASE WHEN reward = 1 THEN 0.8 ELSE 0.2 END END::DOUBLE AS b FROM fold) f JOIN v n ON n.session = f.session AND n.rn = f.rn + 1))"""
+_add("f01_q_learning", lambda s, d: rp.q_learning(trials(s, d)), "session seq ~q_left ~q_right ~q_value", "SELECT session, seq, ql AS q_left, qr AS q_right, ql - qr AS q_value FROM fold", REPLAY)
+_add("f02_forgetting_q", lambda s, d: rp.forgetting_q(trials(s, d)), "session seq ~fq_value", "SELECT session, seq, fq AS fq_value FROM fold", REPLAY)
+_add("c10_perseveration", lambda s, d: rp.perseveration(trials(s, d)), "session seq ~perseveration", "SELECT session, seq, CASE WHEN den = 0 THEN 0 ELSE num / den END AS perseveration FROM fold", REPLAY)
+_add("f00_f03_hmm_value", lambda s, d: rp.hmm_value(trials(s, d)), "session seq ~hmm_value", "SELECT session, seq, ln(hm / (1 - hm)) AS hmm_value FROM fold", REPLAY)
+_add("f04_hmm_reward_decay", lambda s, d: rp.hmm_reward_decay(trials(s, d)), "session seq ~hmm_decay_value", "SELECT session, seq, tanh(0.5 * ln(hd / (1 - hd))) AS hmm_decay_value FROM fold", REPLAY)
+EXPECT = SIDED + """, x0 AS (SELECT *, last_value(CASE WHEN reward = 1 THEN action END IGNORE NULLS) OVER (PARTITION BY session ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS home FROM doubt),
+x1 AS (SELECT *, coalesce((SELECT count(*) FROM v b WHERE b.session = x0.session AND b.rn < x0.rn AND b.reward = 1 AND b.rn > coalesce((SELECT max(c.rn) FROM v c WHERE c.session = x0.session AND c.rn < x0.rn AND c.reward = 1 AND c.action <> x0.home), 0)), 0) AS home_rewards FROM x0),
+expect AS (SELECT *, tanh(coalesce((2 * home - 1) * -tanh(home_rewards - 3), 0) - doubt_value) AS expectancy_value FROM x1)"""
+
+
+def _expect(s: SparkSession, d: str) -> DataFrame:
+    return rp.expectancy(hi.counterfactual_doubt(trials(s, d)))
+
+
+_add("f05_expectancy", _expect, "session seq home_rewards ~expectancy_value ~p_left", "SELECT *, (1 + expectancy_value) / 2 AS p_left FROM expect", EXPECT)
+_add("a34_signed_probability", lambda s, d: _expect(s, d).select("session", "seq", rp.signed_to_probability(F.col("expectancy_value"), "logistic", 2.0).alias("p")), "session seq ~p",
+     "SELECT session, seq, 1 / (1 + exp(-atanh(least(greatest(expectancy_value, -1 + 1e-8), 1 - 1e-8)) / 2)) AS p FROM expect", EXPECT)
+_add("f09_f10_score_replay", lambda s, d: rp.score_replay(rp.choice_probability(_expect(s, d), "expectancy_value", "logistic", 0.5)), "session n ~mean_probability ~nll ~switch_brier ~agreement",
+     "SELECT session, count(*) AS n, avg(p) AS mean_probability, avg(-ln(greatest(p, 1e-6))) AS nll, avg((CASE WHEN pa = 1 THEN 1 - pl ELSE pl END - (action <> pa)::INT) ^ 2) AS switch_brier, avg(CASE WHEN pl = 0.5 THEN 0.5 WHEN (pl > 0.5) = (action = 1) THEN 1 ELSE 0 END) AS agreement FROM (SELECT *, CASE WHEN action = 1 THEN pl ELSE 1 - pl END AS p, lag(action) OVER (PARTITION BY session ORDER BY rn) AS pa FROM (SELECT *, 1 / (1 + exp(-expectancy_value / 0.5)) AS pl FROM expect)) GROUP BY 1", EXPECT)
+_add("f06_model_panel", lambda s, d: rp.model_panel(hi.counterfactual_doubt(trials(s, d))).groupBy("session", "policy").agg(F.count("*").alias("n"), F.avg("agree").alias("agreement")), "session policy n ~agreement",
+     "SELECT session, policy, count(*) AS n, avg(CASE WHEN x = 0 THEN 0.5 WHEN (x > 0) = (action = 1) THEN 1 ELSE 0 END) AS agreement FROM (SELECT session, action, unnest(['chance', 'persistence', 'wsls', 'inverse_wsls', 'doubt']) AS policy, unnest([0, same, same * paid, -same * paid, -doubt_value]) AS x FROM (SELECT *, coalesce(2 * lag(action) OVER w - 1, 0) AS same, CASE WHEN lag(reward) OVER w = 1 THEN 1 ELSE -1 END AS paid FROM doubt WINDOW w AS (PARTITION BY session ORDER BY rn))) GROUP BY 1, 2", SIDED)
+LOG = """, lg AS (SELECT user_id AS session, ts AS t, event_id AS seq, CASE event_type WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'enter_left_patch' ELSE 'enter_right_patch' END WHEN 'view' THEN 'trial_start'
+  WHEN 'click' THEN 'correct_choice_right_patch' WHEN 'purchase' THEN 'correct_choice_left_patch' WHEN 'error' THEN 'invalid_switch' END AS event, CASE WHEN coalesce(value, 0) >= 20 THEN 'reward_True' ELSE 'reward_False' END AS note FROM events),
+lt AS (SELECT *, sum((event = 'trial_start')::INT) OVER w AS trial, sum((event LIKE 'enter_%')::INT) OVER w AS block, last_value(CASE event WHEN 'enter_left_patch' THEN 1 WHEN 'enter_right_patch' THEN 0 END IGNORE NULLS) OVER w AS side FROM lg WINDOW w AS (PARTITION BY session ORDER BY t, seq)),
+asm AS (SELECT session, trial, min(block) FILTER (WHERE event = 'trial_start') AS block, min(side) FILTER (WHERE event = 'trial_start') AS side, count(*) FILTER (WHERE e) AS n_outcomes, coalesce(first(event ORDER BY t, seq) FILTER (WHERE e), 'unknown') AS outcome, first(note ORDER BY t, seq) FILTER (WHERE e) AS note
+  FROM (SELECT *, event LIKE '%_choice_%' OR event = 'invalid_switch' AS e FROM lt WHERE trial > 0) GROUP BY 1, 2),
+asm2 AS (SELECT * FROM (SELECT *, max(trial) OVER (PARTITION BY session) AS m FROM asm) WHERE n_outcomes > 0 OR trial < m)"""
+
+
+def _log(s: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    event = (
+        F.when(kind == "signup", F.when(F.col("event_id") % 2 == 0, "enter_left_patch").otherwise("enter_right_patch")).when(kind == "view", "trial_start")
+        .when(kind == "click", "correct_choice_right_patch").when(kind == "purchase", "correct_choice_left_patch").when(kind == "error", "invalid_switch")
+    )
+    note = F.when(F.coalesce("value", F.lit(0.0)) >= 20, "reward_True").otherwise("reward_False")
+    return table(s, d, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("t"), F.col("event_id").alias("seq"), event.alias("event"), note.alias("note"))
+
+
+_add("t01_t02_assemble_trials", lambda s, d: asm.decode_outcomes(asm.assemble_trials(_log(s, d))), "session trial block side n_outcomes outcome action correct reward",
+     "SELECT *, a AS action, CASE WHEN a IS NOT NULL THEN 1 END AS correct, CASE WHEN a IS NOT NULL THEN (note = 'reward_True')::INT END AS reward FROM (SELECT *, CASE outcome WHEN 'correct_choice_left_patch' THEN 1 WHEN 'correct_choice_right_patch' THEN 0 END AS a FROM asm2)", LOG)
+_add("s07_event_categories", lambda s, d: _log(s, d).groupBy(asm.event_category(F.col("event")).alias("category")).agg(F.count("*").alias("n")), "category n",
+     "SELECT CASE WHEN event LIKE '%_choice_%' OR event = 'invalid_switch' THEN 'choice' WHEN event LIKE 'enter_%' THEN 'context' WHEN event = 'trial_start' THEN 'trial' END AS category, count(*) AS n FROM lg GROUP BY 1", LOG)
+_add("t08_augment", lambda s, d: asm.augment(trials(s, d)), "session seq prev_action prev_reward trial_in_block",
+     "SELECT *, lag(action) OVER w AS prev_action, lag(reward) OVER w AS prev_reward, row_number() OVER (PARTITION BY session, block_run ORDER BY t, seq) - 1 AS trial_in_block FROM runs WINDOW w AS (PARTITION BY session ORDER BY t, seq)", RUNS)
+_add("j18_neighbour_targets", lambda s, d: asm.neighbour_targets(trials(s, d)), "session seq prev_action prev_reward next_action switched will_switch reason",
+     "SELECT *, (action <> prev_action)::INT AS switched, (action <> next_action)::INT AS will_switch, concat_ws(';', CASE WHEN NOT valid THEN 'no_valid_choice' END, CASE WHEN NOT coalesce(pv, false) THEN 'previous_not_valid' END, CASE WHEN NOT coalesce(nv, false) THEN 'next_not_valid' END) AS reason FROM (SELECT *, CASE WHEN valid AND pv THEN pa END AS prev_action, CASE WHEN valid AND pv THEN pr END AS prev_reward, CASE WHEN valid AND nv THEN na END AS next_action FROM (SELECT *, lag(valid) OVER w AS pv, lead(valid) OVER w AS nv, lag(action) OVER w AS pa, lead(action) OVER w AS na, lag(reward) OVER w AS pr FROM trials WINDOW w AS (PARTITION BY session ORDER BY t, seq)))")
+_add("a18_previous_block_omissions", lambda s, d: asm.previous_block_omissions(trials(s, d)), "session block_run prev_omissions prev_streak",
+     "SELECT session, block_run, CAST(coalesce(lag(n) OVER w, 0) AS BIGINT) AS prev_omissions, CAST(coalesce(lag(k) OVER w, 0) AS BIGINT) AS prev_streak FROM (SELECT session, block_run, count(*) FILTER (WHERE c AND reward = 0) AS n, count(*) FILTER (WHERE c AND m = 0) AS k FROM (SELECT *, max(CASE WHEN c THEN reward ELSE 0 END) OVER (PARTITION BY session, block_run ORDER BY t DESC, seq DESC) AS m FROM (SELECT *, coalesce(valid AND correct = 1, false) AS c FROM runs)) GROUP BY 1, 2) WINDOW w AS (PARTITION BY session ORDER BY block_run)", RUNS)
+
+
+def _relative(s: SparkSession, d: str) -> DataFrame:
+    per = su.blocks(trials(s, d))
+    return asm.relative_tts(per, su.session_regression(per))
+
+
+_add("a12_relative_tts", _relative, "session block_run ~predicted ~residual ~percentile",
+     "SELECT *, CASE WHEN n = 1 THEN 0 ELSE (k + (ties - 1) / 2 - 1) / (n - 1) END AS percentile FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n, rank() OVER (PARTITION BY session ORDER BY round(residual, 9)) AS k, count(*) OVER (PARTITION BY session, round(residual, 9)) AS ties FROM (SELECT session, block_run, b + a * prev_n_rewarded AS predicted, trials_to_correct - (b + a * prev_n_rewarded) AS residual FROM blocks JOIN (SELECT session, regr_slope(trials_to_correct, prev_n_rewarded) AS a, regr_intercept(trials_to_correct, prev_n_rewarded) AS b FROM blocks WHERE trials_to_correct IS NOT NULL AND block_run > 1 GROUP BY 1) USING (session) WHERE trials_to_correct IS NOT NULL AND block_run > 1) WHERE residual IS NOT NULL AND NOT isnan(residual))", BLOCKS)
+WELCH = """, es AS (SELECT event_type AS series, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, coalesce(value, 0) AS v FROM events),
+sg AS (SELECT series, i, v, s, i - s * 16 AS k FROM (SELECT *, unnest([i // 16, i // 16 - 1]) AS s, max(i) OVER (PARTITION BY series) AS m FROM es) WHERE s >= 0 AND s * 16 + 31 <= m),
+wd AS (SELECT *, (v - avg(v) OVER (PARTITION BY series, s)) * (0.5 - 0.5 * cos(2 * pi() * k / 32)) AS x FROM sg),
+ft AS (SELECT series, s, f, sum(x * cos(2 * pi() * k * f / 32)) AS re, sum(x * sin(2 * pi() * k * f / 32)) AS im FROM wd CROSS JOIN (SELECT unnest(range(17)) AS f) GROUP BY 1, 2, 3),
+psd AS (SELECT series, CAST(f AS INTEGER) AS f, avg((CASE WHEN f IN (0, 16) THEN 1 ELSE 2 END) * (re * re + im * im) / (0.375 * 32)) AS density, count(*) AS segments, f / 32 AS frequency FROM ft GROUP BY series, f)"""
+
+
+def _spectrum(s: SparkSession, d: str) -> DataFrame:
+    i = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
+    return asm.welch(table(s, d, "events").select(F.col("event_type").alias("series"), i.alias("i"), F.coalesce("value", F.lit(0.0)).alias("v")), 1.0, 32)
+
+
+_add("g09_welch", _spectrum, "series f ~density segments ~frequency", "SELECT * FROM psd", WELCH)
+_add("g11_band_power", lambda s, d: asm.band_power(_spectrum(s, d), 0.1, 0.3), "series ~power",
+     "SELECT series, sum((density + d2) / 2 * (f2 - frequency)) / (max(frequency) - min(frequency)) AS power FROM (SELECT *, lead(density) OVER w AS d2, lead(frequency) OVER w AS f2 FROM psd WHERE frequency BETWEEN 0.1 AND 0.3 WINDOW w AS (PARTITION BY series ORDER BY frequency)) GROUP BY 1", WELCH)
+_add("s09_table_digest", lambda s, d: asm.table_digest(table(s, d, "customer"), "c_nationkey", ["c_custkey", "c_mktsegment"]), "c_nationkey n digest",
+     "SELECT c_nationkey, count(*) AS n, CAST(sum(('0x' || substr(sha256(concat_ws('|', CAST(c_custkey AS VARCHAR), c_mktsegment)), 1, 15))::BIGINT) AS VARCHAR) AS digest FROM customer GROUP BY 1")
