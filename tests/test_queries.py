@@ -24,7 +24,7 @@ def _plain(v):
     return None if isinstance(v, float) and math.isnan(v) else v
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+@pytest.mark.parametrize("name", list(queries.SQL))
 def test_query_matches_sql(spark, con, name):
     df = queries.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)

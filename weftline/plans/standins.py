@@ -12,7 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trial per event: session, t, seq, action (1 left, 0 right, null no choice), reward, manual, block, state, correct, valid."""
-    e = table(spark, sf_dir, "events")
+    return trials_of(table(spark, sf_dir, "events"))
+
+
+def trials_of(e: DataFrame) -> DataFrame:
+    """The same of a table or stream of events."""
     kind, value, t = F.col("event_type"), F.coalesce("value", F.lit(0.0)), F.col("ts").cast("timestamp")
     action = F.when(kind.isin("click", "purchase"), 1).when(kind.isin("view", "signup"), 0)
     e = e.select(

@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from weftline.operators import align as al
 from weftline.operators import assembly as asm
+from weftline.operators import features as fe
 from weftline.operators import history as hi
+from weftline.operators import linear as li
 from weftline.operators import replays as rp
 from weftline.operators import summaries as su
+from weftline.operators import timeline as tl
 from weftline.operators import vectors as ve
-from weftline.plans.standins import TRIALS_SQL, table, trials
+from weftline.plans.standins import TRIALS_SQL, table, trials, trials_of
+from weftline.sources import tables as so
+from weftline.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -231,13 +236,17 @@ asm2 AS (SELECT * FROM (SELECT *, max(trial) OVER (PARTITION BY session) AS m FR
 
 
 def _log(s: SparkSession, d: str) -> DataFrame:
+    return _log_of(table(s, d, "events"))
+
+
+def _log_of(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     event = (
         F.when(kind == "signup", F.when(F.col("event_id") % 2 == 0, "enter_left_patch").otherwise("enter_right_patch")).when(kind == "view", "trial_start")
         .when(kind == "click", "correct_choice_right_patch").when(kind == "purchase", "correct_choice_left_patch").when(kind == "error", "invalid_switch")
     )
     note = F.when(F.coalesce("value", F.lit(0.0)) >= 20, "reward_True").otherwise("reward_False")
-    return table(s, d, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("t"), F.col("event_id").alias("seq"), event.alias("event"), note.alias("note"))
+    return events.select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("t"), F.col("event_id").alias("seq"), event.alias("event"), note.alias("note"))
 
 
 _add("t01_t02_assemble_trials", lambda s, d: asm.decode_outcomes(asm.assemble_trials(_log(s, d))), "session trial block side n_outcomes outcome action correct reward",
@@ -276,3 +285,123 @@ _add("g11_band_power", lambda s, d: asm.band_power(_spectrum(s, d), 0.1, 0.3), "
      "SELECT series, sum((density + d2) / 2 * (f2 - frequency)) / (max(frequency) - min(frequency)) AS power FROM (SELECT *, lead(density) OVER w AS d2, lead(frequency) OVER w AS f2 FROM psd WHERE frequency BETWEEN 0.1 AND 0.3 WINDOW w AS (PARTITION BY series ORDER BY frequency)) GROUP BY 1", WELCH)
 _add("s09_table_digest", lambda s, d: asm.table_digest(table(s, d, "customer"), "c_nationkey", ["c_custkey", "c_mktsegment"]), "c_nationkey n digest",
      "SELECT c_nationkey, count(*) AS n, CAST(sum(('0x' || substr(sha256(concat_ws('|', CAST(c_custkey AS VARCHAR), c_mktsegment)), 1, 15))::BIGINT) AS VARCHAR) AS digest FROM customer GROUP BY 1")
+
+# Labels, clocks, recoding and sums over sessions.
+_add("t03_finish_trials", lambda s, d: fe.finish_trials(trials(s, d), "t", 0, 10 * 86400, p_reward=0.8), "session seq ~session_time p_reward",
+     "SELECT * FROM (SELECT *, epoch(t) - min(epoch(t)) OVER (PARTITION BY session) AS session_time, 0.8::DOUBLE AS p_reward FROM trials) WHERE session_time BETWEEN 0 AND 864000")
+_add("t06_t07_labels", lambda s, d: trials(s, d).withColumn("cue", F.when(F.col("reward") == 1, 1)).select("session", "seq", fe.block_type("state", "cue").alias("block_type"), fe.numeric_label("correct", F.col("valid")).alias("is_correct")), "session seq block_type is_correct",
+     "SELECT session, seq, CASE WHEN state = 1 THEN 'left' ELSE 'right' END || CASE WHEN reward = 1 THEN '_cued' ELSE '_uncued' END AS block_type, correct AS is_correct FROM trials")
+
+
+def _messages(s: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", "syncPinState").otherwise(F.col("event_type"))
+    return table(s, d, "events").select(F.col("user_id").alias("session"), F.col("ts").alias("t"), F.col("event_id").alias("seq"), kind.alias("label"), (F.col("event_id") % 1000).alias("interval"))
+
+
+_add("t12_sync_clock", lambda s, d: fe.sync_clock(_messages(s, d)), "session seq ~clock",
+     "SELECT user_id AS session, event_id AS seq, (coalesce(sum(CASE WHEN event_type = 'signup' THEN event_id % 1000 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + event_id % 1000) / 1e6 AS clock FROM events")
+_add("t13_zero_hold", lambda s, d: fe.zero_hold(_points(s, d).join(table(s, d, "events").select(F.col("event_id").alias("seq"), "value"), "seq").groupBy("session", (F.col("t") / HOUR - 473000).alias("t")).agg(F.max(F.when(F.col("value") >= 20, F.col("value")).otherwise(0.0)).alias("v")), 2.0, 1.0), "session ~t ~v added",
+     f"SELECT session, t, v, false AS added FROM zh UNION ALL SELECT session, nx - 1.0, v, true FROM (SELECT *, lead(t) OVER (PARTITION BY session ORDER BY t) AS nx FROM zh) WHERE v = 0 AND nx - t > 2",
+     f", zh AS (SELECT user_id AS session, epoch_us(ts) / {HOUR}::DOUBLE - 473000 AS t, max(CASE WHEN value >= 20 THEN value ELSE 0 END) AS v FROM events GROUP BY 1, 2)")
+_add("c09_leave_stay", lambda s, d: fe.leave_stay(trials(s, d)), "session seq prev_action stay", "SELECT session, seq, prev_action, (action = prev_action)::INT AS stay FROM (SELECT *, lag(action) OVER (PARTITION BY session ORDER BY t, seq) AS prev_action FROM trials)")
+_add("c11_observer_value", lambda s, d: _expect(s, d).withColumn("observer", fe.observer_value("expectancy_value", "doubt_value")), "session seq ~observer", "SELECT session, seq, expectancy_value - doubt_value AS observer FROM expect", EXPECT)
+_add("c12_residualize", lambda s, d: fe.residualize(su.blocks(trials(s, d)), "trials_to_correct", "prev_n_rewarded", "session"), "session block_run ~residual",
+     "SELECT session, block_run, trials_to_correct - my - b * (prev_n_rewarded - mx) AS residual FROM blocks LEFT JOIN (SELECT session, avg(trials_to_correct) AS my, avg(prev_n_rewarded) FILTER (WHERE trials_to_correct IS NOT NULL) AS mx, coalesce(covar_pop(trials_to_correct, prev_n_rewarded) / nullif(var_pop(prev_n_rewarded) FILTER (WHERE trials_to_correct IS NOT NULL), 0), 0) AS b FROM blocks GROUP BY 1) USING (session)", BLOCKS)
+_add("f11_unique_maximum", lambda s, d: fe.unique_maximum(hi.counterfactual_doubt(trials(s, d)), ["doubt_left", "doubt_right"]), "session seq winner tie", "SELECT session, seq, CASE WHEN doubt_left > doubt_right THEN 0 WHEN doubt_left < doubt_right THEN 1 ELSE -1 END AS winner, (doubt_left = doubt_right)::INT AS tie FROM sided", SIDED)
+_add("f12_exclusion_reasons", lambda s, d: fe.exclusion_reasons(trials(s, d)), "session seq reason", "SELECT session, seq, concat_ws(';', CASE WHEN action IS NULL THEN 'no_choice' END, CASE WHEN manual = 1 THEN 'manual_reward' END, CASE WHEN reward IS NULL THEN 'no_reward_value' END) AS reason FROM trials")
+_add("a03_block_transitions", lambda s, d: fe.block_transitions(trials(s, d)), "session block_run no_switch width reversion_choices reversion_events short",
+     "SELECT session, block_run, n = 0 AS no_switch, CASE WHEN n > 0 THEN coalesce(l - f + 1, 0) END AS width, CASE WHEN n > 0 THEN k END AS reversion_choices, CASE WHEN n > 0 THEN e END AS reversion_events, n <= 2 AS short FROM (SELECT session, block_run, count(*) FILTER (WHERE seen = 1) AS n, min(i) FILTER (WHERE seen = 1) AS f, max(i) FILTER (WHERE seen = 1 AND correct = 0) AS l, count(*) FILTER (WHERE seen = 1 AND correct = 0) AS k, count(*) FILTER (WHERE seen = 1 AND correct = 0 AND was = 1) AS e FROM (SELECT *, max(correct) OVER w AS seen, lag(correct) OVER w AS was, row_number() OVER w AS i FROM runs WHERE valid WINDOW w AS (PARTITION BY session, block_run ORDER BY t, seq)) GROUP BY 1, 2)", RUNS)
+_add("a06_ttc_summary", lambda s, d: fe.ttc_summary(su.blocks(trials(s, d))), "session ~left_ttc ~right_ttc ~overall_ttc n_missing",
+     "SELECT session, avg(trials_to_correct) FILTER (WHERE state = 1) AS left_ttc, avg(trials_to_correct) FILTER (WHERE state = 0) AS right_ttc, avg(trials_to_correct) AS overall_ttc, count(*) FILTER (WHERE trials_to_correct IS NULL AND block_run < m) AS n_missing FROM (SELECT *, max(block_run) OVER (PARTITION BY session) AS m FROM blocks) GROUP BY 1", BLOCKS)
+_add("a10_oracle_summary", lambda s, d: fe.oracle_summary(trials(s, d).withColumn("p", F.when(F.col("state") == 1, 0.8).otherwise(0.5)), "p"), "session ~accuracy collected ~expected ~fraction ~difference",
+     "SELECT *, collected / expected AS fraction, collected - expected AS difference FROM (SELECT session, avg(correct) AS accuracy, CAST(sum(reward) AS BIGINT) AS collected, sum(CASE WHEN state = 1 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END) AS expected FROM v GROUP BY 1)", VALID)
+_add("a22_a23_agreement_delta", lambda s, d: fe.agreement_delta(hi.greedy_choices(hi.counterfactual_doubt(trials(s, d)), "doubt_value"), "greedy", "state", "session", "block"), "session block ~agree_a ~agree_b n_both only_a only_b neither ~delta",
+     "SELECT *, agree_a - agree_b AS delta FROM (SELECT session, block, avg((greedy = action)::INT) AS agree_a, avg((state = action)::INT) AS agree_b, count(*) FILTER (WHERE greedy = action AND state = action) AS n_both, count(*) FILTER (WHERE greedy = action AND state <> action) AS only_a, count(*) FILTER (WHERE greedy <> action AND state = action) AS only_b, count(*) FILTER (WHERE greedy <> action AND state <> action) AS neither FROM greedy GROUP BY 1, 2)", SIDED)
+_add("a30_exemplar_residuals", lambda s, d: fe.exemplar_residuals(su.blocks(trials(s, d)), "prev_n_rewarded", "trials_to_correct", {"value": (0, 1, 2), "inference": (4, 0, 1)}), "session block_run line ~residual ~z",
+     "SELECT session, block_run, line, trials_to_correct - (a + b * prev_n_rewarded) AS residual, (trials_to_correct - (a + b * prev_n_rewarded)) / sd AS z FROM blocks CROSS JOIN (VALUES ('value', 0.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE), ('inference', 4.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE)) AS l(line, a, b, sd)", BLOCKS)
+_add("a31_inherit_state", lambda s, d: fe.inherit_state(hi.with_runs(trials(s, d), "block", "block_run"), su.blocks(trials(s, d)), ["session", "block_run"], "trials_to_correct"), "session seq trials_to_correct", "SELECT session, seq, CASE WHEN valid THEN trials_to_correct END AS trials_to_correct FROM runs LEFT JOIN (SELECT session, block_run, trials_to_correct FROM blocks) USING (session, block_run)", BLOCKS)
+_add("a32_block_spans", lambda s, d: fe.block_spans(trials(s, d), F.col("correct")), "session block_run first_pos last_pos ~agreement", "SELECT session, block_run, min(p) AS first_pos, max(p) AS last_pos, avg(correct) FILTER (WHERE valid) AS agreement FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t, seq) - 1 AS p FROM runs) GROUP BY 1, 2", RUNS)
+_add("j13_trial_masks", lambda s, d: fe.trial_masks(trials(s, d)), "session seq mask",
+     "SELECT * FROM (SELECT session, seq, unnest([CASE WHEN valid THEN 'valid' END, CASE WHEN valid AND correct = 1 AND reward = 1 THEN 'correct_rewarded' END, CASE WHEN valid AND correct = 1 AND reward <> 1 THEN 'omission' END, CASE WHEN valid AND correct = 0 THEN 'incorrect' END, CASE WHEN valid AND nv AND na <> action THEN 'switch' END, CASE WHEN valid AND nv AND na = action THEN 'stay' END]) AS mask FROM nb) WHERE mask IS NOT NULL", NB)
+_add("s03_restrict_points", lambda s, d: so.restrict_points(_points(s, d), _points(s, d).groupBy("session").agg(F.count("*").alias("n")).where("n >= 60"), ["session"]), "session seq t", "SELECT session, seq, t FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM pt) WHERE n >= 60", MICRO_SQL)
+_add("s04_select_units", lambda s, d: so.select_units(table(s, d, "customer"), "c_nationkey", [1, 2, 3, 4, 5], "c_mktsegment", ("building", " Machinery ")), "c_custkey c_nationkey quality_label", "SELECT c_custkey, c_nationkey, lower(trim(c_mktsegment)) AS quality_label FROM customer WHERE c_nationkey BETWEEN 1 AND 5 AND lower(trim(c_mktsegment)) IN ('building', 'machinery')")
+_add("s06_named_series", lambda s, d: so.named_series(table(s, d, "events"), {"click": "right_lick", "purchase": "left_lick"}, "event_type").groupBy("user_id", "series").agg(F.count("*").alias("n")), "user_id series n", "SELECT user_id, CASE event_type WHEN 'click' THEN 'right_lick' ELSE 'left_lick' END AS series, count(*) AS n FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2")
+_add("s10_renumber_blocks", lambda s, d: so.renumber_blocks(hi.with_runs(trials(s, d), "block", "block_run").withColumn("subject", F.col("session") % 10), "subject", "session", "block_run"), "subject session seq global_block",
+     "SELECT session % 10 AS subject, session, seq, CAST(block_run + o AS BIGINT) AS global_block FROM runs JOIN (SELECT session, coalesce(sum(m) OVER (PARTITION BY session % 10 ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM (SELECT session, max(block_run) AS m FROM runs GROUP BY 1)) USING (session)", RUNS)
+_add("s11_select_dates", lambda s, d: so.select_dates(table(s, d, "orders"), "o_orderdate", "1996-01-01", "1997-12-31"), "o_orderkey o_custkey", "SELECT o_orderkey, o_custkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")
+_add("s12_water_delivery", lambda s, d: so.water_delivery(table(s, d, "events").select(F.col("user_id").alias("session"), F.concat(F.when(F.col("event_type") == "purchase", "pump1").when(F.col("event_type") == "click", "pump2"), F.lit(" reward_amount: "), F.col("event_id").cast("string")).alias("event"))), "session source amount",
+     "SELECT user_id AS session, coalesce(CASE event_type WHEN 'purchase' THEN 'left' WHEN 'click' THEN 'right' END, 'total') AS source, CAST(sum(event_id) AS BIGINT) AS amount FROM (SELECT * FROM events WHERE event_type IN ('purchase', 'click')) GROUP BY GROUPING SETS ((user_id, event_type), (user_id))")
+
+# Bins, folds, phases, exemplars.
+ENDS = ", ce AS (SELECT *, (ref % 7) * 3600000000 AS e FROM ct)"
+
+
+def _ends(s: SparkSession, d: str) -> DataFrame:
+    return _centres(s, d).withColumn("end", F.col("ref") % 7 * HOUR)
+
+
+_add("j03_valid_bin_rates", lambda s, d: tl.valid_bin_rates(_points(s, d), _ends(s, d), -2 * HOUR, 8, HOUR), "unit bin trials n ~mean_count",
+     f"SELECT unit, bin, trials, coalesce(n, 0) AS n, coalesce(n, 0) / trials AS mean_count FROM (SELECT DISTINCT unit FROM pt) CROSS JOIN (SELECT bin, count(*) AS trials FROM ce, (SELECT unnest(range(8)) AS bin) WHERE (bin - 1.5) * {HOUR} <= e GROUP BY 1) LEFT JOIN (SELECT unit, (t - t0 + {2 * HOUR}) // {HOUR} AS bin, count(*) AS n FROM pt JOIN ce USING (session) WHERE t - t0 BETWEEN {-2 * HOUR} AND {6 * HOUR - 1} AND ((t - t0 + {2 * HOUR}) // {HOUR} - 1.5) * {HOUR} <= e GROUP BY 1, 2) USING (unit, bin)", MICRO_SQL + ENDS)
+_add("j07_j08_variable_bins", lambda s, d: tl.select_bins(tl.variable_bins(_ends(s, d).withColumn("stop", F.col("t0") + F.col("end") + HOUR // 2), HOUR), "t0", HOUR, 5 * HOUR), "session ref bin edge",
+     f"SELECT session, ref, bin, t0 + bin * {HOUR} AS edge FROM ce, (SELECT unnest(range(7)) AS bin) WHERE bin < e // {HOUR} AND bin BETWEEN 1 AND 4", MICRO_SQL + ENDS)
+_add("j17_scale_activity", lambda s, d: tl.scale_activity(table(s, d, "events").where("value IS NOT NULL"), "value", "user_id"), "event_id ~z", "SELECT event_id, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS z FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id)")
+_add("j17_complete_episodes", lambda s, d: tl.complete_episodes(trials(s, d), trials(s, d).where("valid"), ["session", "seq"], "block"), "block n_rows n_covered complete", "SELECT block, count(*) AS n_rows, count(*) FILTER (WHERE valid) AS n_covered, bool_and(valid) AS complete FROM trials GROUP BY 1")
+_add("j19_lagged", lambda s, d: tl.lagged(trials(s, d), ["session"], ["t", "seq"], ["action"], [1, 3]), "session seq action action_lag1 action_lag3", "SELECT * FROM (SELECT *, lag(action) OVER w AS action_lag1, lag(action, 3) OVER w AS action_lag3 FROM trials WINDOW w AS (PARTITION BY session ORDER BY t, seq)) WHERE action + action_lag1 + action_lag3 IS NOT NULL")
+_add("j21_page", lambda s, d: tl.page(trials(s, d), ["session"], ["t", "seq"], 1, 20), "session seq", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t, seq) AS k FROM trials) WHERE k BETWEEN 21 AND 40")
+_add("j22_grouped_folds", lambda s, d: tl.grouped_folds(trials(s, d), "session", "block"), "session block n fold",
+     "SELECT session, block, n, CASE WHEN m >= 5 THEN p - 1 END AS fold FROM gw WHERE k > 0",
+     """, gs AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC, block) AS k, count(*) OVER (PARTITION BY session) AS m FROM (SELECT session, block, count(*) AS n FROM trials GROUP BY 1, 2)),
+gw(session, k, block, n, m, p, l1, l2, l3, l4, l5) AS (SELECT DISTINCT session, 0::BIGINT, 0, 0::BIGINT, 0::BIGINT, 0, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM gs
+  UNION ALL SELECT session, k, block, n, m, p, l1 + CASE WHEN p = 1 THEN n ELSE 0 END, l2 + CASE WHEN p = 2 THEN n ELSE 0 END, l3 + CASE WHEN p = 3 THEN n ELSE 0 END, l4 + CASE WHEN p = 4 THEN n ELSE 0 END, l5 + CASE WHEN p = 5 THEN n ELSE 0 END
+  FROM (SELECT g.session, g.k, g.block, g.n, g.m, CASE least(l1, l2, l3, l4, l5) WHEN l1 THEN 1 WHEN l2 THEN 2 WHEN l3 THEN 3 WHEN l4 THEN 4 ELSE 5 END AS p, l1, l2, l3, l4, l5 FROM gw JOIN gs g ON g.session = gw.session AND g.k = gw.k + 1))""")
+HOURLY = f", hs AS (SELECT unit AS session, t // {HOUR} AS i, cos(count(*)) AS re, sin(count(*)) AS im FROM pt GROUP BY 1, 2)"
+
+
+def _unit_points(s: SparkSession, d: str) -> DataFrame:
+    return _points(s, d).select(F.col("unit").alias("session"), "seq", (F.col("t") / HOUR).alias("x"))
+
+
+def _hourly(s: SparkSession, d: str) -> DataFrame:
+    n = _points(s, d).groupBy(F.col("unit").alias("session"), F.floor(F.col("t") / HOUR).alias("i")).agg(F.count("*").alias("n"))
+    return n.select("session", "i", F.cos("n").alias("re"), F.sin("n").alias("im"))
+
+
+_add("p01_phase_at_events", lambda s, d: tl.phase_at_events(_unit_points(s, d), _hourly(s, d)).withColumn("hour", F.floor("x")), "session seq hour ~phase",
+     f"SELECT p.session, seq, t // {HOUR} AS hour, atan2(a.im + f * (b.im - a.im), a.re + f * (b.re - a.re)) AS phase FROM (SELECT unit AS session, seq, t, t / {HOUR}::DOUBLE - t // {HOUR} AS f FROM pt) p LEFT JOIN hs a ON a.session = p.session AND a.i = t // {HOUR} LEFT JOIN hs b ON b.session = p.session AND b.i = t // {HOUR} + 1", MICRO_SQL + HOURLY)
+_add("g14_inter_trial_phase", lambda s, d: al.phase_locking(_hourly(s, d).withColumn("i", F.col("i") % 24).withColumn("phase", F.atan2("im", "re")), ["i"], "phase"), "i n ~resultant", "SELECT i % 24 AS i, count(*) AS n, sqrt(avg(re) ^ 2 + avg(im) ^ 2) AS resultant FROM hs GROUP BY 1", MICRO_SQL + HOURLY)
+_add("g16_exemplars", lambda s, d: tl.exemplars(table(s, d, "events"), ["user_id"], "value", "event_id", 0.75), "user_id ~quantile event_id ~value",
+     "SELECT user_id, q AS quantile, event_id, value FROM (SELECT e.*, q, row_number() OVER (PARTITION BY user_id ORDER BY abs(value - q), event_id) AS k FROM events e JOIN (SELECT user_id, quantile_cont(value, 0.75) AS q FROM events GROUP BY 1) USING (user_id) WHERE value IS NOT NULL) WHERE k = 1")
+_add("m16_coefficient_summary", lambda s, d: tl.coefficient_summary(ve.long_form(table(s, d, "embeddings").withColumn("fold", F.col("vec_id") % 5), "fold", "embedding").groupBy("unit", "fold").agg(F.avg("x").alias("coefficient")), "unit"), "unit n_folds ~mean n_positive ~percentile candidate",
+     "SELECT *, (rank() OVER (ORDER BY mean) + (count(*) OVER (PARTITION BY mean) - 1) / 2 - 0.5) / count(*) OVER () AS percentile, n_folds = 5 AND mean > 0 AND n_positive >= 4 AS candidate FROM (SELECT unit, count(*) AS n_folds, avg(c) AS mean, count(*) FILTER (WHERE c > 0) AS n_positive FROM (SELECT unit, vec_id % 5 AS fold, avg(x) AS c FROM lv GROUP BY 1, 2) GROUP BY 1)", LONG)
+
+
+# Models from cross products: held against numpy in the tests.
+def _folded(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").withColumn("fold", F.col("vec_id") % 5)
+
+
+def _lagged_days(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").groupBy(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / HOUR).alias("i")).agg(F.count_if(F.col("event_type") == "click").alias("a"), F.count_if(F.col("event_type") == "view").alias("b"))
+    return tl.lagged(e.withColumn("part", F.floor(F.col("i") / 168)), ["part"], ["i"], ["a", "b"], [1, 2]).withColumn("x", F.array("a", "a_lag1", "a_lag2", "b_lag1", "b_lag2"))
+
+
+QUERIES["m02_ridge"] = lambda s, d: li.ridge(_folded(s, d), "embedding", list(range(8)), list(range(32, 36)), 0.01)
+QUERIES["m03_block_cv"] = lambda s, d: li.block_cv(_folded(s, d), "embedding", "fold", list(range(32)), list(range(32, 64)), 0.01)
+QUERIES["m06_granger"] = lambda s, d: li.granger(_lagged_days(s, d), "x", 0, [1, 2], [3, 4])
+QUERIES["m07_pca"] = lambda s, d: li.pca(_folded(s, d), "embedding").drop("loadings")
+QUERIES["m09_cca"] = lambda s, d: li.cca(_folded(s, d), "embedding", list(range(16)), list(range(32, 48)))
+
+
+# Streams: the table is read as a stream to its end.
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    return s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern may name a file or a folder
+
+
+def _micros(df: DataFrame) -> DataFrame:
+    return df.withColumn("t", F.unix_micros("t"))
+
+
+_add("x01_live_trials", lambda s, d: live.run_to_end(live.live_trials(_micros(_log_of(_stream(s, d))))), "session trial block side n_outcomes outcome note",
+     "SELECT session, trial, coalesce(block, 0) AS block, side, n_outcomes, outcome, note FROM (SELECT *, max(trial) OVER (PARTITION BY session) AS m FROM asm) WHERE trial < m", LOG)
+_add("x02_live_counters", lambda s, d: live.run_to_end(live.live_counters(_micros(trials_of(_stream(s, d)).where("valid")))), "session seq consecutive_rewards consecutive_omissions renewal_rewards renewal_omissions negative_value value n_late",
+     "SELECT *, -negative_value AS value, 0 AS n_late FROM counters", COUNTERS)
