@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import features, linear, timeline
+from weftline.operators import decisions, features, linear, timeline
 from weftline.sources import tables
 from weftline.streaming import live
 
@@ -112,3 +112,12 @@ def test_late_rows_are_counted_and_dropped(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*.parquet")
     got = {r["seq"]: (r["consecutive_rewards"], r["consecutive_omissions"], r["value"], r["n_late"]) for r in live.run_to_end(live.live_counters(stream)).collect()}
     assert got == {0: (0, 0, 0, 0), 1: (0, 1, -1, 0), 2: (1, 0, 0, 1), 3: (0, 0, 0, 0)}
+
+
+def test_explore_runs_of_five_and_six(spark):
+    sides = [1] + [0] * 5 + [1] + [0] * 6 + [1]
+    rows = [(1, 0, i, a, int(a == 1), 1, 0, int(a == 1), True) for i, a in enumerate(sides)]
+    t = spark.createDataFrame(rows, "session int, t int, seq long, action int, reward int, state int, block int, correct int, valid boolean")
+    got = {r["run"]: (r["n"], r["explore"]) for r in decisions.explore_runs(t).collect()}
+    assert got == {1: (1, False), 2: (5, True), 3: (1, False), 4: (6, False), 5: (1, False)}
+    assert decisions.explore_counts(decisions.explore_runs(t)).select("n_runs", "n_trials").first() == (1, 5)

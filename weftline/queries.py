@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import align as al
 from weftline.operators import assembly as asm
+from weftline.operators import decisions as de
 from weftline.operators import features as fe
 from weftline.operators import history as hi
 from weftline.operators import linear as li
@@ -405,3 +406,19 @@ _add("x01_live_trials", lambda s, d: live.run_to_end(live.live_trials(_micros(_l
      "SELECT session, trial, coalesce(block, 0) AS block, side, n_outcomes, outcome, note FROM (SELECT *, max(trial) OVER (PARTITION BY session) AS m FROM asm) WHERE trial < m", LOG)
 _add("x02_live_counters", lambda s, d: live.run_to_end(live.live_counters(_micros(trials_of(_stream(s, d)).where("valid")))), "session seq consecutive_rewards consecutive_omissions renewal_rewards renewal_omissions negative_value value n_late",
      "SELECT *, -negative_value AS value, 0 AS n_late FROM counters", COUNTERS)
+STATES = "consecutive_rewards consecutive_omissions renewal_rewards renewal_omissions negative_value"
+_add("c06_decision_table", lambda s, d: de.decision_table(trials(s, d)), f"session seq {STATES}",
+     "SELECT session, seq, " + ", ".join(f"CAST(coalesce(first_value(c.{c} IGNORE NULLS) OVER w, {after}) AS BIGINT) AS {c}" for c, after in zip(STATES.split(), ["max(e.r) OVER s", "max(e.o) OVER s", "max(e.rr) OVER s", "max(e.ro) OVER s", "max(e.nv) OVER s"], strict=True))
+     + " FROM trials LEFT JOIN counters c USING (session, seq) LEFT JOIN ends e USING (session) WINDOW w AS (PARTITION BY session ORDER BY trials.t, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), s AS (PARTITION BY session)",
+     COUNTERS + """, ends AS (SELECT session, CASE WHEN reward = 1 THEN n ELSE 0 END AS r, CASE WHEN reward = 0 THEN n ELSE 0 END AS o, CASE WHEN reward = 1 THEN n ELSE renewal_rewards END AS rr, CASE WHEN reward = 0 THEN n ELSE renewal_omissions END AS ro, negative_value + 1 - 2 * reward AS nv
+  FROM (SELECT *, max(rn) OVER (PARTITION BY session) AS m FROM counters) WHERE rn = m)""")
+EXPLORE = RUNS + """, x0 AS (SELECT *, CASE WHEN lag(action) OVER (PARTITION BY session, block_run ORDER BY t, seq) IS DISTINCT FROM action THEN 1 ELSE 0 END AS nw FROM runs WHERE valid),
+x1 AS (SELECT *, sum(nw) OVER (PARTITION BY session, block_run ORDER BY t, seq) AS run FROM x0),
+x2 AS (SELECT session, block_run, run, count(*) AS n, first(correct ORDER BY t, seq) AS f, last(correct * reward ORDER BY t, seq) AS p FROM x1 GROUP BY 1, 2, 3),
+explored AS (SELECT session, block_run, run, n, coalesce(lag(p) OVER w = 1, false) AND n <= 5 AND coalesce(lead(f) OVER w = 1, false) AS explore FROM x2 WINDOW w AS (PARTITION BY session, block_run ORDER BY run))"""
+_add("c08_explore_runs", lambda s, d: de.explore_runs(trials(s, d)), "session block_run run n explore", "SELECT * FROM explored", EXPLORE)
+_add("a05_explore_counts", lambda s, d: de.explore_counts(de.explore_runs(trials(s, d))), "session block_run n_runs n_trials", "SELECT session, block_run, count(*) FILTER (WHERE explore) AS n_runs, CAST(coalesce(sum(n) FILTER (WHERE explore), 0) AS BIGINT) AS n_trials FROM explored GROUP BY 1, 2", EXPLORE)
+_add("j23_purged_splits", lambda s, d: de.purged_splits(_points(s, d).withColumn("stop", F.col("t") + 6 * HOUR), "session", ["t", "seq"], "t", "stop"), "session seq fold role",
+     f"""SELECT session, seq, CAST(fold AS INTEGER) AS fold, CASE WHEN role = 'train' AND row_number() OVER (PARTITION BY session, fold, role ORDER BY t DESC, seq DESC) <= ceil(count(*) OVER (PARTITION BY session, fold, role) / 5) THEN 'validation' ELSE role END AS role
+FROM (SELECT p.*, f.fold, CASE WHEN own = f.fold THEN 'test' WHEN EXISTS (SELECT 1 FROM pn q WHERE q.session = p.session AND q.own = f.fold AND p.t < q.t + {6 * HOUR} AND p.t + {6 * HOUR} > q.t) THEN 'purged' ELSE 'train' END AS role FROM pn p, (SELECT unnest(range(5)) AS fold) f)""",
+     MICRO_SQL + ", pn AS (SELECT *, ntile(5) OVER (PARTITION BY session ORDER BY t, seq) - 1 AS own FROM pt)")
