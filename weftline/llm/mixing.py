@@ -79,31 +79,34 @@ def round_rates(sizes: np.ndarray, rates: np.ndarray, most: int = int(MOST)) ->
     return copies
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chunk: int = 2_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chunk: int = 2_000, spread: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies, taken of every row of docs.
 
-    Rates become copies within chunks of about `chunk` documents of a source, chosen by a hash of the id, so that a hot
-    source is many tasks; within a chunk, long documents first, the rounding error is handed on, and what remains is
-    about half of the chunk's smallest document. All is deterministic. Null texts have size 0; documents of size 0 stay
+    Rates become copies within chunks of about `chunk` documents of a source, chosen by a hash of the id (or by the long
+    `spread`, which then breaks ties of size too: for ids that may be null or repeat), so that a hot source is many
+    tasks; within a chunk, long documents first, the rounding error is handed on, and what remains is about half of the chunk's smallest document. All is deterministic. Null texts have size 0; documents of size 0 stay
     once and take nothing. A null source is a source. Repeated rows are rounded one by one; an empty table gives an
     empty result; other columns are ignored.
     """
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), *([] if spread is None else [spread.alias("spread")]))
     rows = materialize(rows.withColumn("key", _key(F.col("source"))))
     sizes = materialize(rows.groupBy("key", "source", "size").agg(F.count("*").alias("rows")))
     per = sizes.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("documents"))
     goals = materialize(targets(per).withColumn("mean", F.greatest(F.col("source_size") / F.col("documents"), F.lit(1e-9))))
     plan = goals.join(tilts(sizes, goals), "key", "left").select("key", "source_size", "target", "cap", "mean", "tilt", F.ceil(F.col("documents") / chunk).cast("int").alias("chunks"))
+    by = [] if spread is None else ["spread"]
     x = F.col("tilt") * F.col("size") / F.col("mean")
     tilted = F.lit(MOST) / (1 + F.exp(-F.least(F.greatest(x, F.lit(-700.0)), F.lit(700.0))) * (MOST - 1))
     rate = F.when(F.col("target") <= 0, 0.0).when(F.col("target") >= F.col("cap"), MOST).otherwise(tilted)
-    dealt = rows.join(materialize(plan), "key").select("doc_id", "size", "source_size", "target", rate.alias("rate"), "key", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("part"))
+    dealt = rows.join(materialize(plan), "key").select("doc_id", "size", "source_size", "target", rate.alias("rate"), "key", *by, F.pmod("spread" if by else F.xxhash64("doc_id"), F.col("chunks")).alias("part"))
+
+    order = ["size", *by, "doc_id"]
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+        p = p.sort_values(order, ascending=[c != "size" for c in order], kind="stable")
         p["copies"] = round_rates(p["size"].to_numpy(), p["rate"].to_numpy())
         p["taken"] = p["copies"] * p["size"]
-        return p.drop(columns=["key", "part"])
+        return p.drop(columns=["key", "part", *by])
 
     return dealt.groupBy("key", "part").applyInPandas(run, f"doc_id {kind}, size bigint, source_size bigint, target double, rate double, copies bigint, taken bigint")
