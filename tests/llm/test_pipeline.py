@@ -3,8 +3,10 @@
 import random
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline as cp
-from weftline.llm import mixing
+from weftline.llm import mixing, near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,3 +48,48 @@ def test_mix_stage_meets_its_targets_with_null_and_repeated_ids(spark):
     assert max(Counter(r["text"] for r in out).values()) <= mixing.MOST
     again = cp.mix_sources(spark, documents(spark, rows).repartition(7), "").collect()
     assert Counter(tuple(r) for r in again) == Counter(tuple(r) for r in out)
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def roots_by_force(texts):
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) and top(a) != top(b):
+                parent[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(x) for x in range(len(sets))]
+
+
+@pytest.mark.parametrize("common", [200, 5])
+def test_near_copies_of_similarity_from_08_are_all_found(spark, common):
+    rng = random.Random(11)
+    line = " ".join(f"c{i}" for i in range(30))
+    texts = [None, " ", "", "two words", "Two  words", "two words more"]
+    for g in range(12):
+        words = [f"w{rng.randrange(900)}" for _ in range(rng.choice([12, 60, 150, 400]))]
+        for _ in range(8):
+            own = list(words)
+            for _ in range(rng.randrange(1 + len(own) // 40)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own) + (f" {line}" if g % 3 == 0 else ""))
+    texts += [f"{line} y{i} " + line.replace("c3 ", f"z{i % 4} ") for i in range(20)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_key long, text string")
+    got = {r["row"]: r["root"] for r in near_copies.near_copies(rows, "row_key", common=common).collect()}
+    assert [got[i] for i in range(len(texts))] == roots_by_force(texts)
+
+
+def test_near_stage_drops_copies_between_08_and_1(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"x{n}" if n % step == 3 else w for n, w in enumerate(words)) for step in (10**6, 70, 50, 40)]
+    kept = cp.drop_near_copies(spark, documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), "").collect()
+    assert {r["doc_id"] for r in kept} == set(roots_by_force(texts))
