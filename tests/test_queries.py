@@ -114,3 +114,9 @@ def test_welch_finds_a_tone(spark):
     s = spark.createDataFrame([("a", i, math.sin(2 * math.pi * i / 8)) for i in range(256)] + [("short", i, 1.0) for i in range(5)], "series string, i int, v double")
     out = {(r["series"], r["f"]): r["density"] for r in assembly.welch(s, 1.0, 32).collect()}
     assert max(out, key=out.get) == ("a", 4) and not [k for k in out if k[0] == "short"]
+
+
+
+def test_every_index_after_the_first_correct_choice(spark):
+    got = summaries.post_first_correct(_trials(spark, [(1, i, 1, 1, 1, 0) for i in range(15)])).where("state IS NULL").collect()
+    assert sorted(r["ix"] for r in got) == list(range(15))

@@ -94,11 +94,15 @@ def switch_persistence(trials: DataFrame) -> DataFrame:
     return out.withColumn("p_switch", F.col("n_switch") / F.col("n"))
 
 
-def post_first_correct(trials: DataFrame, most: int = 10) -> DataFrame:
-    """Accuracy by index after a block's first correct valid choice (index 0 is that choice), by side and over both."""
+def post_first_correct(trials: DataFrame, most: int | None = None) -> DataFrame:
+    """Accuracy by index after a block's first correct valid choice (index 0 is that choice), by side and over both.
+
+    Every index of every block counts; with `most`, only the first so many indices.
+    """
     rows = with_runs(trials, "block", "block_run").where("valid")
     rows = rows.withColumn("ix", F.sum("correct").over(upto("session", "block_run"))).where("ix >= 1")
-    rows = rows.withColumn("ix", F.row_number().over(ordered("session", "block_run")) - 1).where(F.col("ix") < most)
+    rows = rows.withColumn("ix", F.row_number().over(ordered("session", "block_run")) - 1)
+    rows = rows if most is None else rows.where(F.col("ix") < most)
     return rows.groupingSets([["state", "ix"], ["ix"]], "state", "ix").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy"))
 
 

@@ -122,8 +122,10 @@ p3 AS (SELECT *, max((pos <= f AND NOT valid)::INT) OVER (PARTITION BY session,
 p4 AS (SELECT CASE WHEN side = 1 THEN 'to_left' ELSE 'to_right' END AS direction, pos AS choice_index, (pos = f)::INT AS switched FROM p3 WHERE f IS NOT NULL AND bad = 0 AND pos <= f)"""
 _add("a15_a16_switch_persistence", lambda s, d: su.switch_persistence(trials(s, d)), "direction choice_index n n_switch ~p_switch",
      "SELECT *, n_switch / n AS p_switch FROM (SELECT direction, choice_index, count(*) AS n, CAST(sum(switched) AS BIGINT) AS n_switch FROM p4 GROUP BY GROUPING SETS ((direction, choice_index), (choice_index)))", PERSIST)
-_add("a17_post_first_correct", lambda s, d: su.post_first_correct(trials(s, d)), "state ix n ~accuracy",
+_add("a17_post_first_correct", lambda s, d: su.post_first_correct(trials(s, d), most=10), "state ix n ~accuracy",
      "SELECT state, ix, count(*) AS n, avg(correct) AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY session, block_run ORDER BY t, seq) - 1 AS ix FROM (SELECT *, sum(correct) OVER (PARTITION BY session, block_run ORDER BY t, seq) AS c FROM runs WHERE valid) WHERE c >= 1) WHERE ix < 10 GROUP BY GROUPING SETS ((state, ix), (ix))", RUNS)
+_add("a17_post_first_correct_all", lambda s, d: su.post_first_correct(trials(s, d)), "state ix n ~accuracy",
+     "SELECT state, ix, count(*) AS n, avg(correct) AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY session, block_run ORDER BY t, seq) - 1 AS ix FROM (SELECT *, sum(correct) OVER (PARTITION BY session, block_run ORDER BY t, seq) AS c FROM runs WHERE valid) WHERE c >= 1) GROUP BY GROUPING SETS ((state, ix), (ix))", RUNS)
 _add("a19_choice_windows", lambda s, d: su.choice_windows(hi.greedy_choices(hi.counterfactual_doubt(trials(s, d)), "doubt_value")), "session win ~agreement rewards transitions",
      "SELECT session, win, avg((greedy = action)::INT) AS agreement, CAST(sum(reward) AS BIGINT) AS rewards, CAST(sum(coalesce((block <> pb)::INT, 0)) AS BIGINT) AS transitions FROM (SELECT *, CAST(floor((rn - 1) / 10) AS BIGINT) AS win, lag(block) OVER (PARTITION BY session ORDER BY rn) AS pb FROM greedy) GROUP BY 1, 2 HAVING count(*) = 10", SIDED)
 _add("a20_choice_window_sessions", lambda s, d: su.quartile_card(su.choice_windows(hi.greedy_choices(hi.counterfactual_doubt(trials(s, d)), "doubt_value")), ["session"], "agreement"), "session n ~q1 ~median ~q3",
