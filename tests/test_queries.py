@@ -120,3 +120,9 @@ def test_welch_finds_a_tone(spark):
 def test_every_index_after_the_first_correct_choice(spark):
     got = summaries.post_first_correct(_trials(spark, [(1, i, 1, 1, 1, 0) for i in range(15)])).where("state IS NULL").collect()
     assert sorted(r["ix"] for r in got) == list(range(15))
+
+
+
+def test_every_count_of_omissions_has_its_row(spark):
+    got = summaries.switches_by_omissions(_trials(spark, [(1, i, 1, 0, 1, 0) for i in range(15)])).where("session IS NULL").collect()
+    assert {r["omissions"]: r["n"] for r in got} == {k: 1 for k in range(1, 15)}

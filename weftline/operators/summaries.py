@@ -149,8 +149,12 @@ def residual_spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.withColumn("mad_scaled", F.col("mad") * 1.4826)
 
 
-def switches_by_omissions(trials: DataFrame) -> DataFrame:
-    """A29 and A16 over C01: chance to switch by the omissions in a row before a trial, per session and over all (null)."""
+def switches_by_omissions(trials: DataFrame, most: int | None = None) -> DataFrame:
+    """A29 and A16 over C01: chance to switch by the omissions in a row before a trial, per session and over all (null).
+
+    Every count has its own row; with `most`, longer runs are pooled in the row of that count.
+    """
     rows = reward_counters(trials).withColumn("switch", (F.col("action") != F.lag("action").over(ordered())).cast("int")).where("switch IS NOT NULL")
-    rows = rows.select("session", F.least("consecutive_omissions", F.lit(10)).alias("omissions"), "switch")
+    count = F.col("consecutive_omissions") if most is None else F.least("consecutive_omissions", F.lit(most))
+    rows = rows.select("session", count.alias("omissions"), "switch")
     return rows.groupingSets([["session", "omissions"], ["omissions"]], "session", "omissions").agg(F.count("*").alias("n"), F.sum("switch").alias("switches"), F.avg("switch").alias("p_switch"))

@@ -136,8 +136,10 @@ _add("a26_sliding_regression", lambda s, d: su.sliding_regression(su.blocks(tria
 _add("a27_centred_rewards", lambda s, d: su.centred_rewards(su.blocks(trials(s, d))), "session block_run ~centred side_code", "SELECT session, block_run, prev_n_rewarded - avg(prev_n_rewarded) OVER (PARTITION BY session) AS centred, 2 * state - 1 AS side_code FROM blocks", BLOCKS)
 _add("a28_residual_spread", lambda s, d: su.residual_spread(table(s, d, "events").where("value IS NOT NULL"), ["event_type"], "value"), "event_type ~mad ~iqr ~rmse ~sd ~mad_scaled",
      "SELECT event_type, quantile_cont(abs(value - m), 0.5) AS mad, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, sqrt(avg(value * value)) AS rmse, stddev_samp(value) AS sd, quantile_cont(abs(value - m), 0.5) * 1.4826 AS mad_scaled FROM events JOIN (SELECT event_type, quantile_cont(value, 0.5) AS m FROM events GROUP BY 1) USING (event_type) WHERE value IS NOT NULL GROUP BY 1")
-_add("a29_switches_by_omissions", lambda s, d: su.switches_by_omissions(trials(s, d)), "session omissions n switches ~p_switch",
+_add("a29_switches_by_omissions", lambda s, d: su.switches_by_omissions(trials(s, d), most=10), "session omissions n switches ~p_switch",
      "SELECT session, o AS omissions, count(*) AS n, CAST(sum(sw) AS BIGINT) AS switches, avg(sw) AS p_switch FROM (SELECT session, least(consecutive_omissions, 10) AS o, (action <> lag(action) OVER (PARTITION BY session ORDER BY rn))::INT AS sw FROM counters) WHERE sw IS NOT NULL GROUP BY GROUPING SETS ((session, o), (o))", COUNTERS)
+_add("a29_switches_by_omissions_all", lambda s, d: su.switches_by_omissions(trials(s, d)), "session omissions n switches ~p_switch",
+     "SELECT session, o AS omissions, count(*) AS n, CAST(sum(sw) AS BIGINT) AS switches, avg(sw) AS p_switch FROM (SELECT session, consecutive_omissions AS o, (action <> lag(action) OVER (PARTITION BY session ORDER BY rn))::INT AS sw FROM counters) WHERE sw IS NOT NULL GROUP BY GROUPING SETS ((session, o), (o))", COUNTERS)
 
 
 def _sessions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
