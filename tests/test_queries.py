@@ -116,13 +116,17 @@ def test_welch_finds_a_tone(spark):
     assert max(out, key=out.get) == ("a", 4) and not [k for k in out if k[0] == "short"]
 
 
-
 def test_every_index_after_the_first_correct_choice(spark):
     got = summaries.post_first_correct(_trials(spark, [(1, i, 1, 1, 1, 0) for i in range(15)])).where("state IS NULL").collect()
     assert sorted(r["ix"] for r in got) == list(range(15))
 
 
-
 def test_every_count_of_omissions_has_its_row(spark):
     got = summaries.switches_by_omissions(_trials(spark, [(1, i, 1, 0, 1, 0) for i in range(15)])).where("session IS NULL").collect()
     assert {r["omissions"]: r["n"] for r in got} == {k: 1 for k in range(1, 15)}
+
+
+def test_blocks_take_the_first_correct_choice_in(spark):
+    t = _trials(spark, [(1, 0, 0, 0, 1, 0), (1, 1, None, 0, 1, 0), (1, 2, 1, 1, 1, 0), (1, 3, 1, 1, 1, 1)])
+    got = {r["block_run"]: (r["accuracy_from_first"], r["accuracy_after"], r["prev_n_valid"], r["prev_n_trials"]) for r in summaries.blocks(t).collect()}
+    assert got == {1: (1.0, None, None, None), 2: (1.0, None, 2, 3)}

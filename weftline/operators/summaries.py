@@ -12,6 +12,8 @@ def blocks(trials: DataFrame) -> DataFrame:
     """A row for each contiguous block run, with the preceding block's figures.
 
     trials_to_correct is the place (from 0) of the first correct valid choice among the valid ones, null if none.
+    accuracy_from_first takes the first correct choice in, as the reference does, accuracy_after only what follows it;
+    prev_n_valid counts the preceding block's valid choices, prev_n_trials all its rows.
     """
     rows = with_runs(trials, "block", "block_run")
     place = F.sum(F.col("valid").cast("int")).over(upto("session", "block_run")) - 1
@@ -21,10 +23,11 @@ def blocks(trials: DataFrame) -> DataFrame:
     after = F.col("valid") & (F.col("pos") > F.col("ttc"))
     out = rows.groupBy("session", "block_run").agg(
         F.first("state").alias("state"), F.count("*").alias("n_trials"), F.count_if("valid").alias("n_valid"), F.first("ttc").alias("trials_to_correct"),
-        F.avg(F.when(after, F.col("correct"))).alias("accuracy_after"), F.sum(F.when(F.col("valid"), F.col("reward")).otherwise(0)).alias("n_rewarded"),
+        F.avg(F.when(after, F.col("correct"))).alias("accuracy_after"),
+        F.avg(F.when(F.col("valid") & (F.col("pos") >= F.col("ttc")), F.col("correct"))).alias("accuracy_from_first"), F.sum(F.when(F.col("valid"), F.col("reward")).otherwise(0)).alias("n_rewarded"),
     )
     w = Window.partitionBy("session").orderBy("block_run")
-    out = out.withColumn("prev_n_rewarded", F.coalesce(F.lag("n_rewarded").over(w), F.lit(0))).withColumn("prev_n_trials", F.lag("n_trials").over(w))
+    out = out.withColumn("prev_n_rewarded", F.coalesce(F.lag("n_rewarded").over(w), F.lit(0))).withColumn("prev_n_trials", F.lag("n_trials").over(w)).withColumn("prev_n_valid", F.lag("n_valid").over(w))
     t, p = F.col("trials_to_correct"), F.col("prev_n_rewarded")
     out = out.withColumn("bias_rl", (t - p) / (t + p + F.lit(1e-9))).withColumn("bias_inf", (t - 4) / (t + 4))
     bias = (t - p) / (t + F.greatest(p, F.lit(1)))

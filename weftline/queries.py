@@ -105,6 +105,8 @@ _add("j16_switch_events", lambda s, d: hi.switch_events(trials(s, d)), "session
 _add("a01_percent_correct", lambda s, d: su.percent_correct(trials(s, d)), "session state n ~accuracy", "SELECT session, state, count(*) AS n, avg(correct) AS accuracy FROM v GROUP BY GROUPING SETS ((session, state), (session))", VALID)
 _add("a02_a13_blocks", lambda s, d: su.blocks(trials(s, d)), "session block_run state n_trials n_valid trials_to_correct ~accuracy_after n_rewarded prev_n_rewarded prev_n_trials ~bias_rl ~bias_inf rl_status",
      "SELECT *, (trials_to_correct - prev_n_rewarded) / (trials_to_correct + prev_n_rewarded + 1e-9) AS bias_rl, (trials_to_correct - 4) / (trials_to_correct + 4) AS bias_inf, CASE WHEN trials_to_correct < floor(prev_n_rewarded / 2) THEN 'below_rl_threshold' WHEN (trials_to_correct - prev_n_rewarded) / (trials_to_correct + greatest(prev_n_rewarded, 1)) > 0.2 THEN 'biased_rl' WHEN trials_to_correct IS NOT NULL THEN 'valid_rl' END AS rl_status FROM blocks", BLOCKS)
+_add("a02_blocks_from_first", lambda s, d: su.blocks(trials(s, d)), "session block_run ~accuracy_from_first prev_n_valid",
+     "SELECT session, block_run, f AS accuracy_from_first, lag(k) OVER (PARTITION BY session ORDER BY block_run) AS prev_n_valid FROM (SELECT session, block_run, avg(correct) FILTER (WHERE valid AND pos >= ttc) AS f, count(*) FILTER (WHERE valid) AS k FROM b1 GROUP BY 1, 2)", BLOCKS)
 _add("a04_block_switches", lambda s, d: su.block_switches(trials(s, d)), "session block_run switches n ~switch_rate",
      "SELECT *, switches / nullif(n - 1, 0) AS switch_rate FROM (SELECT session, block_run, CAST(coalesce(sum((f <> pf)::INT), 0) AS BIGINT) AS switches, count(*) AS n FROM (SELECT *, lag(f) OVER (PARTITION BY session, block_run ORDER BY t, seq) AS pf FROM (SELECT *, coalesce(action, last_value(action IGNORE NULLS) OVER (PARTITION BY session, block_run ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(action IGNORE NULLS) OVER (PARTITION BY session, block_run ORDER BY t, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS f FROM runs)) GROUP BY 1, 2)", RUNS)
 _add("a07_zero_ttc", lambda s, d: su.zero_ttc(su.blocks(trials(s, d))), "session state n n_zero ~fraction",
