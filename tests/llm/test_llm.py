@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from weftline.llm import exact_dedup, langid, mixing, nearest, quality, simhash, substring, token_counts, toxicity
+from weftline.llm import queries as llm_queries
 from weftline.llm import sentencepiece as pieces
 from weftline.llm.vocabulary import PIECES, read
 
@@ -128,6 +129,14 @@ def test_encoding_equals_the_library_and_goes_back(spark):
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+def test_query_returns_the_ids(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in llm_queries.op8_sentencepiece(spark, sf).collect()}
+    want = sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(list(texts.values()))
+    assert [got[i]["ids"] for i in texts] == want and all(r["restored"] for r in got.values())
+
+
 def best_by_force(v, unit):
     own = {v.pieces[i]: v.scores[i] for i in v.matched}
     low = min(own.values()) - 10

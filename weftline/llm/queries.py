@@ -44,7 +44,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sentencepiece.round_trip(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_digest"), "restored")
+    return found.select("doc_id", "ids", "n_tokens", F.xxhash64("ids").alias("ids_digest"), "restored")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
