@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: White space of the contracts: the space and the control characters from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]"
@@ -20,19 +23,57 @@ WORDS = r"[^\x20\x09-\x0D]+"
 HEAVY_SHARE = 1000
 
 
+_FOLDERS: list[str] = []  # of the open scratch_tables(), innermost last
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a new local one only where that is unset, as in tests."""
+    """The shared folder named in spark.checkpoint.dir; unset, a new local one in local mode and an error elsewhere."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-", dir="/tmp"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[str]:
+    """A folder for the tables that operators write inside this block; it is deleted at the end.
+
+    Results are lazy and read these tables, so what is to outlast the block must have been written by then.
+    """
+    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDERS.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back (with `schema`): cuts the lineage and survives lost executors."""
+    path = f"{_FOLDERS[-1] if _FOLDERS else scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
+
+
+#: The rows of sparse vectors as Arrow columns: what the ML library's vectors are made of.
+SPARSE = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+
+
+def sparse_rows(ends: np.ndarray, at: np.ndarray, values: np.ndarray, size: int) -> pa.Array:
+    """An Arrow column of SPARSE; row i has the places at[ends[i] : ends[i + 1]], in order, with their values."""
+    n, ends = len(ends) - 1, pa.array(ends.astype(np.int32))
+    columns = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(values.astype(float)))]
+    return pa.StructArray.from_arrays(columns, ["type", "size", "indices", "values"])
+
+
+def as_vectors(df: DataFrame, column: str) -> DataFrame:
+    """df, written and read again with `column` (SPARSE) as vectors of Spark ML."""
+    return materialize(df, StructType([StructField(f.name, VectorUDT() if f.name == column else f.dataType) for f in df.schema]))
 
 
 def in_fold(id_col: str, folds: int, fold: int) -> Column:

@@ -8,11 +8,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import in_fold, map_texts, materialize
+from weftline.llm.common import SPARSE, as_vectors, in_fold, map_texts, sparse_rows
 from weftline.llm.ngrams import counts
 
 FOLDS, HELD_OUT = 4, 2
@@ -94,22 +93,23 @@ def fit(docs: DataFrame, per_language: int = 1500, orders: tuple[int, ...] = (1,
     rate = F.element_at(F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, per_language / c))]), F.col("lang"))
     train = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < rate * (1 << 30)).select("lang", "text")
 
+    size = 1 << bits
+
     def start():
         def work(texts: pa.Array) -> list[pa.Array]:
-            at, v = [], []
+            at, v, ends = [], [], [0]
             for i in range(0, len(texts), 256):
-                for r in features(texts.slice(i, 256).to_pylist(), orders, bits):
-                    at.append(np.flatnonzero(r))
-                    v.append(r[at[-1]].astype(float))
-            return [pa.array(at, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float64()))]
+                x = features(texts.slice(i, 256).to_pylist(), orders, bits)
+                row, place = np.nonzero(x)
+                at.append(place)
+                v.append(x[row, place])
+                ends += (ends[-1] + np.searchsorted(row, np.arange(1, len(x) + 1))).tolist()
+            return [sparse_rows(np.array(ends), np.concatenate(at), np.concatenate(v), size)]
 
         return work
 
-    size = 1 << bits
-    sparse = F.udf(lambda at, v: Vectors.sparse(size, at, v), VectorUDT())
     family = F.element_at(F.create_map(*[F.lit(v) for f, ls in groups.items() for lang in ls for v in (lang, f)]), F.col("lang"))
-    found = materialize(map_texts(train, "text", "at array<int>, v array<double>", start).drop("text"))
-    points = materialize(found.select("lang", family.alias("family"), sparse("at", "v").alias("x")))
+    points = as_vectors(map_texts(train.withColumn("family", family), "text", f"x {SPARSE}", start).drop("text"), "x")
     seen = {r["lang"] for r in points.select("lang").distinct().collect()}
     groups = {f: kept for f, ls in groups.items() if (kept := [x for x in ls if x in seen])}
     machines = {}

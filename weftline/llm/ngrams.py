@@ -33,13 +33,14 @@ def _buckets(codes: np.ndarray, orders: tuple[int, ...], bits: int) -> Iterator[
             yield ((h ^ np.uint32(n * 0x5BD1E995 & 0xFFFFFFFF)) * MIX) >> np.uint32(32 - bits)
 
 
-def present(texts: list, orders: tuple[int, ...], bits: int, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def present(texts: list, orders: tuple[int, ...], bits: int, table: np.ndarray | None = None, held: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, feature) pairs of the texts. Without a table a feature is a bucket; with one it is
     table[bucket] - 1, and buckets where the table has 0 are passed over. Long texts are read whole, in pieces that
-    overlap by an n-gram."""
+    overlap by an n-gram; pairs are merged whenever over `held` new ones have come together, so that memory goes with
+    the distinct pairs and not with the text."""
     width = 1 << bits if table is None else int(table.max()) + 1
-    keys = []
-    for pieces in by_size(texts, overlap=max(orders) - 1):
+    merged, keys, new = np.zeros(0, np.int64), [], 0
+    for pieces in by_size(texts, 1 << 17, 1 << 17, max(orders) - 1):
         codes, starts, rows = _codes(pieces, max(orders))
         for at in _buckets(codes, orders, bits):
             if table is None:
@@ -49,7 +50,10 @@ def present(texts: list, orders: tuple[int, ...], bits: int, table: np.ndarray |
                 where = np.flatnonzero(feature)
                 feature = feature[where].astype(np.int64) - 1
             keys.append(np.unique(rows[np.searchsorted(starts, where, "right") - 1] * width + feature))
-    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+            new += len(keys[-1])
+        if new > held:
+            merged, keys, new = np.unique(np.concatenate([merged, *keys])), [], 0
+    key = np.unique(np.concatenate([merged, *keys]))
     return key // width, key % width
 
 
@@ -58,7 +62,7 @@ def counts(texts: list, orders: tuple[int, ...], bits: int) -> np.ndarray:
     width = 1 << bits
     out = np.zeros((len(texts), width), np.float32)
     flat = out.reshape(-1)
-    for pieces in by_size(texts, overlap=max(orders) - 1):
+    for pieces in by_size(texts, 1 << 18, 1 << 18, max(orders) - 1):
         codes, starts, rows = _codes(pieces, max(orders))
         base = np.repeat((rows - rows[0]).astype(np.int64) * width, np.diff([*starts, len(codes)]))
         span = (rows[-1] - rows[0] + 1) * width

@@ -28,6 +28,23 @@ def _hashes(text: bytes, words_per_shingle: int) -> list[int]:
     return [hashed(line[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=True)]
 
 
+def prints(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """uint64 fingerprints of rows that own `counts` consecutive hashes of h each; a row without any has zero."""
+    out = np.zeros(len(counts), np.uint64)
+    full = np.flatnonzero(counts)
+    if len(full):
+        begins = np.concatenate([[0], np.cumsum(counts)])[full]
+        # eight byte lanes hold eight bit counts; at most 255 hashes are added before the lanes are widened
+        cuts = np.concatenate([np.arange(b, b + n, 255) for b, n in zip(begins, counts[full], strict=True)])
+        owners = np.searchsorted(cuts, begins)
+        bits = np.zeros((len(full), 64), np.int64)
+        for k in range(8):
+            lanes = np.add.reduceat((h >> np.uint64(k)) & LANES, cuts)
+            bits[:, k::8] = np.add.reduceat(np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, 8).astype(np.int64), owners, axis=0)
+        out[full] = np.packbits(2 * bits > counts[full][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
 def fingerprints_of(texts: list[bytes | None], words_per_shingle: int = 4) -> np.ndarray:
     """uint64 fingerprints: a bit is set if over half of the shingle hashes (repeats included) have it; no words: zero."""
     out = np.zeros(len(texts), np.uint64)
@@ -39,21 +56,7 @@ def fingerprints_of(texts: list[bytes | None], words_per_shingle: int = 4) -> np
             lists.append(_hashes(texts[rows] or b"", words_per_shingle))
             held += len(lists[-1])
             rows += 1
-        counts = np.array([len(x) for x in lists])
-        full = np.flatnonzero(counts)
-        if len(full):
-            h = np.fromiter((v for x in lists for v in x), np.uint64, held)
-            begins = np.concatenate([[0], np.cumsum(counts)])[full]
-            # eight byte lanes hold eight bit counts; at most 255 hashes are added before the lanes are widened
-            cuts = np.concatenate([np.arange(b, b + n, 255) for b, n in zip(begins, counts[full], strict=True)])
-            owners = np.searchsorted(cuts, begins)
-            bits = np.zeros((len(full), 64), np.int64)
-            for k in range(8):
-                lanes = np.add.reduceat((h >> np.uint64(k)) & LANES, cuts)
-                per = np.add.reduceat(np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, 8).astype(np.int64), owners, axis=0)
-                bits[:, k::8] = per
-            on = 2 * bits > counts[full][:, None]
-            out[at + full] = np.packbits(on, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        out[at:rows] = prints(np.fromiter((v for x in lists for v in x), np.uint64, held), np.array([len(x) for x in lists]))
         at = rows
     return out
 

@@ -8,11 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import in_fold, map_texts, materialize, slices
+from weftline.llm.common import SPARSE, as_vectors, in_fold, map_texts, materialize, slices, sparse_rows
 from weftline.llm.ngrams import present
 
 #: The held-out rows of the contract: crc32(id) mod FOLDS is HELD_OUT.
@@ -30,6 +29,7 @@ class ToxicityModel:
     intercept: float
 
     def score(self, texts: list) -> np.ndarray:
+        """The probability of label 1 for each whole text."""
         rows, features = present(texts, self.orders, self.bits, self.table)
         z = self.intercept + np.bincount(rows, self.weights[features], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -66,13 +66,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, orders: tuple
         return ToxicityModel(orders, bits, table, np.zeros(1), float(np.log(prior / (1 - prior))))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = np.zeros((2, 1 << bits), np.int32)  # of a whole task, by class: its size is fixed
         for b in batches:
-            for at, texts in slices(b.column(0), 1 << 20):
+            for at, texts in slices(b.column(0), 1 << 19):
                 rows, buckets = present(texts.to_pylist(), orders, bits)
                 one = b.column(1).slice(at, len(texts)).to_numpy(zero_copy_only=False)[rows] == 1
-                has, at_has = np.unique(buckets, return_inverse=True)
-                found = [has, *(np.bincount(at_has[x], minlength=len(has)) for x in (one, ~one))]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["bucket", "pos", "neg"])
+                np.add.at(tally[1], buckets[one], 1)
+                np.add.at(tally[0], buckets[~one], 1)
+        has = np.flatnonzero(tally.any(axis=0))
+        for i in range(0, len(has), 100_000):
+            at = has[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (at, tally[1, at], tally[0, at])], ["bucket", "pos", "neg"])
 
     df = train.select("text", "y").mapInArrow(frequencies, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     rate = lambda c, n: (F.col(c) + 0.5) / (n + 1.0)
@@ -88,15 +92,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, orders: tuple
     def start():
         def work(texts: pa.Array) -> list[pa.Array]:
             rows, found = present(texts.to_pylist(), orders, bits, table)
-            return [pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32)), pa.array(found.astype(np.int32)))]
+            return [sparse_rows(np.searchsorted(rows, np.arange(len(texts) + 1)), found, ratios[found], len(top))]
 
         return work
 
-    size = len(top)
-    sparse = F.udf(lambda at: Vectors.sparse(size, at, ratios[at].tolist()), VectorUDT())
-    points = materialize(map_texts(train.select("text", "y", "w"), "text", "at array<int>", start).drop("text"))
-    points = points.select(F.col("y").cast("double").alias("y"), "w", sparse("at").alias("x"))
-    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=reg, standardization=False, maxIter=40).fit(materialize(points))
+    points = as_vectors(map_texts(train.select(F.col("y").cast("double").alias("y"), "w", "text"), "text", f"x {SPARSE}", start).drop("text"), "x")
+    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=reg, standardization=False, maxIter=40).fit(points)
     return ToxicityModel(orders, bits, table, ratios * model.coefficients.toArray(), float(model.intercept))
 
 
@@ -118,6 +119,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 def toxicity(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
     """Fits on the labelled rows outside the held-out fold and scores every row of docs.
 
-    Extra columns of docs are ignored. An empty table gives an empty result; with no labels every score is 0.5.
+    Each row is scored by its own text: repeated rows are each returned with the same score, null texts score as empty
+    ones. Rows with null ids are scored, not learnt from. Extra columns of docs are ignored. An empty table gives an
+    empty result; with no labels every score is 0.5.
     """
     return score(docs, fit(docs, labels, **fitting))
