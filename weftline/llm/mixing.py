@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float
 
     Weights go round in the order of the sources' code points, null last. What a source can't take is shared out anew
     by weight: sources are taken by how soon they fill up, and the water level is that of the first that doesn't. The
-    windows run over one row for each source.
+    windows run over one row for each source, in one task: for millions of sources, not for billions.
     """
     w = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(float(x)) for x in weights])
@@ -61,8 +62,12 @@ def tilts(sizes: DataFrame, goals: DataFrame, most: float = MOST, steps: int = 6
         middle = F.coalesce((F.col("low") + F.col("high")) / 2, F.when(F.col("gap") > 0, F.col("tilt") - bound).otherwise(F.col("tilt") + bound))
         moved = F.when(F.col("off") <= tolerance, F.col("tilt")).when(inside, newton).otherwise(middle)
         state = materialize(s.select("key", "target", "mean", moved.alias("tilt"), "low", "high", "off"))
-        if not state.where(F.col("off") > tolerance).limit(1).count():
+        if state.where(F.col("off") > tolerance).isEmpty():
             break
+    else:
+        gap = state.agg(F.max("off")).first()[0]
+        if gap > 1e-6:
+            raise RuntimeError(f"{steps} Newton steps left a source {gap:.1e} of its target away")
     return state.select("key", "tilt")
 
 
@@ -82,31 +87,30 @@ def round_rates(sizes: np.ndarray, rates: np.ndarray, most: int = int(MOST)) ->
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chunk: int = 2_000, spread: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies, taken of every row of docs.
 
-    Rates become copies within chunks of about `chunk` documents of a source, chosen by a hash of the id (or by the long
-    `spread`, which then breaks ties of size too: for ids that may be null or repeat), so that a hot source is many
-    tasks; within a chunk, long documents first, the rounding error is handed on, and what remains is about half of the chunk's smallest document. All is deterministic. Null texts have size 0; documents of size 0 stay
-    once and take nothing. A null source is a source. Repeated rows are rounded one by one; an empty table gives an
-    empty result; other columns are ignored.
+    Rates become copies within chunks of about `chunk` documents of a source, chosen by the long `spread` (a hash of id
+    and text unless given), so that a hot source or one null id on many rows is many tasks; within a chunk, long
+    documents first, then by `spread` and id, the rounding error is handed on, and what remains is about half of the
+    chunk's smallest document. All is deterministic: rows that tie in all of these are identical but for columns that
+    are not read. Null texts have size 0; documents of size 0 stay once and take nothing. A null source is a source; a
+    null id stays null. Repeated rows are rounded one by one; an empty table gives an empty result; other columns are
+    ignored.
     """
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), *([] if spread is None else [spread.alias("spread")]))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), (F.xxhash64(id_col, text_col) if spread is None else spread).alias("spread"))
     rows = materialize(rows.withColumn("key", _key(F.col("source"))))
     sizes = materialize(rows.groupBy("key", "source", "size").agg(F.count("*").alias("rows")))
     per = sizes.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("documents"))
     goals = materialize(targets(per).withColumn("mean", F.greatest(F.col("source_size") / F.col("documents"), F.lit(1e-9))))
     plan = goals.join(tilts(sizes, goals), "key", "left").select("key", "source_size", "target", "cap", "mean", "tilt", F.ceil(F.col("documents") / chunk).cast("int").alias("chunks"))
-    by = [] if spread is None else ["spread"]
     x = F.col("tilt") * F.col("size") / F.col("mean")
     tilted = F.lit(MOST) / (1 + F.exp(-F.least(F.greatest(x, F.lit(-700.0)), F.lit(700.0))) * (MOST - 1))
     rate = F.when(F.col("target") <= 0, 0.0).when(F.col("target") >= F.col("cap"), MOST).otherwise(tilted)
-    dealt = rows.join(materialize(plan), "key").select("doc_id", "size", "source_size", "target", rate.alias("rate"), "key", *by, F.pmod("spread" if by else F.xxhash64("doc_id"), F.col("chunks")).alias("part"))
+    dealt = rows.join(materialize(plan), "key").select("doc_id", "size", "source_size", "target", rate.alias("rate"), "key", "spread", F.pmod("spread", F.col("chunks")).alias("part"))
 
-    order = ["size", *by, "doc_id"]
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [("size", "descending"), ("spread", "ascending"), ("doc_id", "ascending")]))  # ids stay in Arrow: exact, null last
+        size = t["size"].to_numpy()
+        copies = round_rates(size, t["rate"].to_numpy())
+        return t.append_column("copies", pa.array(copies)).append_column("taken", pa.array(copies * size)).select(["doc_id", "size", "source_size", "target", "rate", "copies", "taken"])
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(order, ascending=[c != "size" for c in order], kind="stable")
-        p["copies"] = round_rates(p["size"].to_numpy(), p["rate"].to_numpy())
-        p["taken"] = p["copies"] * p["size"]
-        return p.drop(columns=["key", "part", *by])
-
-    return dealt.groupBy("key", "part").applyInPandas(run, f"doc_id {kind}, size bigint, source_size bigint, target double, rate double, copies bigint, taken bigint")
+    return dealt.groupBy("key", "part").applyInArrow(run, f"doc_id {kind}, size bigint, source_size bigint, target double, rate double, copies bigint, taken bigint")
