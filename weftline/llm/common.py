@@ -53,9 +53,12 @@ def scratch_tables(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, schema: StructType | None = None) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back (with `schema`): cuts the lineage and survives lost executors."""
-    path = f"{_FOLDERS[-1] if _FOLDERS else scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+def materialize(df: DataFrame, schema: StructType | None = None, lasting: bool = False) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back (with `schema`): cuts the lineage and survives lost executors.
+
+    A `lasting` table is not among the scratch_tables() that go.
+    """
+    path = f"{_FOLDERS[-1] if _FOLDERS and not lasting else scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 

@@ -46,12 +46,13 @@ def tilts(sizes: DataFrame, goals: DataFrame, most: float = MOST, steps: int = 6
     that leaves the bracket of the root is replaced by bisection. Only (source, size) counts are read, not documents.
     """
     state = materialize(goals.where((F.col("target") < F.col("cap")) & (F.col("target") > 0)).select("key", "target", "mean", F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(1.0).alias("off")))
+    total = lambda c: F.sum(c.cast("decimal(38,10)")).cast("double")  # noqa: E731  exact, so that reruns agree in whatever order rows come
     for _ in range(steps):
         x = F.col("size") / F.col("mean")
         rate = F.lit(most) / (1 + F.exp(-F.least(F.greatest(F.col("tilt") * x, F.lit(-700.0)), F.lit(700.0))) * (most - 1))
         g = sizes.join(state, "key").groupBy("key").agg(
-            F.sum(F.col("rows") * F.col("size") * rate).alias("taken"),
-            F.sum(F.col("rows") * F.col("size") * x * rate * (1 - rate / most)).alias("slope"),
+            total(F.col("rows") * F.col("size") * rate).alias("taken"),
+            total(F.col("rows") * F.col("size") * x * rate * (1 - rate / most)).alias("slope"),
         )
         s = state.join(g, "key").withColumn("gap", F.col("taken") - F.col("target")).withColumn("off", F.abs("gap") / F.col("target"))
         s = s.withColumn("high", F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("high"))).withColumn("low", F.when(F.col("gap") <= 0, F.col("tilt")).otherwise(F.col("low")))

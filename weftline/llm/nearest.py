@@ -17,9 +17,14 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between a half and one: exact, and the cosine
+    stays the same, but no square over- or underflows (components too small beside the largest to count may go to zero)."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 values of the unit vectors, their scales, the norms of what they stand for, and the norms of the errors."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square over- or underflows
     unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     scale = np.abs(unit).max(axis=1) / 127
     q = np.rint(unit / scale[:, None]).astype(np.int8)
@@ -41,6 +46,7 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     The int8 product is off the cosine by at most slack; a pair whose upper bound is under the k-th largest lower bound
     of its query can't be among the k. The others are computed anew in double precision and merged by heaps.
     """
+    q, c = _scaled(q), _scaled(c)
     (a, sa, na, ea), (b, sb, nb, eb) = _quantised(q), _quantised(c)
     b32 = b.astype(np.float32).T  # sums of int8 products are exact in float32 up to a thousand components, in float64 beyond
     wide = q.shape[1] > 1000
@@ -72,14 +78,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     index is complete and its recall is 1.
 
     Unusable vectors (see usable) take no part, as queries or candidates; vectors of another length than the query's
-    are no candidates. Fewer than k candidates: all of them. A query id that repeats is asked once; candidates that
-    repeat an id each count. Empty tables give an empty result; other columns are ignored.
+    are no candidates. Rows with a null id take no part either, as no result could name them. Fewer than k candidates:
+    all of them. A query id that repeats is asked once; candidates that repeat an id each count. Empty tables give an
+    empty result; other columns are ignored.
     """
+    vectors, queries = vectors.where(F.col(id_col).isNotNull()), queries.where(F.col(id_col).isNotNull())
     rows = vectors.where(usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     asked = queries.where(usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).dropDuplicates(["id"])
     n_c, n_q = (max(1, math.ceil(x.count() / size)) for x, size in ((rows, candidate_block), (asked, query_block)))
     hashed = F.xxhash64("id")
-    c = rows.withColumn("cb", F.pmod(hashed, F.lit(n_c)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).withColumn("part", F.lit(1))
+    c = rows.withColumn("cb", F.pmod(F.xxhash64("id", "v"), F.lit(n_c)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).withColumn("part", F.lit(1))
     q = asked.withColumn("qb", F.pmod(hashed, F.lit(n_q)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))).withColumn("part", F.lit(0))
     cells = c.unionByName(q).withColumn("dim", F.size("v"))
 

@@ -144,14 +144,14 @@ def _matrix(x: pa.Array) -> np.ndarray:
 
 
 def _added(points: DataFrame, size: int, sums: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum over all rows of points (x, p) of sums(matrix, is positive), an array of `size`: one pass of all rows."""
+    """The sum over all rows of points (x, p) of sums(matrix, p), an array of `size`: one pass of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros(size)
         for b in batches:
             for at in range(0, b.num_rows, 20_000):
                 part = b.slice(at, 20_000)
-                acc += sums(_matrix(part.column(0)), part.column(1).to_numpy(zero_copy_only=False) == 1)
+                acc += sums(_matrix(part.column(0)), part.column(1).to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(acc)], ["at", "v"])
 
     out = np.zeros(size)
@@ -173,13 +173,14 @@ def class_prior(above_u: np.ndarray, above_p: np.ndarray, n_u: float, n_p: float
     return float(np.clip(q_u[at] / q[at], 0.01, 0.99))
 
 
-def fit(points: DataFrame, support: np.ndarray, steps: int = 8, ridge: float = 1e-4, step_back: float = 0.1, tolerance: float = 1e-3) -> QualityModel:
+def fit(points: DataFrame, support: np.ndarray, steps: int = 10, ridge: float = 3e-4, tolerance: float = 1e-3) -> QualityModel:
     """Weights that minimise the non-negative positive-unlabelled risk with the logistic loss, by Newton's method.
 
-    points (x, p): p is 1 for trusted positives, and every row counts as unlabelled. The risk is
-    prior * E_pos[l(z)] + max(0, E_unl[l(-z)] - prior * E_pos[l(-z)]); while the second term is negative the step goes
-    up its gradient, which is what the non-negative correction asks. The prior is estimated (class_prior) from the
-    scores of positives and unlabelled rows under a fit with prior one half; then the fit goes on with it. A step is one
+    points (x, p): p is 1 or 2 for trusted positives, 0 else, and every row counts as unlabelled. The risk is
+    prior * E_pos[l(z)] + max(0, E_unl[l(-z)] - prior * E_pos[l(-z)]); a step to where the second term is negative is
+    taken back by halves until it is not, and there the fit ends: that is the non-negative correction. The prior is
+    estimated (class_prior) from the scores of the positives of kind 2 and of the unlabelled rows under a fit to those
+    of kind 1 with prior one half; then a second fit has it and all positives. A step is one
     Spark job over every row; only sums of a fixed size reach the driver. Each fit ends when the risk changes by less
     than `tolerance` of itself, or after `steps`: the risk is that of the returned weights within what steps remained.
     """
@@ -187,43 +188,42 @@ def fit(points: DataFrame, support: np.ndarray, steps: int = 8, ridge: float = 1
     penalty = ridge * np.eye(size)
     penalty[-1, -1] = 1e-9
 
-    def minimise(w: np.ndarray, prior: float) -> np.ndarray:
-        def sums(x: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    def minimise(w: np.ndarray, prior: float, kinds: tuple[int, ...]) -> np.ndarray:
+        def sums(x: np.ndarray, p: np.ndarray) -> np.ndarray:
             # n_u, n_p, losses of label -1 over u and p, gradients of these, the positives' x, the Hessian over u
-            f = expand(x)
+            f, pos = expand(x), np.isin(p, kinds)
             z = f @ w
             s, loss = _sigmoid(z), np.logaddexp(0, z)
             return np.concatenate([[len(f), pos.sum(), loss.sum(), loss[pos].sum()], s @ f, s[pos] @ f[pos], f[pos].sum(axis=0), (f.T @ ((s * (1 - s))[:, None] * f)).ravel()])
 
-        before = np.inf
+        before, good = np.inf, None
         for _ in range(steps):
             a = _added(points, 4 + 3 * size + size * size, sums)
             n_u, n_p = max(a[0], 1), max(a[1], 1)
-            loss_u, loss_p, (grad_u, grad_p, mean_p) = a[2] / n_u, a[3] / n_p, a[4 : 4 + 3 * size].reshape(3, size) / [[n_u], [n_p], [n_p]]
-            negative = loss_u - prior * loss_p
-            if negative < 0:
-                w = w + step_back * (grad_u - prior * grad_p)
+            loss_u, loss_p, (grad_u, _, mean_p) = a[2] / n_u, a[3] / n_p, a[4 : 4 + 3 * size].reshape(3, size) / [[n_u], [n_p], [n_p]]
+            if loss_u < prior * loss_p and good is not None:
+                w, before = (w + good) / 2, -np.inf
                 continue
             # l(z) - l(-z) = -z, so the unbiased risk is E_unl[l(-z)] - prior * E_pos[z], which is convex in w
             risk = loss_u - prior * (mean_p @ w)
-            if abs(before - risk) <= tolerance * abs(risk):
-                break
-            before = risk
+            if before == -np.inf or abs(before - risk) <= tolerance * abs(risk):
+                return w
+            before, good = risk, w
             step = np.linalg.solve(a[4 + 3 * size :].reshape(size, size) / n_u + penalty, grad_u - prior * mean_p + penalty @ w)
             w = w - step * min(1.0, 20.0 / max(np.linalg.norm(step), 1e-12))
-        return w
+        return good if before == -np.inf else w
 
-    w = minimise(np.zeros(size), 0.5)
+    w = minimise(np.zeros(size), 0.5, (1,))
     places = np.linspace(0, 1, 1001)
 
-    def above(x: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    def above(x: np.ndarray, p: np.ndarray) -> np.ndarray:
         s = np.sort(_sigmoid(expand(x) @ w))
-        own = np.sort(_sigmoid(expand(x[pos]) @ w))
+        own = np.sort(_sigmoid(expand(x[p == 2]) @ w))
         return np.concatenate([[len(s), len(own)], len(s) - np.searchsorted(s, places), len(own) - np.searchsorted(own, places)])
 
     a = _added(points, 2 + 2 * len(places), above)
     prior = class_prior(a[2 : 2 + len(places)], a[2 + len(places) :], a[0], a[1]) if a[1] else 0.5
-    return QualityModel(minimise(w, prior), prior, support)
+    return QualityModel(minimise(np.zeros(size), prior, (1, 2)), prior, support)
 
 
 def quality(docs: DataFrame, labels: DataFrame, most_trusted: int = 20_000, **fitting) -> DataFrame:
@@ -236,7 +236,7 @@ def quality(docs: DataFrame, labels: DataFrame, most_trusted: int = 20_000, **fi
     """
     ids = materialize(trusted(labels, most_trusted))
     support = word_support(docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text"))
-    x = materialize(features(docs, support).join(F.broadcast(ids.withColumn("p", F.lit(1))), "doc_id", "left").select("doc_id", "x", F.coalesce("p", F.lit(0)).alias("p")))
+    x = materialize(features(docs, support).join(F.broadcast(ids.withColumn("p", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).cast("int") + 1)), "doc_id", "left").select("doc_id", "x", F.coalesce("p", F.lit(0)).alias("p")))
     model = fit(x, support, **fitting)
 
     @F.pandas_udf("double")
