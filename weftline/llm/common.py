@@ -21,6 +21,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 #: A key counts as heavy with over 1/HEAVY_SHARE of all rows; so there are fewer than HEAVY_SHARE heavy keys, whatever the input.
 HEAVY_SHARE = 1000
+#: The most rows of one or two numbers that are broadcast: some 16 MB.
+BROADCAST_ROWS = 1_000_000
 
 
 _FOLDERS: list[str] = []  # of the open scratch_tables(), innermost last
@@ -84,6 +86,11 @@ def in_fold(id_col: str, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+def if_few(df: DataFrame) -> DataFrame:
+    """df, a written table of short rows, marked for broadcast where it has at most BROADCAST_ROWS rows; beyond, Spark shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def lookup(big: DataFrame, small: DataFrame, key: str, weight: str, spread: str) -> DataFrame:
     """Left join of big with small (unique key; `weight` = rows of big with it) that no heavy key can skew.
 

@@ -32,7 +32,7 @@ class _Known(dict):
 class Encoder:
     """Encodes batches of distinct pre-tokens and remembers what it has encoded, up to `remember` of them."""
 
-    def __init__(self, vocabulary: Vocabulary, batch: int = 200_000, remember: int = 300_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, batch: int = 100_000, remember: int = 150_000) -> None:
         self.v, self.batch, self.remember = vocabulary, batch, remember
         own = [vocabulary.pieces[i] for i in vocabulary.matched]
         letters = sorted(set("".join(own)))

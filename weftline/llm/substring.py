@@ -8,13 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import materialize
 
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that they have inverses modulo 2 ** 64
+BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
 SPREAD = np.uint64(0xFF51AFD7ED558CCD)
 SMALL = 3  # words of the short grams that choose k-mers
 
@@ -22,7 +23,7 @@ SMALL = 3  # words of the short grams that choose k-mers
 class Rolling:
     """Hashes of any word span of one batch, from prefix sums of word hashes times powers of an odd base."""
 
-    def __init__(self, words: np.ndarray, base: int) -> None:
+    def __init__(self, words: np.ndarray, base: int = BASE) -> None:
         n = len(words) + 1
         power = np.full(n, base, np.uint64)
         power[0] = 1
@@ -80,7 +81,7 @@ def _rows(b: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[int, list]]:
 
 def _kmers(flat: np.ndarray, ends: np.ndarray, k: int) -> tuple[Rolling, np.ndarray, np.ndarray]:
     """The rolling hashes, the places of chosen k-mers that lie in one document, and their documents."""
-    rolling = Rolling(flat, BASES[0])
+    rolling = Rolling(flat)
     at = chosen(rolling, len(flat), k)
     doc = np.searchsorted(ends, at, "right") - 1
     inside = at + k <= ends[doc + 1] if len(at) else np.zeros(0, bool)
@@ -115,10 +116,15 @@ def occurrences(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "version", "text").mapInArrow(run, f"doc_id {kind}, version bigint, at int, edge bigint, next bigint, prior bigint")
 
 
+def _sha(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
+
+
 def _check(window: int, k: int):
-    """Per document: what compaction decides (spans to remove) and the windows it leaves open, with 128-bit hashes."""
+    """Per document: the spans that compaction removes, with their sources, and the windows it leaves open, with digests."""
 
-    def one(n: int, at: np.ndarray, repeated: np.ndarray, linked: np.ndarray, least: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    def one(n: int, at: np.ndarray, repeated: np.ndarray, linked: np.ndarray, less: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of windows that a path decides, the place in `at` of their first k-mer, and starts of open windows."""
         starts = np.arange(n - window + 1)
         lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + window - k, "right")
         odd = np.concatenate([[0], np.cumsum(~repeated)])
@@ -130,52 +136,105 @@ def _check(window: int, k: int):
         end = at[np.searchsorted(path, path, "right") - 1] + k
         first = np.minimum(lo, len(at) - 1)
         within = whole & (starts >= begin[first]) & (starts + window <= end[first])
-        return starts[within & (least[first] < own)], starts[whole & ~within]
+        sure = within & less[first]
+        return starts[sure], first[sure], starts[whole & ~within]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, texts in _rows(b):
-                lists = b.column("marks").slice(first, len(texts)).to_pylist()
-                ids = b.column("doc_id").slice(first, len(texts))
+            for row, texts in _rows(b):
+                count = len(texts)
+                lists = b.column("marks").slice(row, count)
+                flat_marks = lists.flatten()
+                mark = {c: flat_marks.field(c).to_numpy(zero_copy_only=False) for c in ("at", "linked", "src_doc", "src_version", "src_at")}
+                mark_cuts = np.concatenate([[0], np.cumsum(np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64))])
+                ids, versions = b.column("doc_id").slice(row, count), b.column("version").slice(row, count)
                 words, flat, ends = _batch(texts)
-                rolling, at, doc = _kmers(flat, ends, k)
-                second = Rolling(flat, BASES[1])
-                cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-                out = {c: [] for c in ("n_words", "sha", "text", "sure", "open", "h1", "h2")}
-                for i, (ws, marks, own) in enumerate(zip(words, lists, ids.to_pylist(), strict=True)):
+                _, at, doc = _kmers(flat, ends, k)
+                cuts = np.searchsorted(doc, np.arange(count + 1))
+                out = {c: [] for c in ("n_words", "sha", "text", "source", "open", "key", "spans", "start", "n", "from", "src_start", "digest")}
+                for i, (ws, own, version) in enumerate(zip(words, ids.to_pylist(), versions.to_pylist(), strict=True)):
+                    m = slice(mark_cuts[i], mark_cuts[i + 1])
                     sure = open_ = np.zeros(0, np.int64)
-                    if marks and len(ws) >= window:
-                        here = at[cuts[i] : cuts[i + 1]] - ends[i]
-                        known = np.array([m["at"] for m in marks])
-                        spot = np.minimum(np.searchsorted(known, here), len(known) - 1)
-                        repeated = known[spot] == here
-                        linked = np.array([m["linked"] for m in marks])[spot]
-                        least = np.array([m["least"] for m in marks])[spot]
-                        sure, open_ = one(len(ws), here, repeated, linked, least, own)
+                    source, before = False, len(out["start"])
+                    if m.stop > m.start:
+                        known, src = mark["at"][m], mark["src_doc"][m]
+                        source = bool(((src == own) & (mark["src_version"][m] == version)).any())
+                        if len(ws) >= window:
+                            here = at[cuts[i] : cuts[i + 1]] - ends[i]
+                            spot = np.minimum(np.searchsorted(known, here), len(known) - 1)
+                            sure, first, open_ = one(len(ws), here, known[spot] == here, mark["linked"][m].astype(bool)[spot], (src < own)[spot])
+                    if len(sure):
+                        mine = spot[first]
+                        move = mark["src_at"][m][mine] - here[first]
+                        same = (np.diff(sure) == 1) & (np.diff(move) == 0) & (src[mine[1:]] == src[mine[:-1]]) & (np.diff(mark["src_version"][m][mine]) == 0)
+                        heads = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(sure)]])
+                        for x, y in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+                            begin = int(sure[x])
+                            out["start"].append(begin)
+                            out["n"].append(y - x)
+                            out["from"].append(m.start + int(mine[x]))
+                            out["src_start"].append(begin + int(move[x]))
+                            out["digest"].append(_sha(ws[begin : begin + y - x + window - 1]))
                     touched = len(sure) + len(open_) > 0
                     out["n_words"].append(len(ws))
                     out["sha"].append(None if touched else hashlib.sha256(b" ".join(ws)).hexdigest())
-                    out["text"].append(texts[i] if touched else None)
-                    out["sure"].append(sure.astype(np.int32))
+                    out["text"].append(texts[i] if touched or source else None)
+                    out["source"].append(source)
+                    out["spans"].append(len(out["start"]) - before)
                     out["open"].append(open_.astype(np.int32))
-                    for name, r in (("h1", rolling), ("h2", second)):
-                        out[name].append(r.spans(ends[i] + open_, ends[i] + open_ + window).view(np.int64))
-                arrays = [ids, b.column("version").slice(first, len(texts)), pa.array(out["n_words"], pa.int64()), pa.array(out["sha"], pa.string()), pa.array(out["text"], pa.binary()).cast(pa.string())]
-                arrays += [pa.array(out[c], pa.list_(kind)) for c, kind in (("sure", pa.int32()), ("open", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "version", "n_words", "sha", "text", "sure", "open", "h1", "h2"])
+                    out["key"].append([_sha(ws[p : p + window]) for p in open_.tolist()])
+                taken = pa.array(out["from"], pa.int64())
+                spans = pa.StructArray.from_arrays(
+                    [pa.array(out["start"], pa.int32()), pa.array(out["n"], pa.int32()), flat_marks.field("src_doc").take(taken), flat_marks.field("src_version").take(taken),
+                     pa.array(out["src_start"], pa.int32()), pa.array(out["digest"], pa.binary())], ["start", "n", "src_doc", "src_version", "src_start", "digest"],
+                )
+                spans = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *out["spans"]]).astype(np.int32)), spans)
+                arrays = [ids, versions, pa.array(out["n_words"], pa.int64()), pa.array(out["sha"], pa.string()), pa.array(out["text"], pa.binary()).cast(pa.string()), pa.array(out["source"], pa.bool_())]
+                arrays += [pa.array(out["open"], pa.list_(pa.int32())), pa.array(out["key"], pa.list_(pa.binary())), spans]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "version", "n_words", "sha", "text", "source", "open", "key", "spans"])
 
     return run
 
 
+def _unproven(checked: DataFrame, window: int) -> DataFrame:
+    """(src_doc, src_version, src_start, n, digest) of spans whose words are not those at the source's coordinates.
+
+    Equal spans of one source are one request, so that a passage in many documents is read once at its source.
+    """
+    at = ["src_doc", "src_version", "src_start", "n"]
+    asked = materialize(checked.where(F.size("spans") > 0).select(F.explode("spans").alias("s")).select("s.*").groupBy(*at, "digest").agg(F.count("*").alias("spans")))
+    lists = asked.groupBy("src_doc", "src_version").agg(F.collect_set(F.struct("src_start", "n", "digest")).alias("asked"))
+    sources = checked.where("source").select(F.col("doc_id").alias("src_doc"), F.col("version").alias("src_version"), "text").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, found = [], []
+            for i, (text, asked) in enumerate(zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("asked").to_pylist(), strict=True)):
+                words = (text or b"").split()
+                for x in asked:
+                    if _sha(words[x["src_start"] : x["src_start"] + x["n"] + window - 1]) != x["digest"]:
+                        rows.append(i)
+                        found.append(x)
+            at = pa.array(rows, pa.int64())
+            more = [pa.array([x[c] for x in found], kind) for c, kind in (("src_start", pa.int32()), ("n", pa.int32()), ("digest", pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column("src_doc").take(at), b.column("src_version").take(at), *more], ["src_doc", "src_version", "src_start", "n", "digest"])
+
+    kind = dict(checked.dtypes)["doc_id"]
+    met = lists.join(sources, ["src_doc", "src_version"], "left").select("src_doc", "src_version", "text", "asked")
+    return materialize(met.mapInArrow(run, f"src_doc {kind}, src_version bigint, src_start int, n int, digest binary"))
+
+
 def remove_repeats(docs: DataFrame, window: int = 50, k: int = 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every row: words go that a window covers which a smaller id also has.
 
     Chosen token k-mers are the edges of a De Bruijn graph over all documents; one in two documents or more is
     repeated. Steps that are the only way on from one repeated k-mer and the only way to the next are found by a join
     of the graph with itself; along them neighbouring k-mers form compacted paths, whose windows all stand in the same
-    documents, so that the path's smallest id decides for them at once. The remaining windows made of repeated k-mers,
-    those over the ends of paths, are compared one by one by 128-bit hashes at their source coordinates. Every window
-    has a chosen k-mer (2 * k <= window + 4), so none is missed.
+    documents, so that the path's smallest id decides for them at once. Each run of such windows is then verified: the
+    SHA-256 of its words must be that of the words at its coordinates in the source document; a run that its source does
+    not confirm stays. The remaining windows made of repeated k-mers, those over the ends of paths, are compared one by
+    one by the SHA-256 of their words. So nothing goes on the k-mers' own 64-bit hashes. Every window has a chosen k-mer
+    (2 * k <= window + 4), so none is missed.
 
     Null texts have no words. Windows are judged on the input. Rows that repeat an id are one document in this; rows
     with a null id lose nothing and are no source. An empty table gives an empty result; other columns are ignored.
@@ -185,41 +244,51 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int = 27, id_col: str =
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("version", F.coalesce(F.xxhash64("text"), F.lit(0)))
     found = occurrences(rows.where(F.col("doc_id").isNotNull()), k)
-    repeated = found.groupBy("edge").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    repeated = materialize(repeated)  # a written table: Spark can then split a hot edge's rows in the join
-    marks = materialize(found.join(repeated, "edge"))
+    source = F.min(F.struct("doc_id", "version", "at")).alias("src")
+    repeated = found.groupBy("edge").agg(source, F.max("doc_id").alias("most")).where("src.doc_id < most")
+    repeated = materialize(repeated.select("edge", F.col("src.doc_id").alias("src_doc"), F.col("src.version").alias("src_version"), F.col("src.at").alias("src_at")))
+    marks = materialize(found.join(repeated, "edge"))  # of written tables: Spark can then split a hot edge's rows in the join
     only = lambda c: (F.min(c) == F.max(c)) & (F.count(c) == F.count("*"))
     graph = marks.groupBy("edge").agg(F.min("next").alias("next"), F.min("prior").alias("prior"), only("next").alias("one_on"), only("prior").alias("one_to"))
     graph = materialize(graph)
     steps = graph.where("one_on").select(F.col("next").alias("step")).join(graph.where("one_to").select(F.col("prior").alias("step")), "step").distinct()
     steps = materialize(steps)
     linked = marks.join(steps.withColumn("linked", F.lit(True)), marks["next"] == F.col("step"), "left")
-    lists = linked.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("at", F.coalesce("linked", F.lit(False)).alias("linked"), "least"))).alias("marks"))
+    mark = F.struct("at", F.coalesce("linked", F.lit(False)).alias("linked"), "src_doc", "src_version", "src_at")
+    lists = linked.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(mark)).alias("marks"))
     checked = rows.join(lists, ["doc_id", "version"], "left").select("doc_id", "version", "text", "marks")
-    checked = materialize(checked.mapInArrow(_check(window, k), f"doc_id {kind}, version bigint, n_words bigint, sha string, text string, sure array<int>, open array<int>, h1 array<bigint>, h2 array<bigint>"))
-    open_ = checked.where(F.size("open") > 0).select("doc_id", "version", F.explode(F.arrays_zip("open", "h1", "h2")).alias("w")).select("doc_id", "version", "w.*")
-    least = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    spans = f"array<struct<start:int,n:int,src_doc:{kind},src_version:bigint,src_start:int,digest:binary>>"
+    checked = materialize(checked.mapInArrow(_check(window, k), f"doc_id {kind}, version bigint, n_words bigint, sha string, text string, source boolean, open array<int>, key array<binary>, spans {spans}"))
+    open_ = checked.where(F.size("open") > 0).select("doc_id", "version", F.explode(F.arrays_zip("open", "key")).alias("w")).select("doc_id", "version", "w.*")
+    least = open_.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     least = materialize(least)
-    more = open_.join(least, ["h1", "h2"]).where("least < doc_id").groupBy("doc_id", "version").agg(F.collect_set("open").alias("more"))
+    more = open_.join(least, "key").where("least < doc_id").groupBy("doc_id", "version").agg(F.collect_set("open").alias("more"))
+    unproven = _unproven(checked, window)
 
     @F.pandas_udf("n_removed bigint, kept_text string")
-    def cut(texts: pd.Series, sure: pd.Series, more: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, begins: pd.Series, counts: pd.Series, more: pd.Series) -> pd.DataFrame:
         removed, kept = [], []
-        for t, a, b in zip(texts, sure, more, strict=True):
+        for t, a, n, b in zip(texts, begins, counts, more, strict=True):
             words = t.encode("utf-8", "surrogatepass").split()
-            mark = np.zeros(len(words) + window + 1, np.int64)
-            for starts in (a, b):
-                if starts is not None and len(starts):
-                    np.add.at(mark, starts, 1)
-                    np.add.at(mark, np.asarray(starts) + window, -1)
+            mark = np.zeros(len(words) + 1, np.int64)
+            for begin, stop in ((a, a + n + window - 1), (b, b + window)) if b is not None else ((a, a + n + window - 1),):
+                np.add.at(mark, begin, 1)
+                np.add.at(mark, stop, -1)
             stays = np.cumsum(mark)[: len(words)] == 0
             removed.append(int(len(words) - stays.sum()))
             kept.append(b" ".join([words[i] for i in np.flatnonzero(stays)]).decode("utf-8", "surrogatepass"))
         return pd.DataFrame({"n_removed": removed, "kept_text": kept})
 
-    touched = checked.where(F.col("text").isNotNull()).select("doc_id", "version", "n_words", "text", "sure").join(more, ["doc_id", "version"], "left")
-    touched = touched.withColumn("c", cut("text", "sure", "more")).select("doc_id", "version", "n_words", "c.n_removed", "c.kept_text", F.lit(None).cast("string").alias("sha"))
-    plain = checked.where(F.col("text").isNull()).select("doc_id", "version", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept_text"), "sha")
+    changed = F.col("sha").isNull()
+    touched = checked.where(changed).select("doc_id", "version", "n_words", "text", "spans")
+    if not unproven.isEmpty():  # a run of windows whose k-mers all collide with others: their documents' spans are taken apart and joined again
+        each = touched.select("doc_id", "version", F.explode("spans").alias("s")).select("doc_id", "version", "s.*").join(unproven, ["src_doc", "src_version", "src_start", "n", "digest"], "left_anti")
+        good = each.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+        touched = touched.drop("spans").join(good, ["doc_id", "version"], "left")
+    none = F.array().cast("array<int>")
+    touched = touched.join(more, ["doc_id", "version"], "left").withColumn("c", cut("text", F.coalesce("spans.start", none), F.coalesce("spans.n", none), "more"))
+    touched = touched.select("doc_id", "version", "n_words", "c.n_removed", "c.kept_text", F.lit(None).cast("string").alias("sha"))
+    plain = checked.where(~changed).select("doc_id", "version", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept_text"), "sha")
     return touched.unionByName(plain).drop("version").withColumnRenamed("sha", "sha_of_whole")
 
 

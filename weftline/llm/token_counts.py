@@ -13,6 +13,8 @@ from weftline.llm.vocabulary import PIECES, Vocabulary, read
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
 BITS = 20
+#: Units of more characters go one by one: few share more than this, and the trie takes one step for each depth.
+LONG = 128
 
 
 class _Seen(dict):
@@ -106,9 +108,55 @@ class TrieCounter:
             score[d, at], count[d, at] = best, tokens
         return count[sizes, owner[sizes, rows]]
 
+    def _long(self, units: list[str], block: int = 1 << 18) -> list[int]:
+        """Token counts of sorted distinct long units, one forward pass each over the places where pieces match.
+
+        The pass starts after the prefix shared with the unit before. Of a unit longer than a block only the scores that
+        the next places can reach are held, so that memory does not go with its length.
+        """
+        reach, out, last = self.v.longest, [], ""
+        score, count, base = [0.0], [0], 0
+        for unit in units:
+            shared = 0 if base else next((i for i, (a, b) in enumerate(zip(last, unit)) if a != b), min(len(last), len(unit)))
+            score, count, base = score[: shared + 1] if shared else [0.0], count[: shared + 1] if shared else [0], 0
+            for low in range(shared, len(unit), block):
+                high, begin = min(low + block, len(unit)), max(0, low - reach + 1)
+                codes = np.frombuffer(unit[begin:high].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+                h, found = np.zeros(len(codes), np.uint64), []
+                for k in range(1, min(reach, len(codes)) + 1):
+                    h = h[: len(codes) - k + 1] * BASE + codes[k - 1 :]
+                    p = self._piece(h)
+                    at = np.flatnonzero(p >= 0)
+                    at = at[at + begin + k > low]
+                    found.append((at + begin + k, np.full(len(at), k), self.scores[p[at]]))
+                end, size, gain = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((-size, end))
+                cuts = np.searchsorted(end[order], np.arange(low + 1, high + 2)).tolist()
+                size, gain = size[order].tolist(), gain[order].tolist()
+                for e in range(low + 1, high + 1):
+                    best, tokens, single = -np.inf, 0, False
+                    for i in range(cuts[e - low - 1], cuts[e - low]):
+                        k = size[i]
+                        value = score[e - k - base] + gain[i]
+                        if value > best:
+                            best, tokens = value, count[e - k - base] + 1
+                        single = single or k == 1
+                    if not single and (value := score[e - 1 - base] + self.unknown) > best:
+                        best, tokens = value, count[e - 1 - base] + len(self.v.fallback(unit[e - 1]))
+                    score.append(best)
+                    count.append(tokens)
+                if len(unit) > block and (gone := len(score) - reach) > 0:
+                    score, count, base = score[gone:], count[gone:], base + gone
+            out.append(count[-1])
+            last = unit
+        return out
+
     def _count(self, units: list[str]) -> np.ndarray:
         out, order = np.zeros(len(units), np.int64), sorted(range(len(units)), key=units.__getitem__)
         sizes = np.array([len(u) for u in units])
+        long = [i for i in order if sizes[i] > LONG]
+        out[long] = self._long([units[i] for i in long])
+        order = [i for i in order if sizes[i] <= LONG]
         width = 16
         while len(order):
             now = [i for i in order if sizes[i] <= width]
@@ -144,8 +192,9 @@ def token_counts(docs: DataFrame, model_file: str = PIECES, id_col: str = "doc_i
     """doc_id, n_pretokens, n_tokens of every whole text: the length of the best unigram segmentation into the pieces.
 
     Scores are those in the model file, whatever its type; characters that no piece has count as their bytes. Null and
-    empty texts have no tokens. The vocabulary is broadcast; its size is that of the model file. Rows are never
-    dropped; other columns are ignored.
+    empty texts have no tokens. The vocabulary is broadcast; its size is that of the model file. Every row has a row,
+    repeated rows and null ids too; an empty table gives an empty result; other columns are ignored. A text without
+    spaces is one unit and is worked out whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read(model_file))
 
