@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the one that spark.checkpoint.dir names; in a local one where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="weftline-", dir="/tmp")
-    return f"{root}/{uuid.uuid4().hex}"
+from weftline.sources.scratch import shared_folder
 
 
 def run_to_end(stream: DataFrame) -> DataFrame:
     """Processes what the source has now into Parquet in the shared folder, and reads it back."""
-    spark, path = stream.sparkSession, shared_dir(stream.sparkSession)
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
