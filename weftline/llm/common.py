@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from weftline.sources.scratch import shared_folder
+
 #: White space of the contracts: the space and the control characters from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -25,42 +26,47 @@ HEAVY_SHARE = 1000
 BROADCAST_ROWS = 1_000_000
 
 
-_FOLDERS: list[str] = []  # of the open scratch_tables(), innermost last
+_FOLDERS: list[str] = []  # of the stages that are being put together, innermost last
+_LAST: list[str] = []  # of the stages before, not yet deleted
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; unset, a new local one in local mode and an error elsewhere."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-", dir="/tmp"))
-    return sc.getCheckpointDir()
-
+    return shared_folder(spark)
 
-@contextmanager
-def scratch_tables(spark: SparkSession) -> Iterator[str]:
-    """A folder for the tables that operators write inside this block; it is deleted at the end.
 
-    Results are lazy and read these tables, so what is to outlast the block must have been written by then.
-    """
-    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    _FOLDERS.append(folder)
-    try:
-        yield folder
-    finally:
-        _FOLDERS.remove(folder)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, schema: StructType | None = None, lasting: bool = False) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back (with `schema`): cuts the lineage and survives lost executors.
+def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A pipeline stage whose tables lie in a folder of its own.
 
-    A `lasting` table is not among the scratch_tables() that go.
+    A stage's result is written before the next stage begins, so that then the tables of the stages before are deleted;
+    those that the next stage's docs still read, as they do where a result was not written, are kept.
     """
-    path = f"{_FOLDERS[-1] if _FOLDERS and not lasting else scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        for folder in [f for f in _LAST if not any(f in name for name in read)]:
+            delete(spark, folder)
+            _LAST.remove(folder)
+        folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+        _FOLDERS.append(folder)
+        try:
+            return function(spark, docs, sf_dir)
+        finally:
+            _FOLDERS.remove(folder)
+            _LAST.append(folder)
+
+    return run
+
+
+def materialize(df: DataFrame, schema: StructType | None = None, path: str | None = None) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back (with `schema`): cuts the lineage and survives lost executors."""
+    path = path or f"{_FOLDERS[-1] if _FOLDERS else scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
