@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from weftline import queries
+from weftline import queries_more as queries
 from weftline.operators import align, assembly, history, replays, summaries
 
 DATA = "/root/testdata/sf0.001"

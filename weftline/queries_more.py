@@ -12,6 +12,7 @@ from weftline.operators import hmm
 from weftline.operators import history as hi
 from weftline.operators import linear as li
 from weftline.operators import points as po
+from weftline.operators import policies as pl
 from weftline.operators import sessions as se
 from weftline.operators import spectra as sp
 from weftline.operators import summaries as su
@@ -485,3 +486,32 @@ def _fitted(s: SparkSession, d: str, logistic: bool = False) -> DataFrame:
 QUERIES["m22_linear_hmm"] = lambda s, d: _fitted(s, d)
 QUERIES["m22_logistic_hmm"] = lambda s, d: _fitted(s, d, True)
 QUERIES["m23_gaussian_hmm"] = lambda s, d: s.createDataFrame([(k, float(w[0]), float(v)) for m in [hmm.fit(_sequence(s, d), 3, steps=4)] for k, (w, v) in enumerate(zip(m.weights, m.deviations, strict=True))], "state int, mean double, deviation double")
+
+# The panel of policies; its SQL walks the history one trial at a time.
+PANEL = SIDED + """, pw(session, rn, seq, same, paid, home, n, away, run, pooled, fq) AS (
+  SELECT session, 0::BIGINT, NULL::BIGINT, 0, 0, -1, 0, 0, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM v WHERE rn = 1
+  UNION ALL SELECT session, rn, seq, same, paid, home, n, away, run, pooled, fq FROM (SELECT x.session, x.rn, x.seq, s.* EXCLUDE (session, rn) FROM v x JOIN (
+    SELECT w.session, w.rn, CASE WHEN w.rn = 0 THEN 0 ELSE 2 * a - 1 END AS same, CASE WHEN w.rn = 0 THEN 0 ELSE r END AS paid, CASE WHEN r = 1 THEN a ELSE home END AS home,
+      CASE WHEN r = 1 THEN CASE WHEN home = a THEN n + 1 ELSE 1 END WHEN home >= 0 AND a <> home THEN 0 ELSE n END AS n,
+      CASE WHEN r = 1 OR home < 0 OR a = home THEN 0 ELSE away + 1 END AS away,
+      CASE WHEN r = 1 THEN CASE WHEN home = a THEN run + 1 ELSE 1 END ELSE run END AS run,
+      CASE WHEN w.rn = 0 THEN 0 ELSE 0.8 * pooled + r END AS pooled, CASE WHEN w.rn = 0 THEN 0 ELSE 0.7 * fq + 0.3 * r * (2 * a - 1) END AS fq
+    FROM pw w LEFT JOIN (SELECT session, rn, action AS a, reward AS r FROM v) b ON b.session = w.session AND b.rn = w.rn) s ON x.session = s.session AND x.rn = s.rn + 1)),
+pq AS (SELECT pw.*, -doubt_value AS d, -same * paid AS probe, (1 + tanh(run - 3)) / 2 AS s3, (1 + tanh((run - 2.5) / 0.5)) / 2 AS s25, (1 + tanh((pooled - 2) / 0.5)) / 2 AS sg FROM pw JOIN (SELECT session, seq, doubt_value FROM doubt) USING (session, seq) WHERE pw.rn > 0)"""
+
+
+def _panel_sql() -> str:
+    half = "(1 + tanh({})) / 2".format
+    expected = lambda s: f"CASE WHEN same = 0 THEN 0.5 WHEN paid > 0 THEN CASE WHEN same < 0 THEN 0.1 + 0.8 * {s} ELSE 0.9 - 0.8 * {s} END ELSE {half('same + 1.4 * d')} END"
+    goal = lambda n: f"CASE WHEN home < 0 THEN 0.5 WHEN (CASE WHEN away > 0 THEN CASE WHEN away < {n} THEN 1 - home ELSE home END WHEN paid > 0 AND n >= {n} THEN 1 - home ELSE home END) = 1 THEN 0.9 ELSE 0.1 END"
+    found = {
+        "chance": "0.5", "immediate_persistence": "(1 + same) / 2", "wsls": "(1 + CASE WHEN paid > 0 THEN same ELSE -same END) / 2", "win_switch_lose_stay": "(1 + CASE WHEN paid > 0 THEN -same ELSE same END) / 2",
+        "simple_probe_persistence": half("same + probe"), "expectancy_persistence_doubt": half("same + probe * s3 + d"), "forgetting_q_learning": "1 / (1 + exp(-fq))", "probe_persistence_doubt": half("same + 2 * probe + 1.4 * d"),
+        "direct_expectancy_switch_doubt": expected("s25"), "global_reward_expectancy_doubt": expected("sg"), "home_referenced_expectancy_doubt": half("CASE WHEN home < 0 THEN 0 ELSE (2 * home - 1) * (1 - 2 * s25) END + d"),
+        "threshold_probe_return_3_3": goal(3), "threshold_probe_return_1_1": goal(1),
+    }
+    return " UNION ALL ".join(f"SELECT session, seq, '{n}' AS policy, ({x})::DOUBLE AS p_left FROM pq" for n, x in found.items())
+
+
+_add("f06_policy_panel", lambda s, d: pl.policy_panel(trials(s, d)).where("policy != 'history_ideal_observer'"), "session seq policy ~p_left", _panel_sql(), PANEL)
+QUERIES["f06_observer_panel"] = lambda s, d: pl.observer_panel(pl.policy_panel(trials(s, d)))
