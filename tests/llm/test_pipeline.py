@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from weftline.llm import mixing, near_copies
@@ -93,3 +94,54 @@ def test_near_stage_drops_copies_between_08_and_1(spark):
     texts = [" ".join(f"x{n}" if n % step == 3 else w for n, w in enumerate(words)) for step in (10**6, 70, 50, 40)]
     kept = cp.drop_near_copies(spark, documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), "").collect()
     assert {r["doc_id"] for r in kept} == set(roots_by_force(texts))
+
+
+def clashing(spark, rows):
+    """documents with columns of the names that stages use for their own."""
+    extra = {"row_key": 5, "times": 2, "score": 0.25, "copies": 3, "root": 1, "rank": 1, "row": 9, "keep_id": 4, "none": 1}
+    return documents(spark, rows).withColumns({k: F.lit(v) for k, v in extra.items()}), extra
+
+
+@pytest.mark.parametrize("stage", [cp.drop_exact_copies, cp.drop_near_copies, cp.mix_sources])
+def test_columns_that_clash_pass_through(spark, stage):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "a b c d e f g", "en", "a"), (2, "a b c d e f g", "en", "a"), (3, long, "en", "b"), (4, None, None, None), (4, "", "en", "a")]
+    docs, extra = clashing(spark, rows)
+    out = stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert all(r[k] == v for r in out.collect() for k, v in extra.items())
+    none = docs.where("false")
+    assert stage(spark, none, "").collect() == []
+
+
+def test_toxicity_stage_keeps_the_clean(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["plain", "quiet", "river", "stone"]) for _ in range(20)) + (" vile! filth!" if i % 4 == 0 else ""), "en", "a") for i in range(300)]
+    rows += [(None, None, None, None), (None, "plain quiet river", "en", "a"), (7, "plain stone", "en", "a"), (7, "plain stone", "en", "a")]
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, extra = clashing(spark, rows)
+    out = cp.drop_toxic(spark, docs, str(tmp_path))
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert out.columns == docs.columns and got == Counter(r[:2] for r in rows if "vile" not in (r[1] or ""))
+
+
+def test_the_whole_pipeline(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    out = cp.run(spark, sf)
+    assert out.columns == ["doc_id", "ids", "n_tokens", "restored"] and out.where("NOT restored").isEmpty()
+    assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for name, stage in cp.STAGES[:4]:
+        assert cp.drop_exact_copies.__name__ == "drop_exact_copies" and callable(stage) and name
+
+
+def test_tables_of_a_stage_go_when_the_next_begins(spark, tmp_path):
+    from weftline.llm import common
+
+    docs = documents(spark, [(i, f"text number {i}", "en", "a") for i in range(20)])
+    first = cp.drop_exact_copies(spark, docs, "")
+    second = cp.drop_near_copies(spark, first, "")  # not written: what it reads stays
+    assert second.count() == 20
+    second.write.parquet(f"{tmp_path}/docs")
+    held = list(common._LAST)
+    assert cp.mix_sources(spark, spark.read.parquet(f"{tmp_path}/docs"), "").count() > 0
+    assert not set(held) & set(common._LAST)

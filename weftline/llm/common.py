@@ -50,7 +50,7 @@ def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Call
     @wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         read = docs.inputFiles()
-        for folder in [f for f in _LAST if not any(f in name for name in read)]:
+        for folder in [f for f in _LAST if not any(f.rsplit("/", 1)[1] in name for name in read)]:  # names of files may be spelt otherwise
             delete(spark, folder)
             _LAST.remove(folder)
         folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
@@ -114,14 +114,15 @@ def lookup(big: DataFrame, small: DataFrame, key: str, weight: str, spread: str)
     return met.select(*big.columns, *[F.coalesce(f"_h_{c}", f"_l_{c}").alias(c) for c in values])
 
 
-def by_size(texts: list, most: int = 1 << 20, longest: int = 1 << 20, overlap: int = 0) -> Iterator[list[tuple[int, str]]]:
-    """Lists of (row, piece) of at most about `most` characters; texts over `longest` are cut into pieces that overlap."""
+def by_size(texts: list, most: int, overlap: int) -> Iterator[list[tuple[int, str, int]]]:
+    """Lists of (row, piece, own) of at most about `most` characters; longer texts are cut into pieces that overlap, of which
+    the first `own` characters are a piece's own."""
     out, held = [], 0
     for row, text in enumerate(texts):
         text = text or ""
-        for at in range(0, max(1, len(text)), longest):
-            piece = text if len(text) <= longest else text[at : at + longest + overlap]
-            out.append((row, piece))
+        for at in range(0, max(1, len(text)), most):
+            piece = text if len(text) <= most else text[at : at + most + overlap]
+            out.append((row, piece, min(len(text) - at, most)))
             held += len(piece) + 64
             if held >= most:
                 yield out

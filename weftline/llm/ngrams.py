@@ -12,13 +12,17 @@ MULTIPLIER = np.uint32(0x01000193)
 MIX = np.uint32(0x9E3779B1)
 
 
-def _codes(pieces: list[tuple[int, str]], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the lower-cased pieces, each followed by `gap` zeros; where each piece starts; its row."""
-    lowered = [p.lower() for _, p in pieces]
+def _codes(pieces: list[tuple[int, str, int]], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the lower-cased pieces, each followed by `gap` zeros; the places where a piece's own n-grams begin; the
+    row of each of these. An n-gram that reaches over a text's end has zeros there, whatever text comes next."""
+    lowered = [p.lower() for _, p, _ in pieces]
     pad = "\0" * gap
     codes = np.frombuffer((pad.join(lowered) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)
+    # a few letters change their number when lower-cased: a piece that is cut keeps what its own part has become
+    own = [len(x) if len(p) == n else len(p[:n].lower()) for x, (_, p, n) in zip(lowered, pieces, strict=True)]
     starts = np.cumsum([0, *[len(x) + gap for x in lowered[:-1]]])
-    return codes, starts, np.array([r for r, _ in pieces])
+    places = np.repeat(starts - np.cumsum(own) + own, own) + np.arange(sum(own))
+    return codes, places, np.repeat([r for r, _, _ in pieces], own)
 
 
 def _buckets(codes: np.ndarray, orders: tuple[int, ...], bits: int) -> Iterator[np.ndarray]:
@@ -40,16 +44,15 @@ def present(texts: list, orders: tuple[int, ...], bits: int, table: np.ndarray |
     the distinct pairs and not with the text."""
     width = 1 << bits if table is None else int(table.max()) + 1
     merged, keys, new = np.zeros(0, np.int64), [], 0
-    for pieces in by_size(texts, 1 << 17, 1 << 17, max(orders) - 1):
-        codes, starts, rows = _codes(pieces, max(orders))
+    for pieces in by_size(texts, 1 << 17, max(orders) - 1):
+        codes, places, rows = _codes(pieces, max(orders))
         for at in _buckets(codes, orders, bits):
             if table is None:
-                where, feature = np.arange(len(at)), at.astype(np.int64)
+                key = rows * width + at[places]
             else:
-                feature = table[at]
-                where = np.flatnonzero(feature)
-                feature = feature[where].astype(np.int64) - 1
-            keys.append(np.unique(rows[np.searchsorted(starts, where, "right") - 1] * width + feature))
+                feature = table[at[places]].astype(np.int64)
+                key = (rows * width + feature - 1)[feature > 0]
+            keys.append(np.unique(key))
             new += len(keys[-1])
         if new > held:
             merged, keys, new = np.unique(np.concatenate([merged, *keys])), [], 0
@@ -62,10 +65,11 @@ def counts(texts: list, orders: tuple[int, ...], bits: int) -> np.ndarray:
     width = 1 << bits
     out = np.zeros((len(texts), width), np.float32)
     flat = out.reshape(-1)
-    for pieces in by_size(texts, 1 << 18, 1 << 18, max(orders) - 1):
-        codes, starts, rows = _codes(pieces, max(orders))
-        base = np.repeat((rows - rows[0]).astype(np.int64) * width, np.diff([*starts, len(codes)]))
-        span = (rows[-1] - rows[0] + 1) * width
+    for pieces in by_size(texts, 1 << 18, max(orders) - 1):
+        codes, places, rows = _codes(pieces, max(orders))
+        if not len(rows):
+            continue
+        first, span = rows[0] * width, (rows[-1] - rows[0] + 1) * width
         for at in _buckets(codes, orders, bits):
-            flat[rows[0] * width : rows[0] * width + span] += np.bincount(base[: len(at)] + at, minlength=span)
+            flat[first : first + span] += np.bincount(rows * width - first + at[places], minlength=span)
     return out
