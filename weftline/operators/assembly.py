@@ -90,7 +90,7 @@ def welch(samples: DataFrame, rate: float, size: int) -> DataFrame:
     Each sample meets its two segments and size / 2 + 1 frequencies; the sums combine before the shuffle.
     """
     half = size // 2
-    rows = samples.withColumn("_last", F.max("i").over(Window.partitionBy("series")))
+    rows = samples.join(F.broadcast(samples.groupBy("series").agg(F.max("i").alias("_last"))), "series")  # a row for each series
     s = F.floor(F.col("i") / half)
     rows = rows.withColumn("segment", F.explode(F.array(s, s - 1))).where(F.col("segment") >= 0).where(F.col("segment") * half + size - 1 <= F.col("_last"))
     rows = rows.withColumn("_k", F.col("i") - F.col("segment") * half).withColumn("_d", F.col("v") - F.avg("v").over(Window.partitionBy("series", "segment")))

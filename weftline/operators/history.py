@@ -88,15 +88,14 @@ def reward_counters(trials: DataFrame) -> DataFrame:
     consecutive_*: length of the run of like outcomes that ends just before; renewal_*: the same, kept through the
     opposite outcome and begun anew by the next chain; negative_value: omissions less rewards, value its mirror.
     """
-    rows = with_runs(trials.where("valid"), "reward", "outcome_run")
-    rows = rows.withColumn("_n", F.row_number().over(ordered("session", "outcome_run")))
-    w = ordered()
-    for name, paid in (("rewards", 1), ("omissions", 0)):
-        here = F.when(F.col("reward") == paid, F.col("_n"))
-        rows = rows.withColumn(f"consecutive_{name}", F.coalesce(F.lag(F.coalesce(here, F.lit(0))).over(w), F.lit(0)))
-        rows = rows.withColumn(f"renewal_{name}", F.coalesce(F.last(here, True).over(before()), F.lit(0)))
+    paid, missed = F.coalesce(F.col("reward") == 1, F.lit(False)), F.coalesce(F.col("reward") == 0, F.lit(False))
+    rows = trials.where("valid").withColumn("_n", F.row_number().over(ordered()))  # all windows below have this one's order: one sort
+    for name, here in (("rewards", paid), ("omissions", missed)):
+        rows = rows.withColumn("_run", F.col("_n") - F.coalesce(F.max(F.when(~here, F.col("_n"))).over(upto()), F.lit(0)))
+        rows = rows.withColumn(f"consecutive_{name}", F.coalesce(F.lag("_run").over(ordered()), F.lit(0)))
+        rows = rows.withColumn(f"renewal_{name}", F.coalesce(F.last(F.when(here, F.col("_run")), True).over(before()), F.lit(0)))
     rows = rows.withColumn("negative_value", F.coalesce(F.sum(1 - 2 * F.col("reward")).over(before()), F.lit(0)))
-    return rows.withColumn("value", -F.col("negative_value")).drop("_n", "outcome_run")
+    return rows.withColumn("value", -F.col("negative_value")).drop("_n", "_run")
 
 
 def sided_values(trials: DataFrame) -> DataFrame:
@@ -104,11 +103,11 @@ def sided_values(trials: DataFrame) -> DataFrame:
     rows = trials.where("valid")
     for name, side in (("left", 1), ("right", 0)):
         mine = F.col("action") == side
-        rows = rows.withColumn("_hit", F.when(mine & (F.col("reward") == 1), 1).otherwise(0)).withColumn("_seg", F.coalesce(F.sum("_hit").over(upto()), F.lit(0)))
         miss = F.when(mine & (F.col("reward") == 0), 1).otherwise(0)
-        # the row that resets belongs to the new segment, so the state before a row is that of its predecessor
-        rows = rows.withColumn("_after", F.sum(miss).over(upto("session", "_seg")))
-        rows = rows.withColumn(f"omissions_{name}", F.coalesce(F.lag("_after").over(ordered()), F.lit(0))).drop("_hit", "_seg", "_after")
+        rows = rows.withColumn("_all", F.sum(miss).over(upto()))
+        # what has come together since the side's last reward: the running sum less the sum there; one sort for both sides
+        rows = rows.withColumn("_after", F.col("_all") - F.coalesce(F.last(F.when(mine & (F.col("reward") == 1), F.col("_all")), True).over(upto()), F.lit(0)))
+        rows = rows.withColumn(f"omissions_{name}", F.coalesce(F.lag("_after").over(ordered()), F.lit(0))).drop("_all", "_after")
     return rows
 
 
@@ -118,14 +117,14 @@ def saturation(n: Column, rate: float) -> Column:
 
 def counterfactual_doubt(trials: DataFrame, rate: float = 0.5) -> DataFrame:
     """Omissions on either side since the last reward, and sat(left) - sat(right), before each valid trial."""
-    rows = trials.where("valid").withColumn("_seg", F.coalesce(F.sum("reward").over(upto()), F.lit(0)))
-    rows = rows.withColumn("_paid", F.coalesce(F.lag("_seg").over(ordered()), F.lit(0)))
+    rows = trials.where("valid")
     for name, side in (("left", 1), ("right", 0)):
-        rows = rows.withColumn("_miss", F.when((F.col("action") == side) & (F.col("reward") == 0), 1).otherwise(0))
-        rows = rows.withColumn("_after", F.sum("_miss").over(upto("session", "_seg")))
+        miss = F.when((F.col("action") == side) & (F.col("reward") == 0), 1).otherwise(0)
+        rows = rows.withColumn("_all", F.sum(miss).over(upto()))
+        rows = rows.withColumn("_after", F.col("_all") - F.coalesce(F.last(F.when(F.col("reward") > 0, F.col("_all")), True).over(upto()), F.lit(0)))
         rows = rows.withColumn(f"doubt_{name}", F.coalesce(F.lag("_after").over(ordered()), F.lit(0)))
     rows = rows.withColumn("doubt_value", saturation(F.col("doubt_left"), rate) - saturation(F.col("doubt_right"), rate))
-    return rows.drop("_seg", "_paid", "_miss", "_after")
+    return rows.drop("_all", "_after")
 
 
 def trial_type_flags(trials: DataFrame) -> DataFrame:

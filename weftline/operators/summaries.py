@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.history import before, ordered, reward_counters, upto, with_runs
+from weftline.operators.ranks import quantiles
 
 
 def blocks(trials: DataFrame) -> DataFrame:
     """A row for each contiguous block run, with the preceding block's figures.
 
     trials_to_correct is the place (from 0) of the first correct valid choice among the valid ones, null if none.
-    accuracy_from_first takes the first correct choice in, as the reference does, accuracy_after only what follows it;
+    accuracy_from_first takes the first correct choice in, accuracy_after only what follows it;
     prev_n_valid counts the preceding block's valid choices, prev_n_trials all its rows.
     """
     rows = with_runs(trials, "block", "block_run")
@@ -85,10 +86,11 @@ def switch_persistence(trials: DataFrame) -> DataFrame:
     on the new side; only rows before that row (stay) and the row itself (switch) count.
     """
     rows = with_runs(trials, "block", "block_run")
-    sides = rows.groupBy("session", "block_run").agg(F.first("state").alias("side"))
-    sides = sides.withColumn("was", F.lag("side").over(Window.partitionBy("session").orderBy("block_run"))).where("was IS NOT NULL AND was != side")
-    rows = rows.join(sides, ["session", "block_run"]).withColumn("pos", F.row_number().over(ordered("session", "block_run")) - 1)
-    whole = Window.partitionBy("session", "block_run")
+    # the preceding block's side is that of the row just before this block: taken along in the same ordered pass
+    rows = rows.withColumn("_state", F.lag("state").over(ordered()))
+    w, whole = ordered("session", "block_run"), Window.partitionBy("session", "block_run")
+    rows = rows.withColumn("pos", F.row_number().over(w) - 1).withColumn("side", F.first("state").over(w)).withColumn("was", F.first("_state").over(w))
+    rows = rows.where("was IS NOT NULL AND was != side")
     rows = rows.withColumn("first", F.min(F.when(F.col("action") == F.col("side"), F.col("pos"))).over(whole))
     early = F.col("pos") <= F.col("first")
     rows = rows.withColumn("bad", F.max(F.when(early & ~F.col("valid"), 1).otherwise(0)).over(whole)).where("first IS NOT NULL AND bad = 0").where(early)
@@ -143,12 +145,16 @@ def centred_rewards(per_block: DataFrame) -> DataFrame:
 
 
 def residual_spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Median absolute deviation (plain and times 1.4826), interquartile range, root mean square and sample deviation."""
-    middle = rows.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
-    rows = rows.join(middle, keys)
-    q = lambda x, p: F.percentile(x, F.lit(p))
-    x = F.col(value)
-    out = rows.groupBy(*keys).agg(q(F.abs(x - F.col("_m")), 0.5).alias("mad"), (q(x, 0.75) - q(x, 0.25)).alias("iqr"), F.sqrt(F.avg(x * x)).alias("rmse"), F.stddev_samp(x).alias("sd"))
+    """Median absolute deviation (plain and times 1.4826), interquartile range, root mean square and sample deviation.
+
+    Keys may be few and their rows many: quantiles come from range-partitioned ranks. The keys' own figures are broadcast.
+    """
+    x = F.col(value).cast("double")
+    middle = quantiles(rows, keys, value, (0.25, 0.5, 0.75))
+    off = rows.join(F.broadcast(middle), keys).withColumn("_off", F.abs(x - F.col("q1")))
+    spread = quantiles(off, keys, "_off", (0.5,)).withColumnRenamed("q0", "mad")
+    sums = rows.groupBy(*keys).agg(F.sqrt(F.avg(x * x)).alias("rmse"), F.stddev_samp(x).alias("sd"))
+    out = sums.join(middle, keys).join(spread, keys).withColumn("iqr", F.col("q2") - F.col("q0")).drop("q0", "q1", "q2")
     return out.withColumn("mad_scaled", F.col("mad") * 1.4826)
 
 

@@ -17,6 +17,7 @@ from weftline.operators import replays as rp
 from weftline.operators import summaries as su
 from weftline.operators import timeline as tl
 from weftline.operators import vectors as ve
+from weftline.operators.ranks import numbered
 from weftline.plans.standins import TRIALS_SQL, table, trials, trials_of
 from weftline.sources import tables as so
 from weftline.streaming import live
@@ -283,8 +284,8 @@ psd AS (SELECT series, CAST(f AS INTEGER) AS f, avg((CASE WHEN f IN (0, 16) THEN
 
 
 def _spectrum(s: SparkSession, d: str) -> DataFrame:
-    i = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
-    return asm.welch(table(s, d, "events").select(F.col("event_type").alias("series"), i.alias("i"), F.coalesce("value", F.lit(0.0)).alias("v")), 1.0, 32)
+    rows = numbered(table(s, d, "events").select("event_type", "ts", "event_id", "value"), ["event_type"], ["ts", "event_id"], "i")
+    return asm.welch(rows.select(F.col("event_type").alias("series"), "i", F.coalesce("value", F.lit(0.0)).alias("v")), 1.0, 32)
 
 
 _add("g09_welch", _spectrum, "series f ~density segments ~frequency", "SELECT * FROM psd", WELCH)

@@ -116,3 +116,24 @@ def differing_rows(old: DataFrame, new: DataFrame) -> DataFrame:
     new = new.select(*old.columns)
     gone, come = old.exceptAll(new), new.exceptAll(old)
     return gone.withColumn("side", F.lit("old")).unionByName(come.withColumn("side", F.lit("new")))
+
+
+def find_sessions(spark: SparkSession, pattern: str, first: str, last: str, tag: str | None = None) -> DataFrame:
+    """Session, date and path of the tables that a path pattern names, dated from `first` to `last` by the yyyy-mm-dd in
+    their folder's name, with `tag` in that name where asked. Files are listed and not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern).select("path")
+    folder = F.element_at(F.split(F.regexp_replace("path", r"/[^/]*\.parquet(/.*)?$", ""), "/"), -1)
+    rows = files.select(folder.alias("session"), F.regexp_replace("path", r"(\.parquet)/.*$", "$1").alias("path")).distinct()
+    rows = rows.withColumn("date", F.regexp_extract("session", r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date")).where(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return rows if tag is None else rows.where(F.col("session").contains(tag))
+
+
+def ordered_digest(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """By key, rows and a digest that depends on the order of the rows: the sum of 60 bits of each row's SHA-256 of its
+    place and fields, each with its length before it, so that no field can pass for two."""
+    w = Window.partitionBy(key).orderBy(*order)
+    field = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    text = F.concat(F.row_number().over(w), F.lit(";"), *[field(c) for c in columns])
+    placed = rows.select(key, F.sha2(text, 256).alias("_h"))
+    bits = F.conv(F.substring("_h", 1, 15), 16, 10).cast("decimal(20,0)")
+    return placed.groupBy(key).agg(F.count("*").alias("n"), F.sum(bits).cast("string").alias("digest"))
