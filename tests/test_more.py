@@ -226,3 +226,10 @@ def test_ordered_digests_and_sessions_by_date(spark, tmp_path):
     found = tables.find_sessions(spark, f"{tmp_path}/*/trials.parquet", "2024-01-01", "2024-01-31").collect()
     assert sorted((r["session"], str(r["date"])) for r in found) == [("m1_2024-01-05_task", "2024-01-05"), ("m2_2024-01-05_probe", "2024-01-05")]
     assert [r["session"] for r in tables.find_sessions(spark, f"{tmp_path}/*/trials.parquet", "2024-01-01", "2024-12-31", "m1").orderBy("date").collect()] == ["m1_2024-01-05_task", "m1_2024-02-01_task"]
+
+
+def test_p_values_of_t(spark):
+    known = [(2.0, 10.0, 0.07338803), (0.0, 5.0, 1.0), (-3.5, 3.0, 0.03948074), (1.96, 1000.0, 0.05027293), (12.706, 1.0, 0.05000080), (None, 3.0, None), (1.0, None, None)]
+    got = sessions.p_values(spark.createDataFrame([(i, t, f) for i, (t, f, _) in enumerate(known)], "i int, t double, f double"), "t", "f").orderBy("i").collect()
+    for r, (_, _, p) in zip(got, known, strict=True):
+        assert (r["p"] is None) == (p is None) and (p is None or abs(r["p"] - p) < 1e-6)

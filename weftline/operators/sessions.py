@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from weftline.operators import features as fe
 from weftline.operators import history as hi
 from weftline.operators import summaries as su
 from weftline.operators.history import before, ordered, upto, with_runs
+from weftline.operators.linear import gram, solve
 
 BLOCK = ["session", "block_run"]
 
@@ -225,3 +230,75 @@ def signed_omissions(trials: DataFrame) -> DataFrame:
     rows = hi.reward_counters(trials)
     sign = 2 * F.coalesce(F.lag("action").over(ordered()), F.lit(0)) - 1
     return rows.withColumn("signed_omissions", F.col("consecutive_omissions") * sign)
+
+
+def p_values(rows: DataFrame, t: str, freedom: str, name: str = "p") -> DataFrame:
+    """Two-sided p of a t statistic with its degrees of freedom, by the continued fraction of the incomplete beta function; null without either."""
+
+    @F.pandas_udf("double")
+    def run(ts: pd.Series, fs: pd.Series) -> pd.Series:
+        ok = ts.notna() & fs.notna() & (fs > 0)
+        f, x2 = fs[ok].to_numpy(float), ts[ok].to_numpy(float) ** 2
+        x = f / (f + x2)
+        swap = x > (f / 2 + 1) / (f / 2 + 2.5)
+        a, b, z = np.where(swap, 0.5, f / 2), np.where(swap, f / 2, 0.5), np.where(swap, 1 - x, x)
+        c, d = np.ones_like(z), 1 / _off_zero(1 - (a + b) * z / (a + 1))
+        h = d.copy()
+        for m in range(1, 200):
+            for n in (m * (b - m) * z / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * z / ((a + 2 * m) * (a + 2 * m + 1))):
+                d, c = 1 / _off_zero(1 + n * d), _off_zero(1 + n / c)
+                h *= c * d
+        lg = np.vectorize(math.lgamma, otypes=[float])
+        front = np.exp(lg(a + b) - lg(a) - lg(b) + a * np.log(np.maximum(z, 1e-300)) + b * np.log(np.maximum(1 - z, 1e-300)))
+        part = front * h / a
+        out = pd.Series(np.nan, index=ts.index, dtype=float)
+        out[ok] = np.where(swap, 1 - part, part)
+        return out.where(ok, None)
+
+    return rows.withColumn(name, run(F.col(t).cast("double"), F.col(freedom).cast("double")))
+
+
+def _off_zero(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) < 1e-300, 1e-300, x)
+
+
+def regression_table(per_block: DataFrame) -> DataFrame:
+    """The line of trials_to_correct on the preceding rewards by session, with t and p of its slope; null where the line is exact or n is under 3."""
+    lines = su.session_regression(per_block)
+    lines = lines.withColumn("freedom", F.col("n") - 2).withColumn("t", F.when((F.col("r2") < 1) & (F.col("n") > 2), F.signum("slope") * F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2")))))
+    return p_values(lines, "t", "freedom").drop("freedom")
+
+
+def residualize_many(rows: DataFrame, target: str, controls: list[str]) -> DataFrame:
+    """What the least-squares plane of several controls (with intercept, over all rows that have everything) leaves of the target; null elsewhere."""
+    vector = F.array(*[F.col(c).cast("double") for c in controls], F.col(target).cast("double"))
+    g = gram(rows.select(vector.alias("_x")), "_x").get(0)
+    if g is None:
+        return rows.withColumn("residual", F.lit(None).cast("double"))
+    w = solve(g, list(range(len(controls))), [len(controls)])[:, 0]
+    fitted = F.lit(float(w[0]))
+    for c, k in zip(controls, w[1:], strict=True):
+        fitted = fitted + float(k) * F.col(c)
+    return rows.withColumn("residual", F.col(target) - fitted)
+
+
+def stack_tables(tables: dict[str, DataFrame], name: str = "session_ID") -> DataFrame:
+    """The rows of several tables with the table's id; a column that one lacks is null there."""
+    out = None
+    for key, df in tables.items():
+        own = df.withColumn(name, F.lit(key))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def context_order(log: DataFrame, trials: DataFrame) -> DataFrame:
+    """Places where a session's logged context entries (session, t, seq, side) and its blocks' sides differ, or one has no partner."""
+    w = Window.partitionBy("session").orderBy("t", "seq")
+    logged = log.select("session", (F.row_number().over(w)).alias("block_run"), F.col("side").alias("logged"))
+    blocks = with_runs(trials, "block", "block_run").groupBy(*BLOCK).agg(F.min_by("state", F.struct("t", "seq")).alias("state"))
+    return logged.join(blocks, BLOCK, "full").where(~F.col("logged").eqNullSafe(F.col("state")))
+
+
+def sample_rows(rows: DataFrame, n: int, row_id: str, seed: int = 17) -> DataFrame:
+    """N rows in the order of a hash of their id: the same ones at every run."""
+    return rows.orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), row_id).limit(n)

@@ -18,8 +18,10 @@ from weftline.operators import spectra as sp
 from weftline.operators import summaries as su
 from weftline.operators import targets as tg
 from weftline.operators import vectors as ve
-from weftline.plans.standins import table, trials
-from weftline.queries import BLOCKS, COUNTERS, DAILY, HOUR, LONG, MICRO_SQL, NB, QUERIES, RUNS, SIDED, SQL, VALID, _add, _centres, _daily, _folded, _points
+from weftline.plans.standins import table, trials, trials_of
+from weftline.queries import BLOCKS, COUNTERS, HOUR, LONG, MICRO_SQL, NB, QUERIES, RUNS, SIDED, SQL, VALID, _add, _centres, _folded, _micros, _points, _stream
+from weftline.sources import tables as so
+from weftline.streaming import live
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -515,3 +517,17 @@ def _panel_sql() -> str:
 
 _add("f06_policy_panel", lambda s, d: pl.policy_panel(trials(s, d)).where("policy != 'history_ideal_observer'"), "session seq policy ~p_left", _panel_sql(), PANEL)
 QUERIES["f06_observer_panel"] = lambda s, d: pl.observer_panel(pl.policy_panel(trials(s, d)))
+
+
+# Remaining operators of sessions and streams.
+_add("x02_live_doubt", lambda s, d: live.run_to_end(live.live_doubt(_micros(trials_of(_stream(s, d)).where("valid")))), "session seq omissions_left omissions_right doubt_left doubt_right ~doubt_value", "SELECT * FROM doubt", SIDED)
+_add("t10_context_order", lambda s, d: se.context_order(trials(s, d).where("seq % 3 = 0").select("session", "t", "seq", F.col("state").alias("side")), trials(s, d)), "session block_run logged state",
+     "SELECT session, block_run, logged, state FROM (SELECT session, row_number() OVER (PARTITION BY session ORDER BY t, seq) AS block_run, state AS logged FROM trials WHERE seq % 3 = 0) FULL JOIN (SELECT session, block_run, min(state) AS state FROM runs GROUP BY 1, 2) USING (session, block_run) WHERE logged IS DISTINCT FROM state", RUNS)
+_add("a33_stack_tables", lambda s, d: se.stack_tables({"left": trials(s, d).where("action = 1").select("session", "seq", "reward"), "right": trials(s, d).where("action = 0").select("session", "seq", "state")}), "session_ID session seq reward state",
+     "SELECT 'left' AS session_ID, session, seq, reward, NULL AS state FROM trials WHERE action = 1 UNION ALL SELECT 'right', session, seq, NULL, state FROM trials WHERE action = 0")
+_add("c12_residual_moments", lambda s, d: se.residualize_many(hi.regressors(trials(s, d)), "action", ["relative_omissions", "wsls", "hazard"]).agg(F.avg("residual").alias("m0"), F.avg(F.col("residual") * F.col("relative_omissions")).alias("m1"), F.avg(F.col("residual") * F.col("wsls")).alias("m2"), F.avg(F.col("residual") * F.col("hazard")).alias("m3"), F.count("residual").alias("n")),
+     "~m0 ~m1 ~m2 ~m3 n", "SELECT 0.0 AS m0, 0.0 AS m1, 0.0 AS m2, 0.0 AS m3, count(*) AS n FROM v", VALID)
+_add("s09_ordered_digest", lambda s, d: so.ordered_digest(trials(s, d), "session", ["t", "seq"], ["action", "reward", "state"]), "session n digest",
+     "SELECT session, count(*) AS n, CAST(sum(('0x' || substr(sha256(concat(k, ';', coalesce(len(action::VARCHAR) || ':' || action, '-'), coalesce(len(reward::VARCHAR) || ':' || reward, '-'), coalesce(len(state::VARCHAR) || ':' || state, '-'))), 1, 15))::BIGINT) AS VARCHAR) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t, seq) AS k FROM trials) GROUP BY 1")
+QUERIES["a11_regression_table"] = lambda s, d: se.regression_table(su.blocks(trials(s, d)))
+QUERIES["j21_sample_rows"] = lambda s, d: se.sample_rows(table(s, d, "events"), 50, "event_id")
