@@ -74,8 +74,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     """query_id, rank, vec_id, score: the k nearest vectors of every query by cosine, ties to the smaller id.
 
     Both sides are dealt into blocks by a hash of the id and every block of queries meets every block of candidates in
-    one task; a block has a bounded expected size, so no task or driver holds a whole side. The result is exact: the
-    index is complete and its recall is 1.
+    one task; a block has a bounded expected size, so no task or driver holds a whole side. Vectors travel in their own
+    type and are quantised in the task, which also has the originals for its survivors: so it returns k rows a query
+    however many vectors lie within the error bounds. The result is exact: the index is complete and its recall is 1.
 
     Unusable vectors (see usable) take no part, as queries or candidates; vectors of another length than the query's
     are no candidates. Rows with a null id take no part either, as no result could name them. Fewer than k candidates:
@@ -83,8 +84,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     empty result; other columns are ignored.
     """
     vectors, queries = vectors.where(F.col(id_col).isNotNull()), queries.where(F.col(id_col).isNotNull())
-    rows = vectors.where(usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    asked = queries.where(usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).dropDuplicates(["id"])
+    rows = vectors.where(usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    asked = queries.where(usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).dropDuplicates(["id"])
     n_c, n_q = (max(1, math.ceil(x.count() / size)) for x, size in ((rows, candidate_block), (asked, query_block)))
     hashed = F.xxhash64("id")
     c = rows.withColumn("cb", F.pmod(F.xxhash64("id", "v"), F.lit(n_c)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).withColumn("part", F.lit(1))
@@ -93,7 +94,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     def run(key, t):
         part, ids = t["part"].to_numpy(), t["id"].to_numpy()
-        v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), key[2].as_py())
+        v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), key[2].as_py())
         order = np.argsort(ids, kind="stable")
         asks, has = order[part[order] == 0], order[part[order] == 1]
         found = tile(ids[asks], v[asks], ids[has], v[has], k) if len(asks) and len(has) else []
