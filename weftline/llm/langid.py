@@ -77,14 +77,17 @@ class LanguageModel:
         return langs, score
 
 
-def fit(docs: DataFrame, per_language: int = 1500, orders: tuple[int, ...] = (1, 2, 3), bits: int = 13, families: dict[str, tuple[str, ...]] = FAMILIES, reg: float = 1e-4) -> LanguageModel:
+def fit(docs: DataFrame, per_language: int = 1500, most_languages: int = 200, orders: tuple[int, ...] = (1, 2, 3), bits: int = 13, families: dict[str, tuple[str, ...]] = FAMILIES, reg: float = 1e-4) -> LanguageModel:
     """Learns from at most about per_language rows of a language (a documented bound), chosen by a hash of the id.
 
     Only text and non-null lang of rows outside the held-out fold are read. One linear SVM separates each pair of
-    families, and one each pair of languages of a family; each is fitted by Spark ML.
+    families, and one each pair of languages of a family; each is fitted by Spark ML. Over most_languages different values of
+    lang are an error.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(~in_fold("doc_id", FOLDS, HELD_OUT))
-    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(n) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: each pair within a family is a model")
     groups: dict[str, list[str]] = {}
     for lang in sorted(n):
         groups.setdefault(family_of(lang, families), []).append(lang)
@@ -141,6 +144,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 def identify(docs: DataFrame, **fitting) -> DataFrame:
     """Fits on the training fold of docs and predicts every row; with no language to learn, every row is `und`.
 
-    Empty tables give empty results; extra columns are ignored.
+    Each row is predicted by its own text: repeated rows alike, null ids too (they are learnt from as others are). Empty
+    tables give empty results; extra columns are ignored.
     """
     return predict(docs, fit(docs, **fitting))
