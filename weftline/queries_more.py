@@ -177,9 +177,14 @@ def _probes_sql() -> str:
     return " UNION ALL ".join(out)
 
 
-EPISODE = F.array_join(F.col("seqs").cast("array<string>"), ",")
-_add("j15_transitions", lambda s, d: tg.transitions(trials(s, d)).withColumn("episode", EPISODE), "session direction x episode", _transitions_sql(), _ahead_sql(6))
-_add("j15_probes", lambda s, d: tg.probes(trials(s, d)).withColumn("episode", EPISODE), "session family side x episode", _probes_sql(), _ahead_sql(7))
+
+
+def _episode(df: DataFrame) -> DataFrame:
+    return df.withColumn("episode", F.array_join(F.col("seqs").cast("array<string>"), ","))
+
+
+_add("j15_transitions", lambda s, d: _episode(tg.transitions(trials(s, d))), "session direction x episode", _transitions_sql(), _ahead_sql(6))
+_add("j15_probes", lambda s, d: _episode(tg.probes(trials(s, d))), "session family side x episode", _probes_sql(), _ahead_sql(7))
 _add("j14_side_motifs", lambda s, d: tg.side_motifs(trials(s, d)), "central side previous next_move n",
      "SELECT k AS central, CASE WHEN action = 1 THEN 'left' ELSE 'right' END AS side, pk AS previous, CASE WHEN na = action THEN 'repeat' ELSE 'switch' END AS next_move, count(*) AS n FROM (SELECT *, lag(action) OVER w AS pa, lead(action) OVER w AS na, lag(valid) OVER w AS pv, lead(valid) OVER w AS nv, lag(k) OVER w AS pk FROM (SELECT *, CASE WHEN correct = 1 AND reward = 1 THEN 'correct_rewarded' WHEN correct = 1 THEN 'omission' WHEN correct = 0 THEN 'incorrect' END AS k FROM trials) WINDOW w AS (PARTITION BY session ORDER BY t, seq)) WHERE valid AND pv AND nv AND CASE WHEN pk = 'incorrect' THEN pa <> action ELSE pa = action END GROUP BY ALL")
 _add("j16_switch_counts", lambda s, d: tg.switch_counts(hi.switch_events(trials(s, d))), "session place transition n",
@@ -257,15 +262,21 @@ _add("j10_clipped_contexts", lambda s, d: po.clip_windows(al.context_intervals(_
      "SELECT session, t AS start, coalesce(nt, hi) AS stop FROM (SELECT *, lead(t) OVER (PARTITION BY session ORDER BY t, seq) AS nt FROM pt WHERE unit = 'signup') JOIN (SELECT session, max(t) AS hi FROM pt GROUP BY 1) USING (session) WHERE coalesce(nt, hi) > t", MICRO_SQL)
 _add("j04_bounded_map", lambda s, d: po.bounded_map(_points(s, d).withColumn("t", F.col("t") / 1e6), _seconds(s, d).where("seq % 4 = 0").select("session", F.col("t").alias("x"), (F.col("t") * 2).alias("y")), "null"), "session seq ~mapped",
      "SELECT session, seq, CASE WHEN t / 1e6 BETWEEN lo AND hi THEN CASE WHEN lo = hi THEN 2 * lo ELSE 2 * t / 1e6 END END AS mapped FROM pt JOIN (SELECT session, min(t) AS lo, max(t) AS hi FROM (SELECT session, t / 1e6 AS t, min(seq) AS seq FROM pt GROUP BY 1, 2) WHERE seq % 4 = 0 GROUP BY 1) USING (session)", MICRO_SQL)
-PHASE = F.col("t") % (24 * HOUR) / (24 * HOUR) * po.TAU
+
+
+def _phased(s: SparkSession, d: str) -> DataFrame:
+    """Events with the phase of the day they stand at."""
+    return _points(s, d).withColumn("phase", F.col("t") % (24 * HOUR) / (24 * HOUR) * po.TAU)
+
+
 PHASED = MICRO_SQL + f", ph AS (SELECT *, (t % {24 * HOUR}) / {24 * HOUR} * {po.TAU} AS phase, t // {24 * HOUR} AS day FROM pt)"
-_add("p03_phase_rates", lambda s, d: po.phase_rates(_points(s, d).withColumn("phase", PHASE), _points(s, d).withColumn("phase", PHASE), "unit", "phase", 60.0), "unit bin n ~occupancy ~rate ~relative enough",
+_add("p03_phase_rates", lambda s, d: po.phase_rates(_phased(s, d), _phased(s, d), "unit", "phase", 60.0), "unit bin n ~occupancy ~rate ~relative enough",
      f"SELECT unit, bin, n, o * 60.0 AS occupancy, n / nullif(o * 60.0, 0) AS rate, n / nullif(o * 60.0, 0) / (sum(n) OVER (PARTITION BY unit) / (sum(o) OVER (PARTITION BY unit) * 60.0)) AS relative, sum(n) OVER (PARTITION BY unit) >= 50 AS enough FROM (SELECT unit, bin, count(*) FILTER (WHERE ph.unit = u.unit) AS n, count(seq) AS o FROM (SELECT DISTINCT unit FROM pt) u CROSS JOIN (SELECT CAST(unnest(range(12)) AS INTEGER) AS bin) LEFT JOIN (SELECT unit AS unit2, seq, CAST(least(floor(phase / {po.TAU} * 12), 11) AS INTEGER) AS bin FROM ph) ph USING (bin) GROUP BY 1, 2)".replace("ph.unit = u.unit", "unit2 = unit"), PHASED)
 
 
 def _by_day(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The consistency of each unit over all days, and of single days as draws."""
-    rows = _points(s, d).withColumn("phase", PHASE).withColumn("day", F.floor(F.col("t") / (24 * HOUR)))
+    rows = _phased(s, d).withColumn("day", F.floor(F.col("t") / (24 * HOUR)))
     whole = al.phase_locking(rows, ["unit"], "phase").withColumn("trials", F.lit(2))
     return whole, al.phase_locking(rows, ["unit", "day"], "phase")
 
@@ -278,7 +289,7 @@ _add("p05_prevalence", lambda s, d: po.prevalence(al.adjust_bh(po.permutation_p(
 
 
 def _bands(s: SparkSession, d: str) -> DataFrame:
-    rows = _points(s, d).withColumn("phase", PHASE).withColumn("f", (F.floor(F.col("t") / (24 * HOUR)) % 6).cast("int"))
+    rows = _phased(s, d).withColumn("f", (F.floor(F.col("t") / (24 * HOUR)) % 6).cast("int"))
     return al.phase_locking(rows, ["unit", "f"], "phase", reliable=5)
 
 
