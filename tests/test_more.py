@@ -233,3 +233,13 @@ def test_p_values_of_t(spark):
     got = sessions.p_values(spark.createDataFrame([(i, t, f) for i, (t, f, _) in enumerate(known)], "i int, t double, f double"), "t", "f").orderBy("i").collect()
     for r, (_, _, p) in zip(got, known, strict=True):
         assert (r["p"] is None) == (p is None) and (p is None or abs(r["p"] - p) < 1e-6)
+
+
+def test_the_entry_imports_before_a_session_is_there():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and set(e.oracle_sql()) <= set(q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, check=False).returncode == 0
