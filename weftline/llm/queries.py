@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import exact_dedup, langid, mixing, nearest, quality, sentencepiece, simhash, substring, token_counts, toxicity
+from weftline.llm import exact_dedup, langid, merkle, mixing, nearest, quality, sentencepiece, simhash, substring, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,9 +67,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash_near_dedup, op2_toxicity, op3_quality, op4_exact_dedup, op5_token_counts, op6_substring_dedup, op7_mixing, op8_sentencepiece, op9_nearest, op10_language_id, pipeline)
+    own = (op1_simhash_near_dedup, op2_toxicity, op3_quality, op4_exact_dedup, op5_token_counts, op6_substring_dedup, op7_mixing, op8_sentencepiece, op9_nearest, op10_language_id, op11_merkle_manifest, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_substring_dedup": substring.ORACLE, "op9_nearest": nearest.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_substring_dedup": substring.ORACLE, "op9_nearest": nearest.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
