@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import exact_dedup, langid, merkle, mixing, nearest, quality, sentencepiece, simhash, substring, token_counts, toxicity
+from weftline.llm import exact_dedup, langid, merkle, mixing, nearest, prefix_trie, quality, sentencepiece, simhash, substring, token_counts, toxicity, warc
+from weftline.llm.common import delete, materialize, scratch_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +62,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    found = materialize(warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    delete(spark, folder)
+    return found
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,9 +81,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash_near_dedup, op2_toxicity, op3_quality, op4_exact_dedup, op5_token_counts, op6_substring_dedup, op7_mixing, op8_sentencepiece, op9_nearest, op10_language_id, op11_merkle_manifest, pipeline)
+    own = (op1_simhash_near_dedup, op2_toxicity, op3_quality, op4_exact_dedup, op5_token_counts, op6_substring_dedup, op7_mixing, op8_sentencepiece, op9_nearest, op10_language_id, op11_merkle_manifest, op12_prefix_trie, op13_warc, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_substring_dedup": substring.ORACLE, "op9_nearest": nearest.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_substring_dedup": substring.ORACLE, "op9_nearest": nearest.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_warc": warc.ORACLE}
