@@ -1,5 +1,6 @@
 """The stages of the pipeline against brute force, with null and repeated ids."""
 
+import os
 import random
 from collections import Counter
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from weftline.llm import mixing, near_copies
+from weftline.llm.common import scratch_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -134,14 +136,26 @@ def test_the_whole_pipeline(spark, tmp_path):
         assert cp.drop_exact_copies.__name__ == "drop_exact_copies" and callable(stage) and name
 
 
-def test_tables_of_a_stage_go_when_the_next_begins(spark, tmp_path):
-    from weftline.llm import common
+def test_results_of_two_calls_live_side_by_side(spark, tmp_path):
+    rows = [(i, f"text {i % 7} of some words", "en", "a") for i in range(40)]
+    docs = documents(spark, rows)
+    lazy = [cp.drop_exact_copies(spark, docs, ""), cp.drop_exact_copies(spark, docs, ""), cp.drop_near_copies(spark, docs, ""), cp.mix_sources(spark, docs, "")]
+    assert [x.count() for x in lazy[:3]] == [7, 7, 7] and lazy[3].count() > 0
 
-    docs = documents(spark, [(i, f"text number {i}", "en", "a") for i in range(20)])
-    first = cp.drop_exact_copies(spark, docs, "")
-    second = cp.drop_near_copies(spark, first, "")  # not written: what it reads stays
-    assert second.count() == 20
-    second.write.parquet(f"{tmp_path}/docs")
-    held = list(common._LAST)
-    assert cp.mix_sources(spark, spark.read.parquet(f"{tmp_path}/docs"), "").count() > 0
-    assert not set(held) & set(common._LAST)
+
+def test_row_numbers_of_written_docs_are_unique_and_lasting(spark, tmp_path):
+    documents(spark, [(i, f"t{i}", "en", "a") for i in range(1000)]).repartition(7).write.parquet(f"{tmp_path}/d")
+    docs, key = cp._numbered(spark.read.parquet(f"{tmp_path}/d"))
+    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", key]
+    one, two = ({r["doc_id"]: r[key] for r in docs.select(*c).collect()} for c in (["doc_id", key], [key, "doc_id"]))
+    assert one == two and len(set(one.values())) == 1000
+
+
+def test_a_run_leaves_one_table(spark, tmp_path):
+    folder = scratch_dir(spark).removeprefix("file:")
+    documents(spark, [(i, f"text {i} of some words {i % 3}", "en", "ab"[i % 2]) for i in range(60)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, i % 2) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    before = set(os.listdir(folder))
+    got = cp.run(spark, str(tmp_path))
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and got.count() >= 0

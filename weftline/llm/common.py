@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 import numpy as np
@@ -26,8 +28,8 @@ HEAVY_SHARE = 1000
 BROADCAST_ROWS = 1_000_000
 
 
-_FOLDERS: list[str] = []  # of the stages that are being put together, innermost last
-_LAST: list[str] = []  # of the stages before, not yet deleted
+#: The scratch folders of the work that goes on, innermost last; each thread and each run has its own.
+_SCOPES: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -40,33 +42,50 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A pipeline stage whose tables lie in a folder of its own.
+@contextmanager
+def tables_in(folder: str) -> Iterator[str]:
+    """Meanwhile tables are written to this folder."""
+    token = _SCOPES.set((*_SCOPES.get(), folder))
+    try:
+        yield folder
+    finally:
+        _SCOPES.reset(token)
 
-    A stage's result is written before the next stage begins, so that then the tables of the stages before are deleted;
-    those that the next stage's docs still read, as they do where a result was not written, are kept.
-    """
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[str]:
+    """A scratch folder for the tables that are written meanwhile; it goes at the end, and with it all but those kept."""
+    outer = _SCOPES.get()
+    with tables_in(f"{outer[-1] if outer else scratch_dir(spark)}/{uuid.uuid4().hex}") as folder:
+        try:
+            yield folder
+        finally:
+            delete(spark, folder)
+
+
+def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A pipeline stage in a scope of its own: what its result still reads are its docs and the tables that it keeps."""
 
     @wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles()
-        for folder in [f for f in _LAST if not any(f.rsplit("/", 1)[1] in name for name in read)]:  # names of files may be spelt otherwise
-            delete(spark, folder)
-            _LAST.remove(folder)
-        folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-        _FOLDERS.append(folder)
-        try:
+        with scope(spark):
             return function(spark, docs, sf_dir)
-        finally:
-            _FOLDERS.remove(folder)
-            _LAST.append(folder)
 
     return run
 
 
-def materialize(df: DataFrame, schema: StructType | None = None, path: str | None = None) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back (with `schema`): cuts the lineage and survives lost executors."""
-    path = path or f"{_FOLDERS[-1] if _FOLDERS else scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+def table_path(spark: SparkSession, keep: bool = False) -> str:
+    """A new path in the scope's folder, or with `keep` in the folder around it."""
+    folders = (scratch_dir(spark), *_SCOPES.get())
+    return f"{folders[max(0, len(folders) - 1 - keep)]}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, schema: StructType | None = None, path: str | None = None, keep: bool = False) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back (with `schema`): cuts the lineage and survives lost executors.
+
+    The table lies in the scope's folder; with `keep` in the folder around it, and so outlives the scope.
+    """
+    path = path or table_path(df.sparkSession, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 

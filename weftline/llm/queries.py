@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import exact_dedup, langid, merkle, mixing, nearest, prefix_trie, quality, sentencepiece, simhash, substring, token_counts, toxicity, warc
-from weftline.llm.common import delete, materialize, scratch_dir
+from weftline.llm.common import materialize, scope, table_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,20 +58,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def _tidied(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its result, of short rows, written and all other tables gone."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scope(spark):
+            return materialize(query(spark, sf_dir), keep=True)
+
+    return run
+
+
+@_tidied
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
 
 
+@_tidied
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(_table(spark, sf_dir, "conversations")))
 
 
+@_tidied
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    folder = table_path(spark)
     warc.write_archives(_table(spark, sf_dir, "pages"), folder)
-    found = materialize(warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
-    delete(spark, folder)
-    return found
+    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

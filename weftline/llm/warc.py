@@ -278,7 +278,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
     """
     kinds = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", html binary" * payloads
     manifest = spark.read.schema("name string, records bigint, bytes bigint, sha256 string").parquet(f"{folder}/manifest")
-    return manifest.repartition("name").mapInArrow(_reader(folder, payloads), kinds)
+    return manifest.repartition(min(max(1, manifest.count()), 10_000), "name").mapInArrow(_reader(folder, payloads), kinds)
 
 
 ORACLE = """
