@@ -199,6 +199,7 @@ def test_hmm_over_chunks_and_em(spark):
     assert (one.state == truth).mean() > 0.95
     fits = [hmm.fit(df, 2, steps=n) for n in (1, 6)]
     assert fits[1].loglik > fits[0].loglik and np.allclose(sorted(fits[1].weights[:, 0]), [0, 4], atol=0.4) and fits[1].transitions.diagonal().min() > 0.85
+    assert all(abs(hmm.loglik(df, m) - m.loglik) < 1e-6 for m in fits)  # of the weights that are returned
     assert abs(hmm.loglik(df, fits[1]) - one.gain.sum()) < 30 and hmm.information(2, 0, -10.0, 100)["parameters"] == 7
 
 
@@ -243,3 +244,49 @@ def test_the_entry_imports_before_a_session_is_there():
     root = Path(__file__).resolve().parent.parent
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, check=False).returncode == 0
+
+
+def test_a_gap_in_trial_numbers_ends_an_episode(spark):
+    # R on the left, then a new block: wrong repeat of the left, then R on the right
+    def found(numbers):
+        rows = [("s", k, k, n, a, r, b, st, int(a == st), True) for k, (n, (a, r, b, st)) in enumerate(zip(numbers, [(1, 1, 0, 1), (1, 0, 1, 0), (0, 1, 1, 0)], strict=True))]
+        df = spark.createDataFrame(rows, "session string, t long, seq long, trial long, action int, reward int, block int, state int, correct int, valid boolean")
+        return [r["seqs"] for r in targets.transitions(df).collect()], targets.probes(df).count()
+
+    assert found([1, 2, 3])[0] == [[0, 1, 2]]
+    assert found([1, 2, 9]) == ([], 0) and found([1, 3, 4]) == ([], 0) and found([1, None, 3]) == ([], 0)
+
+
+def test_shuffled_labels_keep_counts_by_group_over_many_tasks(spark):
+    rows = spark.range(0, 3000, 1, 5).select(F.col("id"), (F.col("id") % 3).alias("g"), (F.col("id") % 7 < 2).cast("int").alias("label"))
+    got = decoding.shuffled_labels(rows, 3, "id", ["g"])
+    count = lambda df: {(r["g"], r["label"]): r["count"] for r in df.groupBy("g", "label").count().collect()}
+    assert count(got) == count(rows) and got.join(rows.withColumnRenamed("label", "was"), "id").where("label != was").count() > 800
+    again = decoding.shuffled_labels(rows.repartition(9), 3, "id", ["g"])
+    assert {tuple(r) for r in again.select("id", "label").collect()} == {tuple(r) for r in got.select("id", "label").collect()}
+
+
+def test_penalties_of_inner_folds_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(240, 3))
+    data = np.hstack([data, data @ rng.normal(size=(3, 2)) + rng.normal(size=(240, 2))])
+    fold, alphas = np.arange(240) % 4, (1e-3, 0.1, 1.0)
+    df = spark.createDataFrame([(int(f), [float(v) for v in r]) for f, r in zip(fold, data, strict=True)], "fold int, v array<double>")
+    got = {(r["direction"], r["fold"]): (r["alpha"], r["r2"]) for r in decoding.nested_rank(df, "v", "fold", [0, 1, 2], [3, 4], alphas).collect() if r["rank"] == 2}
+
+    def error(train, test, a, b, alpha):
+        x, y = data[train][:, a], data[train][:, b]
+        xc, yc = x - x.mean(0), y - y.mean(0)
+        w = np.linalg.solve(xc.T @ xc + len(x) * alpha * np.eye(len(a)), xc.T @ yc)
+        fit = (data[test][:, a] - x.mean(0)) @ w + y.mean(0)
+        return ((data[test][:, b] - fit) ** 2).sum()
+
+    for name, a, b in (("forward", [0, 1, 2], [3, 4]), ("backward", [3, 4], [0, 1, 2])):
+        for o in range(4):
+            inner = [sum(error((fold != o) & (fold != i), fold == i, a, b, p) for i in range(4) if i != o) for p in alphas]
+            best = alphas[int(np.argmin(inner))]
+            y = data[fold == o][:, b]
+            if name == "forward":  # of full rank, so that the plain ridge fit is the model
+                assert np.isclose(got[name, o][1], 1 - error(fold != o, fold == o, a, b, best) / ((y - y.mean(0)) ** 2).sum())
+            assert got[name, o][0] == best
+    assert (("forward", None) in got) and decoding.nested_rank(df.where("fold < 2"), "v", "fold", [0, 1], [2], alphas).count() == 0

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.linear import gram, solve
+from weftline.operators.ranks import numbered
 from weftline.sources.scratch import shared_folder
 
 #: The fixed order of candidates (penalty, share of it that is absolute), weakest first.
@@ -83,12 +84,15 @@ def tuned(rows: DataFrame, fold: str = "fold", grid: Sequence[tuple[float, float
 def shuffled_labels(rows: DataFrame, draw: int, row_id: str, within: Sequence[str] = ()) -> DataFrame:
     """Rows whose labels are those of other rows, by an order from a hash of id and draw; the counts of labels stay.
 
-    Ranks are joined with ranks, so that no label passes through the driver; `within` keeps labels in their group.
+    Places are joined with places, so that no label passes through the driver and all rows through no one task; `within`
+    keeps labels in their group. row_id is unique.
     """
-    w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    have = rows.withColumn("_r", F.row_number().over(w.orderBy(row_id)))
-    give = rows.select(*within, "label", F.row_number().over(w.orderBy(F.xxhash64(F.col(row_id), F.lit(draw)), row_id)).alias("_r"))
-    return have.drop("label").join(give, [*within, "_r"]).drop("_r")
+    keys = ["_all", *within]
+    ids = rows.select(F.lit(0).alias("_all"), *within, row_id)
+    give = rows.select(F.lit(0).alias("_all"), *within, F.xxhash64(F.col(row_id), F.lit(draw)).alias("_o"), F.col(row_id).alias("_id"), "label")
+    have, give = numbered(ids, keys, [row_id], "_r"), numbered(give, keys, ["_o", "_id"], "_r")
+    pairs = have.join(give.select(*keys, "_r", "label"), [*keys, "_r"]).select(row_id, "label")
+    return rows.drop("label").join(pairs, row_id)
 
 
 def decodability(rows: DataFrame, row_id: str, draws: int = 20, fold: str = "fold", penalty: float = 0.01, mix: float = 0.5, least: int = 10) -> DataFrame:
@@ -258,6 +262,45 @@ def window_variance(scores: DataFrame, keys: Sequence[str], share: float = 0.8)
     return v.withColumn("status", F.when(F.max("n").over(whole) < 2, "too_few_rows").when(F.coalesce(total, F.lit(0.0)) <= 0, "no_variance").otherwise("ok"))
 
 
+def _rank_errors(train: np.ndarray, test: np.ndarray, x: list[int], y: list[int], alpha: float) -> np.ndarray:
+    """Squared error on the cross products `test`, over all responses, of the ridge fit on `train` at each rank from 1."""
+    xs, ys = [i + 1 for i in x], [i + 1 for i in y]
+    at, m, mx, my = [0, *xs], train[0, 0], train[0, xs] / train[0, 0], train[0, ys] / train[0, 0]
+    full = solve(train, x, y, alpha)[1:]
+    low = np.linalg.cholesky(train[np.ix_(xs, xs)] - m * np.outer(mx, mx) + m * alpha * np.eye(len(x)))
+    v = np.linalg.svd(np.linalg.solve(low, train[np.ix_(xs, ys)] - m * np.outer(mx, my)), full_matrices=False)[2]
+    out = []
+    for k in range(min(len(x), len(y))):
+        b = full @ v[: k + 1].T @ v[: k + 1]
+        c = np.vstack([my - mx @ b, b])
+        out.append(float(np.trace(test[np.ix_(ys, ys)]) - 2 * np.sum(c * test[np.ix_(at, ys)]) + np.sum(c * (test[np.ix_(at, at)] @ c))))
+    return np.array(out)
+
+
+def nested_rank(rows: DataFrame, vector: str, fold: str, x: list[int], y: list[int], alphas: Sequence[float] = (1e-3, 1e-2, 1e-1, 1.0), within: float = 1e-12) -> DataFrame:
+    """Held-out R2 by direction, fold (null: all folds together) and rank, with the penalty that the other folds chose.
+
+    For each outer fold the penalty is the largest within `within` of the best full-rank R2 over inner folds, of those left;
+    the outer fold takes no part in it. Both directions, x to y and y to x, and all folds use one pass of cross products:
+    a training set is the sum less one or two folds. With fewer than three folds there is no inner choice and no row.
+    """
+    by = gram(rows, vector, fold)
+    total, cells = sum(by.values()), []
+    spread = lambda g, at: float(np.trace(g[np.ix_(at, at)]) - (g[0, at] ** 2).sum() / g[0, 0])
+    for direction, a, b in (("forward", x, y), ("backward", y, x)):
+        ys, summed, whole = [i + 1 for i in b], 0.0, 0.0
+        for outer, g in by.items() if len(by) > 2 else ():
+            rest = {i: h for i, h in by.items() if i != outer}
+            base = sum(spread(h, ys) for h in rest.values())
+            inner = [1 - sum(_rank_errors(total - g - h, h, a, b, alpha)[-1] for h in rest.values()) / base if base > 0 else math.nan for alpha in alphas]
+            alpha = max((p for p, r in zip(alphas, inner, strict=True) if r >= np.nanmax(inner) - within), default=max(alphas))
+            error, own = _rank_errors(total - g, g, a, b, alpha), spread(g, ys)
+            summed, whole = summed + error, whole + own
+            cells += [(direction, int(outer), float(alpha), k + 1, 1 - e / own if own > 0 else None) for k, e in enumerate(error.tolist())]
+        cells += [(direction, None, None, k + 1, 1 - e / whole if whole > 0 else None) for k, e in enumerate(np.atleast_1d(summed).tolist()) if len(by) > 2]
+    return rows.sparkSession.createDataFrame(cells, "direction string, fold int, alpha double, rank int, r2 double")
+
+
 def reduced_rank(rows: DataFrame, vector: str, fold: str, x: list[int], y: list[int], alphas: Sequence[float] = (1e-3, 1e-2, 1e-1, 1.0), within: float = 1e-12) -> DataFrame:
     """Held-out R2 over all responses by penalty and rank, (alpha, rank, r2, chosen): the largest alpha within `within`
     of the best full-rank score is chosen. Rank k keeps the k leading directions of the fitted responses.
@@ -317,4 +360,5 @@ def scored(rows: DataFrame, *keys: str) -> DataFrame:
 def session_table(runs: DataFrame, session: str, date: str, decoder: str, score: str) -> DataFrame:
     """One row a session in the order of dates, with the mean score over each decoder's runs in a column of its own (decoders must be few)."""
     wide = runs.groupBy(session, date).pivot(decoder).agg(F.avg(score))
-    return wide.withColumn("number", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(date, session)))
+    order = numbered(wide.select(F.lit(0).alias("_all"), session, date), ["_all"], [date, session], "_r").select(F.col(session).alias("_s"), F.col(date).alias("_d"), (F.col("_r") + 1).cast("int").alias("number"))
+    return wide.join(order, F.col(session).eqNullSafe(F.col("_s")) & F.col(date).eqNullSafe(F.col("_d"))).drop("_s", "_d")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -132,7 +132,7 @@ def _sums(df: DataFrame, name: str) -> np.ndarray:
 def fit(rows: DataFrame, states: int, logistic: bool = False, steps: int = 30, tolerance: float = 1e-4, prior: float = 0.0, stay: float = 0.9) -> Hmm:
     """EM over rows (session, i, x array, y); x of no elements is the Gaussian model of M23. prior adds so many
     transitions in the sticky proportions (MAP). Fitting ends when the mean log-likelihood gains less than the tolerance,
-    or after `steps`. Each step is one smoothing and one pass of weighted cross products (or a weighted logistic fit a state);
+    or after `steps`; the log-likelihood is that of the model returned. Each step is one smoothing and one pass of weighted cross products (or a weighted logistic fit a state);
     sums of a fixed size reach the driver.
     """
     p = rows.select(F.size("x").alias("p")).first()["p"]
@@ -142,11 +142,15 @@ def fit(rows: DataFrame, states: int, logistic: bool = False, steps: int = 30, t
     model = Hmm(weights, None if logistic else np.full(states, max(quantiles["s"] or 1.0, 1e-6)), sticky(states, stay), -math.inf)
     z = F.concat(F.array(F.lit(1.0)), F.transform("x", lambda v: v.cast("double")), F.array(F.col("y").cast("double")))
     shared_folder(rows.sparkSession)
+    before = -math.inf
     for _ in range(steps):
         levels = rows.withColumn("ll", model.levels())
         post = smooth(levels, model.transitions)
         both = rows.join(post, ["session", "i"]).checkpoint()
-        loglik = both.agg(F.sum("gain")).first()[0]
+        model = replace(model, loglik=both.agg(F.sum("gain")).first()[0])
+        if model.loglik - before < tolerance * n:
+            return model
+        before = model.loglik
         moves = _sums(both.where("xi IS NOT NULL"), "xi")
         trans = (moves.reshape(states, states) if len(moves) else np.zeros((states, states))) + prior * sticky(states, stay) + 1e-9
         trans = trans / trans.sum(axis=1, keepdims=True)
@@ -164,11 +168,8 @@ def fit(rows: DataFrame, states: int, logistic: bool = False, steps: int = 30, t
             weights = np.stack([np.linalg.lstsq(x[:-1, :-1] + 1e-9 * np.eye(p + 1), x[:-1, -1], rcond=None)[0] for x in g])
             left = [x[-1, -1] - 2 * w @ x[:-1, -1] + w @ x[:-1, :-1] @ w for x, w in zip(g, weights, strict=True)]
             sd = np.sqrt(np.maximum(left, 1e-12) / np.maximum(g[:, 0, 0], 1e-12))
-        done = loglik - model.loglik < tolerance * n
-        model = Hmm(weights, sd, trans, loglik)
-        if done:
-            break
-    return model
+        model = Hmm(weights, sd, trans, -math.inf)
+    return replace(model, loglik=loglik(rows, model))
 
 
 def loglik(rows: DataFrame, model: Hmm) -> float:

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from weftline.operators import align as al
 from weftline.operators.history import ordered, rewards_in_block, with_runs
 
-#: The targets that are columns of the table of trials, by name.
-NUMERICAL = ("consecutive_omissions", "consecutive_rewards", "session_trial_index", "trial_index_in_block", "rewards_in_block", "qlearning_relative_value", "forgetting_q_relative_value", "hmm_signed_belief", "hmm_decay_signed_belief", "relative_doubt")
-
 
 def target_table(trials: DataFrame, values: dict[str, str]) -> DataFrame:
     """A row per trial and target: value and whether it may be used, with the causes that bar the trial joined by ';'.
@@ -65,10 +62,10 @@ def joint_predictors(trials: DataFrame, bins: int = 4) -> DataFrame:
     return rows.select("session", "seq", "bin", "reason", F.when(ok, 2 * F.col("state") - 1).alias("context"), F.when(ok, 2 * F.col("action") - 1).alias("signed_choice"), *out)
 
 
-def _ahead(trials: DataFrame, most: int) -> DataFrame:
+def _ahead(trials: DataFrame, most: int, number: str) -> DataFrame:
     """trials with rows, an array of this row and the most - 1 after it in the session, and what starts an episode."""
     kind = F.when((F.col("correct") == 1) & (F.col("reward") == 1), "R").when((F.col("correct") == 1) & (F.col("reward") == 0), "O").when(F.col("correct") == 0, "X")
-    one = F.struct("seq", "action", "state", "block", "valid", kind.alias("kind"))
+    one = F.struct("seq", "action", "state", "block", "valid", kind.alias("kind"), F.col(number).alias("number"))
     return trials.withColumn("rows", F.collect_list(one).over(ordered().rowsBetween(0, most - 1)))
 
 
@@ -80,10 +77,20 @@ def _all(low: int, high: int, test) -> Column:
     return out
 
 
-def transitions(trials: DataFrame, most: int = 4) -> DataFrame:
+def _unbroken(length: int) -> Column:
+    """The first rows have numbers that follow each other: no trial between them is left out of the table."""
+    out = F.lit(True)
+    for i in range(1, length):
+        out = out & F.coalesce(F.get("rows", F.lit(i))["number"] == F.get("rows", F.lit(0))["number"] + i, F.lit(False))
+    return out
+
+
+def transitions(trials: DataFrame, most: int = 4, number: str = "trial") -> DataFrame:
     """From a rewarded right choice just before a block of the other side: x = 1 to `most` wrong repeats of the old side
-    and then a rewarded choice of the new side, all valid and all in the new block: direction, x, seqs of the episode."""
-    rows = _ahead(trials, most + 2)
+    and then a rewarded choice of the new side, all valid and all in the new block: direction, x, seqs of the episode.
+
+    The trials of an episode have numbers (`number`) that follow each other; a gap ends it, a null number is none."""
+    rows = _ahead(trials, most + 2, number)
     at = lambda i: F.get("rows", F.lit(i))
     old = at(0)["action"]
     start = (at(0)["kind"] == "R") & (at(0)["state"] == old) & (at(1)["block"] != at(0)["block"]) & at(0)["valid"]
@@ -91,19 +98,20 @@ def transitions(trials: DataFrame, most: int = 4) -> DataFrame:
     for x in range(1, most + 1):
         new = _all(1, x + 2, lambda r: r["valid"] & (r["block"] == at(1)["block"]) & (r["state"] == 1 - old))
         wrong = _all(1, x + 1, lambda r: (r["kind"] == "X") & (r["action"] == old))
-        found.append(F.when(start & new & wrong & (at(x + 1)["kind"] == "R") & (at(x + 1)["action"] == 1 - old), F.struct(F.lit(x).alias("x"), F.slice(F.col("rows")["seq"], 1, x + 2).alias("seqs"))))
+        found.append(F.when(start & _unbroken(x + 2) & new & wrong & (at(x + 1)["kind"] == "R") & (at(x + 1)["action"] == 1 - old), F.struct(F.lit(x).alias("x"), F.slice(F.col("rows")["seq"], 1, x + 2).alias("seqs"))))
     out = rows.select("session", F.when(old == 1, "left_to_right").otherwise("right_to_left").alias("direction"), F.explode(F.array_compact(F.array(*found))).alias("e"))
     return out.select("session", "direction", "e.x", "e.seqs")
 
 
-def probes(trials: DataFrame, rewarded_return: bool = True) -> DataFrame:
+def probes(trials: DataFrame, rewarded_return: bool = True, number: str = "trial") -> DataFrame:
     """Episodes that begin with a rewarded right choice R on side A, all of valid neighbours: family, side, x, seqs.
 
     probe: R, x = 1 to 4 wrong on B, return to A in one block; omission_probe: R, an omission on A, x wrong on B, return;
     lucky_omission_switch: R, an omission on A, then a new block and R on B; indecisive_transition: R, a new block, x = 1
     to 3 wrong on A, R on B, wrong on A, R on B. The return is rewarded, or may be an omission. Episodes may overlap.
+    The trials of an episode have numbers (`number`) that follow each other.
     """
-    rows = _ahead(trials, 7)
+    rows = _ahead(trials, 7, number)
     at = lambda i: F.get("rows", F.lit(i))
     a = at(0)["action"]
     b = 1 - a
@@ -116,7 +124,7 @@ def probes(trials: DataFrame, rewarded_return: bool = True) -> DataFrame:
 
     def add(family: str, x: int | None, length: int, test: Column) -> None:
         episode = F.struct(F.lit(family).alias("family"), F.lit(x).cast("int").alias("x"), F.slice(F.col("rows")["seq"], 1, length).alias("seqs"))
-        found.append(F.when(start & _all(0, length, lambda r: r["valid"]) & test, episode))
+        found.append(F.when(start & _unbroken(length) & _all(0, length, lambda r: r["valid"]) & test, episode))
 
     for x in range(1, 5):
         add("probe", x, x + 2, same(0, x + 2, 0, a) & wrong(1, x + 1, b) & back(x + 1))

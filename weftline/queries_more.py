@@ -137,8 +137,8 @@ _add("j20_joint_predictors", lambda s, d: tg.joint_predictors(trials(s, d)), "se
 
 
 def _ahead_sql(n: int) -> str:
-    cols = ", ".join(f"lead({c}, {i}) OVER w AS {c}{i}" for i in range(n) for c in ("seq", "action", "state", "block", "valid", "kind"))
-    return f", kd AS (SELECT *, CASE WHEN correct = 1 AND reward = 1 THEN 'R' WHEN correct = 1 AND reward = 0 THEN 'O' WHEN correct = 0 THEN 'X' END AS kind FROM trials), ah AS (SELECT session, {cols} FROM kd WINDOW w AS (PARTITION BY session ORDER BY t, seq))"
+    cols = ", ".join(f"lead({c}, {i}) OVER w AS {c}{i}" for i in range(n) for c in ("seq", "action", "state", "block", "valid", "kind", "trial"))
+    return f", kd AS (SELECT *, CASE WHEN correct = 1 AND reward = 1 THEN 'R' WHEN correct = 1 AND reward = 0 THEN 'O' WHEN correct = 0 THEN 'X' END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t, seq) AS trial FROM trials) WHERE action IS NOT NULL), ah AS (SELECT session, {cols} FROM kd WINDOW w AS (PARTITION BY session ORDER BY t, seq))"
 
 
 def _is(i: int, kind: str, side: str) -> str:
@@ -149,12 +149,21 @@ def _seqs(n: int) -> str:
     return "concat_ws(',', " + ", ".join(f"seq{i}" for i in range(n)) + ")"
 
 
+def _unbroken(n: int) -> str:
+    return " AND ".join(f"trial{i} = trial0 + {i}" for i in range(1, n))
+
+
+def _with_choice(s: SparkSession, d: str) -> DataFrame:
+    """The trials with a choice, numbered before the others went: there are gaps."""
+    return trials(s, d).withColumn("trial", F.row_number().over(hi.ordered())).where("action IS NOT NULL")
+
+
 def _transitions_sql() -> str:
     out = []
     for x in range(1, 5):
         new = " AND ".join(f"valid{i} AND block{i} = block1 AND state{i} = 1 - action0" for i in range(1, x + 2))
         wrong = " AND ".join(_is(i, "X", "action0") for i in range(1, x + 1))
-        out.append(f"SELECT session, CASE WHEN action0 = 1 THEN 'left_to_right' ELSE 'right_to_left' END AS direction, {x} AS x, {_seqs(x + 2)} AS episode FROM ah WHERE kind0 = 'R' AND state0 = action0 AND valid0 AND block1 <> block0 AND {new} AND {wrong} AND {_is(x + 1, 'R', '1 - action0')}")
+        out.append(f"SELECT session, CASE WHEN action0 = 1 THEN 'left_to_right' ELSE 'right_to_left' END AS direction, {x} AS x, {_seqs(x + 2)} AS episode FROM ah WHERE {_unbroken(x + 2)} AND kind0 = 'R' AND state0 = action0 AND valid0 AND block1 <> block0 AND {new} AND {wrong} AND {_is(x + 1, 'R', '1 - action0')}")
     return " UNION ALL ".join(out)
 
 
@@ -163,7 +172,7 @@ def _probes_sql() -> str:
 
     def add(family: str, x: int | None, n: int, test: str) -> None:
         valid = " AND ".join(f"valid{i}" for i in range(n))
-        out.append(f"SELECT session, '{family}' AS family, CASE WHEN action0 = 1 THEN 'left' ELSE 'right' END AS side, CAST({'NULL' if x is None else x} AS INTEGER) AS x, {_seqs(n)} AS episode FROM ah WHERE kind0 = 'R' AND state0 = action0 AND {valid} AND {test}")
+        out.append(f"SELECT session, '{family}' AS family, CASE WHEN action0 = 1 THEN 'left' ELSE 'right' END AS side, CAST({'NULL' if x is None else x} AS INTEGER) AS x, {_seqs(n)} AS episode FROM ah WHERE {_unbroken(n)} AND kind0 = 'R' AND state0 = action0 AND {valid} AND {test}")
 
     same = lambda low, high, i, state: " AND ".join(f"block{j} = block{i} AND state{j} = {state}" for j in range(low, high))
     wrong = lambda low, high, side: " AND ".join(_is(j, "X", side) for j in range(low, high))
@@ -183,8 +192,8 @@ def _episode(df: DataFrame) -> DataFrame:
     return df.withColumn("episode", F.array_join(F.col("seqs").cast("array<string>"), ","))
 
 
-_add("j15_transitions", lambda s, d: _episode(tg.transitions(trials(s, d))), "session direction x episode", _transitions_sql(), _ahead_sql(6))
-_add("j15_probes", lambda s, d: _episode(tg.probes(trials(s, d))), "session family side x episode", _probes_sql(), _ahead_sql(7))
+_add("j15_transitions", lambda s, d: _episode(tg.transitions(_with_choice(s, d))), "session direction x episode", _transitions_sql(), _ahead_sql(6))
+_add("j15_probes", lambda s, d: _episode(tg.probes(_with_choice(s, d))), "session family side x episode", _probes_sql(), _ahead_sql(7))
 _add("j14_side_motifs", lambda s, d: tg.side_motifs(trials(s, d)), "central side previous next_move n",
      "SELECT k AS central, CASE WHEN action = 1 THEN 'left' ELSE 'right' END AS side, pk AS previous, CASE WHEN na = action THEN 'repeat' ELSE 'switch' END AS next_move, count(*) AS n FROM (SELECT *, lag(action) OVER w AS pa, lead(action) OVER w AS na, lag(valid) OVER w AS pv, lead(valid) OVER w AS nv, lag(k) OVER w AS pk FROM (SELECT *, CASE WHEN correct = 1 AND reward = 1 THEN 'correct_rewarded' WHEN correct = 1 THEN 'omission' WHEN correct = 0 THEN 'incorrect' END AS k FROM trials) WINDOW w AS (PARTITION BY session ORDER BY t, seq)) WHERE valid AND pv AND nv AND CASE WHEN pk = 'incorrect' THEN pa <> action ELSE pa = action END GROUP BY ALL")
 _add("j16_switch_counts", lambda s, d: tg.switch_counts(hi.switch_events(trials(s, d))), "session place transition n",
@@ -456,6 +465,7 @@ _add("m24_session_table", lambda s, d: dc.session_table(table(s, d, "events").se
 QUERIES["m04_penalised_paths"] = lambda s, d: dc.penalised_paths(dc.side_design(su.blocks(trials(s, d))).withColumn("fold", (F.col("block_run") % 5).cast("int")))
 QUERIES["m05_poisson"] = lambda s, d: dc.poisson(_counts(s, d))
 QUERIES["m10_reduced_rank"] = lambda s, d: dc.reduced_rank(_folded(s, d), "embedding", "fold", FIRST, SECOND)
+QUERIES["m10_nested_rank"] = lambda s, d: dc.nested_rank(_folded(s, d), "embedding", "fold", FIRST, SECOND)
 QUERIES["m11_decode"] = lambda s, d: dc.decode(_labelled(s, d)).select("vec_id", "fold", "label", "p", "reason")
 QUERIES["m12_decodability"] = lambda s, d: dc.decodability(_labelled(s, d), "vec_id", 5)
 QUERIES["m13_transfer"] = lambda s, d: dc.transfer(_labelled(s, d), F.col("fold") < 2, F.col("fold") > 2, "vec_id")
@@ -490,7 +500,7 @@ def _fitted(s: SparkSession, d: str, logistic: bool = False) -> DataFrame:
         rows = rows.withColumn("y", (F.col("y") >= 20).cast("double")).withColumn("x", F.array(F.sin(F.col("i").cast("double"))))
     else:
         rows = rows.withColumn("x", F.array((F.col("i") % 2).cast("double")))
-    model = hmm.fit(rows, 2, logistic, steps=4)
+    model = hmm.fit(rows, 2, logistic)
     score = hmm.information(2, 1, model.loglik, rows.count())
     cells = [(k, [float(v) for v in w], None if model.deviations is None else float(model.deviations[k]), [float(v) for v in t], model.loglik, score["aic"], score["bic"]) for k, (w, t) in enumerate(zip(model.weights, model.transitions, strict=True))]
     return s.createDataFrame(cells, "state int, weights array<double>, deviation double, moves array<double>, loglik double, aic double, bic double")
@@ -498,7 +508,7 @@ def _fitted(s: SparkSession, d: str, logistic: bool = False) -> DataFrame:
 
 QUERIES["m22_linear_hmm"] = lambda s, d: _fitted(s, d)
 QUERIES["m22_logistic_hmm"] = lambda s, d: _fitted(s, d, True)
-QUERIES["m23_gaussian_hmm"] = lambda s, d: s.createDataFrame([(k, float(w[0]), float(v)) for m in [hmm.fit(_sequence(s, d), 3, steps=4)] for k, (w, v) in enumerate(zip(m.weights, m.deviations, strict=True))], "state int, mean double, deviation double")
+QUERIES["m23_gaussian_hmm"] = lambda s, d: s.createDataFrame([(k, float(w[0]), float(v)) for m in [hmm.fit(_sequence(s, d), 3)] for k, (w, v) in enumerate(zip(m.weights, m.deviations, strict=True))], "state int, mean double, deviation double")
 
 # The panel of policies; its SQL walks the history one trial at a time.
 PANEL = SIDED + """, pw(session, rn, seq, same, paid, home, n, away, run, pooled, fq) AS (
