@@ -500,7 +500,7 @@ def _fitted(s: SparkSession, d: str, logistic: bool = False) -> DataFrame:
         rows = rows.withColumn("y", (F.col("y") >= 20).cast("double")).withColumn("x", F.array(F.sin(F.col("i").cast("double"))))
     else:
         rows = rows.withColumn("x", F.array((F.col("i") % 2).cast("double")))
-    model = hmm.fit(rows, 2, logistic)
+    model = hmm.fit(rows, 2, logistic, steps=6)
     score = hmm.information(2, 1, model.loglik, rows.count())
     cells = [(k, [float(v) for v in w], None if model.deviations is None else float(model.deviations[k]), [float(v) for v in t], model.loglik, score["aic"], score["bic"]) for k, (w, t) in enumerate(zip(model.weights, model.transitions, strict=True))]
     return s.createDataFrame(cells, "state int, weights array<double>, deviation double, moves array<double>, loglik double, aic double, bic double")
@@ -508,7 +508,7 @@ def _fitted(s: SparkSession, d: str, logistic: bool = False) -> DataFrame:
 
 QUERIES["m22_linear_hmm"] = lambda s, d: _fitted(s, d)
 QUERIES["m22_logistic_hmm"] = lambda s, d: _fitted(s, d, True)
-QUERIES["m23_gaussian_hmm"] = lambda s, d: s.createDataFrame([(k, float(w[0]), float(v)) for m in [hmm.fit(_sequence(s, d), 3)] for k, (w, v) in enumerate(zip(m.weights, m.deviations, strict=True))], "state int, mean double, deviation double")
+QUERIES["m23_gaussian_hmm"] = lambda s, d: s.createDataFrame([(k, float(w[0]), float(v)) for m in [hmm.fit(_sequence(s, d), 3, steps=6)] for k, (w, v) in enumerate(zip(m.weights, m.deviations, strict=True))], "state int, mean double, deviation double")
 
 # The panel of policies; its SQL walks the history one trial at a time.
 PANEL = SIDED + """, pw(session, rn, seq, same, paid, home, n, away, run, pooled, fq) AS (
