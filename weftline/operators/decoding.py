@@ -1,4 +1,4 @@
-"""Decoders and regressions with held-out folds: Spark ML where there is an iteration, cross products where there is none.
+"""Decoders and regressions with held-out folds: batched steps where there is an iteration, cross products where there is none.
 
 Rows have a fold, a label or response, and a vector (array<double>); vectors of one call have one length.
 """
@@ -12,13 +12,13 @@ from itertools import combinations
 import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.linear import gram, solve
+from weftline.operators.batched import Model, fit, fits_table, laid, scored as beside
+from weftline.operators.linear import elastic_path, gram, solve, squared_errors
 from weftline.operators.ranks import numbered
-from weftline.sources.scratch import shared_folder
+from weftline.sources.scratch import shared_folder, written
 
 #: The fixed order of candidates (penalty, share of it that is absolute), weakest first.
 GRID = tuple((p, e) for p in (0.001, 0.01, 0.1, 1.0, 10.0) for e in (0.0, 0.5, 1.0))
@@ -30,12 +30,9 @@ def _points(rows: DataFrame, vector: str = "x") -> DataFrame:
     return rows.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>"))).checkpoint()
 
 
-def _folds(rows: DataFrame, fold: str, most: int = 100) -> list[int]:
-    """The folds of rows, which must be few: each is a model."""
-    found = [r[0] for r in rows.select(fold).where(F.col(fold).isNotNull()).distinct().limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"more than {most} folds")
-    return sorted(found)
+def _folds(rows: DataFrame, fold: str) -> list[int]:
+    """The folds of rows: each is a model."""
+    return sorted(r[0] for r in rows.select(fold).where(F.col(fold).isNotNull()).distinct().collect())
 
 
 def _logistic(penalty: float, mix: float, weight: str | None) -> LogisticRegression:
@@ -43,70 +40,90 @@ def _logistic(penalty: float, mix: float, weight: str | None) -> LogisticRegress
     return model.setWeightCol(weight) if weight else model
 
 
+def _binary(rows: DataFrame) -> DataFrame:
+    """Rows with label and vector, the label as a number."""
+    return rows.where(F.col("label").isNotNull() & F.col("x").isNotNull()).withColumn("label", F.col("label").cast("double"))
+
+
+def _chance(eta: Column) -> Column:
+    return 1 / (1 + F.exp(-eta))
+
+
 def decode(rows: DataFrame, fold: str = "fold", penalty: float = 0.01, mix: float = 0.0, weight: str | None = None) -> DataFrame:
     """Rows (label 0/1, x, fold) with p, the chance of label 1 from the model fitted without the row's fold, and reason.
 
-    A fold whose training rows lack a class is not predicted: p is null and reason missing_class. Rows with null label or
-    vector are no part. `weight` is a column, such as 1 / (bins of the trial) for pooled bins.
+    A fold whose training rows lack a class is not predicted: p is null and reason missing_class (no_rows if there are none).
+    Rows with null label or vector are no part. `weight` is a column, such as 1 / (bins of the trial) for pooled bins. All
+    folds are fitted by the same scans.
     """
-    points = _points(rows.where(F.col("label").isNotNull() & F.col("x").isNotNull())).withColumn("label", F.col("label").cast("double"))
-    seen = {(r[fold], r["label"]) for r in points.groupBy(fold, "label").count().collect()}
-    out = []
-    for k in _folds(points, fold):
-        test = points.where(F.col(fold) == k)
-        if len({c for f, c in seen if f != k}) < 2:
-            out.append(test.withColumn("p", F.lit(None).cast("double")).withColumn("reason", F.lit("missing_class")))
-            continue
-        model = _logistic(penalty, mix, weight).fit(points.where(F.col(fold) != k))
-        scored = model.transform(test).withColumn("p", vector_to_array("probability")[1]).withColumn("reason", F.lit(None).cast("string"))
-        out.append(scored.drop("rawPrediction", "probability", "prediction"))
-    if not out:
-        return points.withColumn("p", F.lit(None).cast("double")).withColumn("reason", F.lit(None).cast("string")).drop("_v")
-    first = out[0]
-    for df in out[1:]:
-        first = first.unionByName(df)
-    return first.drop("_v")
-
-
-def tuned(rows: DataFrame, fold: str = "fold", grid: Sequence[tuple[float, float]] = GRID) -> DataFrame:
-    """Mean held-out accuracy of each candidate in the grid's order, and which is chosen: the first with the strictly
-    highest mean over folds that all have a score."""
-    scores = []
-    for penalty, mix in grid:
-        found = decode(rows, fold, penalty, mix).groupBy(fold).agg(F.avg(((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("double")).alias("a")).collect()
-        each = [r["a"] for r in found]
-        scores.append(None if not each or None in each else float(np.mean(each)))
-    best = next((i for i, s in enumerate(scores) if s is not None and s == max(x for x in scores if x is not None)), -1)
-    cells = [(i, float(p), float(e), s, i == best) for i, ((p, e), s) in enumerate(zip(grid, scores, strict=True))]
-    return rows.sparkSession.createDataFrame(cells, "candidate int, penalty double, mix double, score double, chosen boolean")
+    data = _binary(rows).where(F.col(fold).isNotNull())
+    fits = fit(laid(data, F.array("label"), fold=fold, weight=weight), [Model(fold=k, penalty=penalty, mix=mix) for k in _folds(data, fold)])
+    table = fits_table(rows.sparkSession, fits).select(F.col("held_out").alias("_k"), F.col("intercept").alias("_b"), F.col("weights").alias("_w"), F.col("status").alias("_s"))
+    eta = F.aggregate(F.zip_with(F.col("x").cast("array<double>"), "_w", lambda a, b: a * b), F.col("_b"), lambda a, b: a + b)
+    out = data.join(F.broadcast(table), F.col(fold) == F.col("_k"))
+    return out.select(*[F.col(c) for c in data.columns if c not in ("p", "reason")], _chance(eta).alias("p"), F.when(F.col("_w").isNull(), F.col("_s")).alias("reason"))
 
 
-def shuffled_labels(rows: DataFrame, draw: int, row_id: str, within: Sequence[str] = ()) -> DataFrame:
-    """Rows whose labels are those of other rows, by an order from a hash of id and draw; the counts of labels stay.
+def tuned(rows: DataFrame, fold: str = "fold", grid: Sequence[tuple[float, float]] = GRID, cell: str | None = None, weight: str | None = None) -> DataFrame:
+    """Mean held-out accuracy of each candidate in the grid's order, and which is chosen: the first with the strictly
+    highest mean over folds that all have a score. With `cell`, such as a time bin, a choice for each of its values.
 
-    Places are joined with places, so that no label passes through the driver and all rows through no one task; `within`
-    keeps labels in their group. row_id is unique.
+    The models of all cells, folds and candidates are fitted by the same scans; one more scores them.
+    """
+    data = _binary(rows).where(F.col(fold).isNotNull())
+    data = data.withColumn("_cell", F.col(cell).cast("int") if cell else F.lit(0)).where("_cell IS NOT NULL")
+    parts = sorted((r[0], r[1]) for r in data.select("_cell", F.col(fold).cast("int")).distinct().collect())
+    models = [Model(0, k, c, None, p, e) for c, k in parts for p, e in grid]
+    fits = fit(laid(data, F.array("label"), fold=fold, cell="_cell", weight=weight), models)
+    on = (F.col("_cell") == F.col("cell")) & (F.col("_fold") == F.col("held_out"))
+    each = beside(data.select("_cell", F.col(fold).alias("_fold"), "label", "x"), fits, on).withColumn("candidate", F.pmod("model", F.lit(len(grid))))
+    hit = ((F.col("eta") >= 0).cast("double") == F.col("label")).cast("double")
+    by = each.groupBy("cell", "candidate", "held_out").agg(F.when(F.count_if(F.col("eta").isNull()) == 0, F.avg(hit)).alias("a"))
+    by = by.groupBy("cell", "candidate").agg(F.when(F.count_if(F.col("a").isNull()) == 0, F.avg("a")).alias("score"))
+    by = by.join(F.broadcast(rows.sparkSession.createDataFrame([(i, float(p), float(e)) for i, (p, e) in enumerate(grid)], "candidate int, penalty double, mix double")), "candidate")
+    best = F.max_by("candidate", F.when(F.col("score").isNotNull(), F.struct("score", -F.col("candidate")))).over(Window.partitionBy("cell"))
+    out = by.select("cell", "candidate", "penalty", "mix", "score", F.coalesce(F.col("candidate") == best, F.lit(False)).alias("chosen"))
+    return out.withColumnRenamed("cell", cell) if cell else out.drop("cell")
+
+
+def label_draws(rows: DataFrame, draws: Sequence[int], row_id: str, within: Sequence[str] = ()) -> DataFrame:
+    """Rows with ys, the row's own label and then, for each draw, that of another row, by an order from a hash of id and
+    draw; the counts of labels stay. `within` keeps labels in their group. row_id is unique.
+
+    Places are joined with places, so that no label passes through the driver and all rows through no one task; all draws go
+    through one sort.
     """
     keys = ["_all", *within]
-    ids = rows.select(F.lit(0).alias("_all"), *within, row_id)
-    give = rows.select(F.lit(0).alias("_all"), *within, F.xxhash64(F.col(row_id), F.lit(draw)).alias("_o"), F.col(row_id).alias("_id"), "label")
-    have, give = numbered(ids, keys, [row_id], "_r"), numbered(give, keys, ["_o", "_id"], "_r")
-    pairs = have.join(give.select(*keys, "_r", "label"), [*keys, "_r"]).select(row_id, "label")
-    return rows.drop("label").join(pairs, row_id)
+    have = numbered(rows.select(F.lit(0).alias("_all"), *within, row_id), keys, [row_id], "_r")
+    give = rows.select(F.explode(F.lit(list(draws))).alias("_draw"), *within, F.col(row_id).alias("_id"), "label")
+    give = give.withColumn("_all", F.lit(0)).withColumn("_o", F.xxhash64("_id", "_draw"))
+    give = numbered(give, ["_draw", *keys], ["_o", "_id"], "_r")
+    met = have.join(give, [*keys, "_r"]).groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("_draw", "label"))).alias("_l"))
+    return rows.join(met, row_id).withColumn("ys", F.concat(F.array("label"), F.transform("_l", lambda v: v["label"]))).drop("_l")
+
+
+def shuffled_labels(rows: DataFrame, draw: int, row_id: str, within: Sequence[str] = ()) -> DataFrame:
+    """Rows whose labels are those of one draw of `label_draws`."""
+    return label_draws(rows, [draw], row_id, within).withColumn("label", F.get("ys", F.lit(1))).drop("ys")
 
 
 def decodability(rows: DataFrame, row_id: str, draws: int = 20, fold: str = "fold", penalty: float = 0.01, mix: float = 0.5, least: int = 10) -> DataFrame:
     """N, held-out accuracy, mean accuracy under shuffled labels, p = (1 + shuffles at or over it) / (1 + shuffles), and
-    reason: no_valid_samples, insufficient_classes or insufficient_samples (a class under `least` rows)."""
-    good = rows.where(F.col("label").isNotNull() & F.col("x").isNotNull())
+    reason: no_valid_samples, insufficient_classes or insufficient_samples (a class under `least` rows).
+
+    All draws and folds are fitted by the same scans. A draw whose training rows lack a class has no score.
+    """
+    good = _binary(rows)
     n = {r["label"]: r["count"] for r in good.groupBy("label").count().collect()}
     reason = "no_valid_samples" if not n else "insufficient_classes" if len(n) < 2 else "insufficient_samples" if min(n.values()) < least else None
-    score = lambda df: df.agg(F.avg(((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("double"))).first()[0]
     own, null = None, []
     if reason is None:
-        own = score(decode(good, fold, penalty, mix))
-        null = [score(decode(shuffled_labels(good, d, row_id), fold, penalty, mix)) for d in range(draws)]
-        null = [x for x in null if x is not None]
+        with written(label_draws(good.where(F.col(fold).isNotNull()).select(row_id, F.col(fold).alias("_fold"), "label", "x"), range(1, draws + 1), row_id)) as drawn:
+            fits = fit(laid(drawn, F.col("ys"), fold="_fold"), [Model(r, k, 0, None, penalty, mix) for r in range(draws + 1) for k in _folds(drawn, "_fold")])
+            each = beside(drawn, fits, F.col("_fold") == F.col("held_out"))
+            hit = ((F.col("eta") >= 0).cast("double") == F.get("ys", "response")).cast("double")
+            found = {r["response"]: r["a"] for r in each.groupBy("response").agg(F.avg(F.when(F.col("eta").isNotNull(), hit)).alias("a")).collect()}
+        own, null = found.get(0), [a for r, a in found.items() if r > 0 and a is not None]
     p = (1 + sum(x >= own for x in null)) / (1 + len(null)) if own is not None and null else None
     cells = [(sum(n.values()), own, float(np.mean(null)) if null else None, p, reason)]
     return rows.sparkSession.createDataFrame(cells, "n long, accuracy double, null_accuracy double, p double, reason string")
@@ -128,18 +145,11 @@ def transfer(rows: DataFrame, source: Column, target: Column, row_id: str, penal
 def readouts(rows: DataFrame, windows: DataFrame, fold: str = "fold", penalty: float = 0.01) -> DataFrame:
     """Each fold's readout, fitted on the other folds' rows, predicts that fold's windows (window, fold, x) alone:
     window, fold, p, and contributions, the elements of x times their weights. Folds without a readout have null and a reason."""
-    points = _points(rows.where(F.col("label").isNotNull() & F.col("x").isNotNull())).withColumn("label", F.col("label").cast("double"))
-    models = []
-    for k in _folds(windows, fold):
-        train = points.where(F.col(fold) != k)
-        if train.select("label").distinct().count() < 2:
-            continue
-        m = _logistic(penalty, 0.0, None).fit(train)
-        models.append((k, float(m.intercept), m.coefficients.toArray().tolist()))
-    table = rows.sparkSession.createDataFrame(models, f"{fold} int, intercept double, weights array<double>")
-    out = windows.join(F.broadcast(table), fold, "left").withColumn("contributions", F.zip_with("x", "weights", lambda a, b: a * b))
+    fits = fit(laid(_binary(rows), F.array("label"), fold=fold), [Model(fold=k, penalty=penalty) for k in _folds(windows, fold)])
+    table = fits_table(rows.sparkSession, [f for f in fits if f.weights]).select(F.col("held_out").alias("_k"), "intercept", "weights")
+    out = windows.join(F.broadcast(table), F.col(fold) == F.col("_k"), "left").withColumn("contributions", F.zip_with("x", "weights", lambda a, b: a * b))
     z = F.aggregate("contributions", F.col("intercept"), lambda a, b: a + b)
-    return out.select("window", fold, (1 / (1 + F.exp(-z))).alias("p"), "contributions", F.when(F.col("weights").isNull(), "no_readout").alias("reason"))
+    return out.select("window", fold, _chance(z).alias("p"), "contributions", F.when(F.col("weights").isNull(), "no_readout").alias("reason"))
 
 
 def dichotomies(conditions: Sequence[str]) -> list[tuple[str, ...]]:
@@ -172,34 +182,75 @@ def poisson(rows: DataFrame, fold: str = "fold", penalty: float = 0.0) -> DataFr
     """(fold, n, deviance, null_deviance, explained, mse) of a log-link Poisson model of y on x fitted without the fold.
 
     deviance = 2 sum(y ln(y / mu) - (y - mu)), the first term 0 where y is; the null model is the mean of the fold's own
-    y; explained is null where its deviance is 0.
+    y; explained is null where its deviance is 0. A fold without a model (no other rows, or their y all 0) has null figures.
+    All folds are fitted by the same scans; the penalty is on squared weights of scaled columns.
     """
-    points = _points(rows.where(F.col("y").isNotNull() & F.col("x").isNotNull())).withColumn("y", F.col("y").cast("double"))
-    means = points.groupBy(fold).agg(F.avg("y").alias("_mean"))
-    out = None
-    for k in _folds(points, fold):
-        model = GeneralizedLinearRegression(featuresCol="_v", labelCol="y", family="poisson", link="log", regParam=penalty, maxIter=50).fit(points.where(F.col(fold) != k))
-        scored = model.transform(points.where(F.col(fold) == k)).select(fold, "y", F.col("prediction").alias("mu"))
-        out = scored if out is None else out.unionByName(scored)
+    data = rows.where(F.col("y").isNotNull() & F.col("x").isNotNull() & F.col(fold).isNotNull()).withColumn("y", F.col("y").cast("double"))
+    fits = fit(laid(data, F.array("y"), fold=fold), [Model(fold=k, penalty=penalty) for k in _folds(data, fold)], "poisson")
+    means = data.groupBy(fold).agg(F.avg("y").alias("_mean"))
+    out = beside(data.select(fold, "y", "x"), fits, F.col(fold) == F.col("held_out")).select(fold, "y", F.exp("eta").alias("mu")).join(means, fold)
     dev = lambda mu: 2 * (F.when(F.col("y") > 0, F.col("y") * F.log(F.col("y") / mu)).otherwise(0.0) - (F.col("y") - mu))
-    rows = out.join(means, fold).groupBy(fold).agg(F.count("*").alias("n"), F.sum(dev(F.col("mu"))).alias("deviance"), F.sum(F.when(F.col("_mean") > 0, dev(F.col("_mean"))).otherwise(0.0)).alias("null_deviance"), F.avg((F.col("y") - F.col("mu")) ** 2).alias("mse"))
+    rows = out.groupBy(fold).agg(F.count("*").alias("n"), F.sum(dev(F.col("mu"))).alias("deviance"), F.sum(F.when(F.col("_mean") > 0, dev(F.col("_mean"))).otherwise(0.0)).alias("null_deviance"), F.avg((F.col("y") - F.col("mu")) ** 2).alias("mse"))
     return rows.withColumn("explained", F.when(F.col("null_deviance") > 1e-12, 1 - F.col("deviance") / F.col("null_deviance")))
 
 
 def penalised_paths(rows: DataFrame, fold: str = "fold", mix: float = 1.0, penalties: Sequence[float] = (1.0, 0.3, 0.1, 0.03, 0.01, 0.003)) -> DataFrame:
-    """Held-out mean square by penalty over folds, its standard error, and which penalty is the best (least) and which
-    the 1-SE pick: the largest whose mean is within a standard error of the least. mix: 0 ridge, 1 lasso."""
-    points = _points(rows.where(F.col("y").isNotNull() & F.col("x").isNotNull())).withColumn("y", F.col("y").cast("double"))
-    cells = []
-    for penalty in penalties:
-        for k in _folds(points, fold):
-            model = LinearRegression(featuresCol="_v", labelCol="y", regParam=penalty, elasticNetParam=mix, maxIter=100).fit(points.where(F.col(fold) != k))
-            mse = model.transform(points.where(F.col(fold) == k)).agg(F.avg((F.col("y") - F.col("prediction")) ** 2)).first()[0]
-            cells.append((penalty, k, mse))
-    by = rows.sparkSession.createDataFrame(cells, "penalty double, fold int, mse double").groupBy("penalty").agg(F.avg("mse").alias("mse"), (F.stddev_samp("mse") / F.sqrt(F.count("*"))).alias("se"))
-    least = F.min(F.struct("mse", (-F.col("penalty")).alias("_p"), "se")).over(Window.partitionBy(F.lit(0)))
-    by = by.withColumn("_l", least).withColumn("best", F.col("penalty") == -F.col("_l._p")).withColumn("_in", F.col("mse") <= F.col("_l.mse") + F.coalesce("_l.se", F.lit(0.0)))
-    return by.withColumn("one_se", F.col("penalty") == F.max(F.when(F.col("_in"), F.col("penalty"))).over(Window.partitionBy(F.lit(0)))).drop("_l", "_in")
+    """Held-out mean square by penalty over folds, its standard error (null for one fold), and which penalty is the best
+    (least; of equals the larger) and which the 1-SE pick: the largest whose mean is within a standard error of the least.
+    mix: 0 ridge, 1 lasso. Fewer than two folds give no row.
+
+    One pass of cross products by fold serves all folds and penalties: a training set is the total less the fold.
+    """
+    p, by = _joined_gram(rows, fold)
+    total, cells = sum(by.values()), []
+    if len(by) > 1:
+        x, y, order = list(range(p)), p, sorted(penalties, reverse=True)
+        paths = {k: elastic_path(total - g, x, y, order, mix) for k, g in by.items()}
+        for i, penalty in enumerate(order):
+            mse = [float(squared_errors(g, paths[k][i][:, None], x, [y])[0]) / g[0, 0] for k, g in by.items()]
+            cells.append((float(penalty), float(np.mean(mse)), float(np.std(mse, ddof=1) / math.sqrt(len(mse)))))
+        best = min(cells, key=lambda c: (c[1], -c[0]))
+        pick = max(c[0] for c in cells if c[1] <= best[1] + best[2])
+        cells = [(*c, c[0] == best[0], c[0] == pick) for c in cells]
+    return rows.sparkSession.createDataFrame(cells, "penalty double, mse double, se double, best boolean, one_se boolean")
+
+
+def _joined_gram(rows: DataFrame, fold: str | None) -> tuple[int, dict[int, np.ndarray]]:
+    """How many elements x has, and the cross products of (1, x, y) by fold."""
+    good = rows.where(F.col("y").isNotNull() & F.col("x").isNotNull())
+    by = gram(good.withColumn("_xy", F.concat(F.col("x").cast("array<double>"), F.array(F.col("y").cast("double")))), "_xy", fold)
+    return (len(next(iter(by.values()))) - 2 if by else 0), by
+
+
+def penalised_weights(rows: DataFrame, penalties: Sequence[float], mix: float = 1.0) -> DataFrame:
+    """(penalty, term, coefficient) of y on x over all rows, term -1 the intercept, in the scale of x; one pass for all penalties."""
+    p, by = _joined_gram(rows, None)
+    order = sorted(penalties, reverse=True)
+    path = elastic_path(by[0], list(range(p)), p, order, mix) if by else []
+    cells = [(float(l), t - 1, float(v)) for l, w in zip(order, path, strict=False) for t, v in enumerate(w)]
+    return rows.sparkSession.createDataFrame(cells, "penalty double, term int, coefficient double")
+
+
+def penalised_violations(rows: DataFrame, weights: DataFrame, size: int, mix: float = 1.0) -> DataFrame:
+    """(penalty, term, violation) of the conditions of the optimum on the rows behind `weights`: the mean residual for the
+    intercept, and for a column how far its covariance with the residual lies from what the penalty allows; all 0 there."""
+    held: dict[float, dict[int, float]] = {}
+    for c in weights.collect():
+        held.setdefault(c["penalty"], {})[c["term"]] = c["coefficient"]
+    models = [F.struct(F.lit(p).alias("penalty"), F.lit(w[-1]).alias("_b"), F.lit([w[i] for i in range(size)]).alias("_w")) for p, w in held.items()]
+    each = rows.where("y IS NOT NULL AND x IS NOT NULL").select("x", "y", F.inline(F.array(*models)))
+    r = F.col("y") - F.aggregate(F.zip_with(F.col("x").cast("array<double>"), "_w", lambda a, b: a * b), F.col("_b"), lambda a, b: a + b)
+    each = each.withColumn("_r", r)
+    aggs = [a for i in range(size) for a in (F.avg(F.col("_r") * F.get("x", F.lit(i))).alias(f"_g{i}"), F.stddev_pop(F.get("x", F.lit(i))).alias(f"_s{i}"))]
+    by = each.groupBy("penalty").agg(F.first("_w").alias("_w"), F.avg("_r").alias("_g"), *aggs)
+
+    def away(i: int) -> Column:
+        b = F.get("_w", F.lit(i)) * F.col(f"_s{i}")
+        slope = F.try_divide(F.col(f"_g{i}"), f"_s{i}") - F.col("penalty") * (1 - mix) * b
+        return F.when(b == 0, F.greatest(F.lit(0.0), F.abs(slope) - F.col("penalty") * mix)).otherwise(F.abs(slope - F.col("penalty") * mix * F.signum(b)))
+
+    terms = [F.struct(F.lit(-1).alias("term"), F.abs("_g").alias("violation")), *[F.struct(F.lit(i).alias("term"), away(i).alias("violation")) for i in range(size)]]
+    return by.select("penalty", F.inline(F.array(*terms)))
 
 
 def side_design(blocks: DataFrame, interaction: bool = True) -> DataFrame:
@@ -210,9 +261,12 @@ def side_design(blocks: DataFrame, interaction: bool = True) -> DataFrame:
 
 
 def residuals(rows: DataFrame, penalty: float, mix: float = 1.0) -> DataFrame:
-    """Adds predicted and residual of y from the model of x fitted on all rows with both."""
-    model = LinearRegression(featuresCol="_v", labelCol="y", regParam=penalty, elasticNetParam=mix, maxIter=100).fit(_points(rows.where("y IS NOT NULL AND x IS NOT NULL")))
-    return model.transform(_points(rows)).withColumnRenamed("prediction", "predicted").withColumn("residual", F.col("y") - F.col("predicted")).drop("_v")
+    """Adds predicted and residual of y from the model of x fitted on all rows with both; null where there is no model."""
+    p, by = _joined_gram(rows, None)
+    w = elastic_path(by[0], list(range(p)), p, [penalty], mix)[0].tolist() if by else []
+    terms = F.zip_with(F.col("x").cast("array<double>"), F.array(*map(F.lit, w[1:])), lambda a, b: a * b)
+    value = F.aggregate(terms, F.lit(w[0]), lambda a, b: a + b) if w else F.lit(None).cast("double")
+    return rows.withColumn("predicted", value).withColumn("residual", F.col("y") - F.col("predicted"))
 
 
 def predict(rows: DataFrame, coefficients: DataFrame, vector: str, key: str) -> DataFrame:

@@ -5,13 +5,15 @@ Rows are reduced to sums of products on Spark; what reaches the driver is (folds
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.batched import lasso_step
+
 
 def gram(rows: DataFrame, vector: str, fold: str | None = None) -> dict[int, np.ndarray]:
     """By fold, the sums of products of (1, x) with itself. Vectors that are null or hold null or non-finite values take no part.
@@ -58,6 +60,24 @@ def squared_errors(g: np.ndarray, coef: np.ndarray, x: list[int], y: list[int])
     return np.diag(g[np.ix_(ys, ys)]) - 2 * np.einsum("ij,ij->j", coef, g[np.ix_(xs, ys)]) + np.einsum("ij,ik,kj->j", coef, g[np.ix_(xs, xs)], coef)
 
 
+def elastic_path(g: np.ndarray, x: list[int], y: int, penalties: Sequence[float], mix: float) -> list[np.ndarray]:
+    """Weights (intercept first, scale of the rows) of y on x by penalty, from cross products by coordinate descent with
+    covariance updates, each from the penalty before. The loss is half the mean square; the penalty is on columns scaled by
+    their deviation over n, mix its absolute part; a constant column has weight 0."""
+    n, xs = g[0, 0], [i + 1 for i in x]
+    mx, my = g[0, xs] / n, g[0, y + 1] / n
+    var = np.diag(g)[xs] / n - mx * mx
+    scale = np.where(var > 1e-12 * np.maximum(1.0, mx * mx), 1 / np.sqrt(np.maximum(var, 1e-300)), 0.0)
+    h = (g[np.ix_(xs, xs)] / n - np.outer(mx, mx)) * np.outer(scale, scale)
+    q = (g[xs, y + 1] / n - mx * my) * scale
+    w, ones, out = np.zeros(len(x)), np.ones(len(x)), []
+    for p in penalties:
+        w = lasso_step(h, q, w, ones * p * mix, ones * p * (1 - mix))
+        b = w * scale
+        out.append(np.r_[my - mx @ b, b])
+    return out
+
+
 def ridge(rows: DataFrame, vector: str, x: list[int], y: list[int], alpha: float = 0.0) -> DataFrame:
     """(response, term, coefficient); term -1 is the intercept. No rows give no coefficients."""
     g = gram(rows, vector).get(0)

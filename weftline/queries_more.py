@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import align as al
+from weftline.operators import batched as ba
 from weftline.operators import decoding as dc
 from weftline.operators import hmm
 from weftline.operators import history as hi
@@ -426,8 +427,8 @@ def _labelled(s: SparkSession, d: str) -> DataFrame:
 
 
 def _counts(s: SparkSession, d: str) -> DataFrame:
-    """Counts y of one element of a vector, with eight others as x."""
-    return _folded(s, d).select(F.col("fold").cast("int").alias("fold"), F.floor(F.abs(F.get("embedding", F.lit(0))) * 10).cast("double").alias("y"), F.slice(F.col("embedding").cast("array<double>"), 2, 8).alias("x"))
+    """Counts y of one element of a vector, with all others as x."""
+    return _folded(s, d).select(F.col("fold").cast("int").alias("fold"), F.floor(F.abs(F.get("embedding", F.lit(0))) * 10).cast("double").alias("y"), F.slice(F.col("embedding").cast("array<double>"), 2, 63).alias("x"))
 
 
 _add("m01_standardise", lambda s, d: dc.standardise(table(s, d, "embeddings"), ve.scaling(_units(s, d)), "embedding", "vec_id"), "vec_id unit ~z", "SELECT vec_id, unit, (x - m) / s AS z FROM lv JOIN (SELECT unit, avg(x) AS m, stddev_pop(x) AS s FROM lv GROUP BY 1 HAVING stddev_pop(x) > 0) USING (unit)", LONG)
@@ -467,7 +468,52 @@ QUERIES["m05_poisson"] = lambda s, d: dc.poisson(_counts(s, d))
 QUERIES["m10_reduced_rank"] = lambda s, d: dc.reduced_rank(_folded(s, d), "embedding", "fold", FIRST, SECOND)
 QUERIES["m10_nested_rank"] = lambda s, d: dc.nested_rank(_folded(s, d), "embedding", "fold", FIRST, SECOND)
 QUERIES["m11_decode"] = lambda s, d: dc.decode(_labelled(s, d)).select("vec_id", "fold", "label", "p", "reason")
-QUERIES["m12_decodability"] = lambda s, d: dc.decodability(_labelled(s, d), "vec_id", 5)
+QUERIES["m11_tuned"] = lambda s, d: dc.tuned(_labelled(s, d))
+QUERIES["m11_tuned_bins"] = lambda s, d: dc.tuned(_labelled(s, d).select("fold", "label", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.slice("x", 16 * b + 1, 16))).alias("bin", "x")), cell="bin")
+QUERIES["m12_decodability"] = lambda s, d: dc.decodability(_labelled(s, d), "vec_id", 20)
+
+
+def _conditions(rows: DataFrame, models: list[ba.Model], family: str, size: int) -> DataFrame:
+    """How far the fits of the models are from the conditions of an optimum."""
+    return ba.violations(rows, ba.fit(rows, models, family), family, size)
+
+
+def _type_counts(s: SparkSession, d: str) -> DataFrame:
+    """Hourly counts y of every type of event, in the order of the names, with two lags of each as x (lag 1 of all, then lag 2)."""
+    e = table(s, d, "events").where("event_type IS NOT NULL").groupBy(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / HOUR).alias("i"), "event_type").agg(F.count("*").cast("double").alias("n"))
+    names = sorted(r[0] for r in e.select("event_type").distinct().collect())
+    wide = e.groupBy("i").pivot("event_type", names).agg(F.first("n")).na.fill(0.0).select("i", F.array(*[F.col(f"`{n}`") for n in names]).alias("y"))
+    for lag in (1, 2):
+        wide = wide.join(wide.select((F.col("i") + lag).alias("i"), F.col("y").alias(f"y{lag}")), "i")
+    return ba.laid(wide.withColumn("x", F.concat("y1", "y2")), F.col("y"), fold=None)
+
+
+def _lags(s: SparkSession, d: str) -> tuple[DataFrame, int, list[list[int]], list[list[int]]]:
+    """Rows, the number of types, and by type the columns of its own lags and of those of all others."""
+    rows = _type_counts(s, d)
+    n = len(rows.select("y").first()[0])
+    return rows, n, [[r, n + r] for r in range(n)], [[c for c in range(2 * n) if c % n != r] for r in range(n)]
+
+
+def _poisson_models(s: SparkSession, d: str) -> DataFrame:
+    rows, n, own, other = _lags(s, d)
+    return _conditions(rows, [ba.Model(r, columns=tuple(range(2 * n))) for r in range(n)], "poisson", 2 * n)
+
+
+TERMS = "SELECT CAST(m AS INTEGER) AS model, CAST(t AS INTEGER) AS term, 0.0 AS violation FROM (SELECT unnest(range(0, {})) AS m) CROSS JOIN (SELECT unnest(range(-1, {})) AS t)"
+QUERIES["m06_poisson_granger"] = lambda s, d: ba.poisson_granger(*_lags(s, d))
+_add("m06_poisson_conditions", _poisson_models, "model term ~violation", TERMS.format("(SELECT count(DISTINCT event_type) FROM events)", "(SELECT 2 * count(DISTINCT event_type) FROM events)"))
+_add("m05_poisson_conditions", lambda s, d: _conditions(ba.laid(_counts(s, d), F.array("y")), [ba.Model(fold=k) for k in range(5)], "poisson", 63), "model term ~violation", TERMS.format(5, 63))
+_add("m11_conditions", lambda s, d: _conditions(ba.laid(_labelled(s, d), F.array("label")), [ba.Model(0, k, 0, None, p, e) for k in range(5) for p, e in dc.GRID], "logistic", 64), "model term ~violation", TERMS.format(75, 64))
+PENALTIES = (0.1, 0.03, 0.01, 0.003, 0.001)
+
+
+def _path_conditions(s: SparkSession, d: str) -> DataFrame:
+    rows = _folded(s, d).select(F.get("embedding", F.lit(0)).cast("double").alias("y"), F.slice(F.col("embedding").cast("array<double>"), 2, 63).alias("x"))
+    return dc.penalised_violations(rows, dc.penalised_weights(rows, PENALTIES, 0.5), 63, 0.5).withColumn("thousandths", F.round(F.col("penalty") * 1000).cast("int"))
+
+
+_add("m04_path_conditions", _path_conditions, "thousandths term ~violation", "SELECT a AS thousandths, CAST(t AS INTEGER) AS term, 0.0 AS violation FROM (SELECT unnest([100, 30, 10, 3, 1]) AS a) CROSS JOIN (SELECT unnest(range(-1, 63)) AS t)")
 QUERIES["m13_transfer"] = lambda s, d: dc.transfer(_labelled(s, d), F.col("fold") < 2, F.col("fold") > 2, "vec_id")
 QUERIES["m14_readouts"] = lambda s, d: dc.readouts(_labelled(s, d), _labelled(s, d).select(F.col("vec_id").alias("window"), "fold", "x"))
 QUERIES["m19_shattering"] = lambda s, d: dc.shattering(_labelled(s, d), ["0", "1", "2"], "vec_id")
