@@ -82,7 +82,7 @@ def tuned(rows: DataFrame, fold: str = "fold", grid: Sequence[tuple[float, float
     by = by.groupBy("cell", "candidate").agg(F.when(F.count_if(F.col("a").isNull()) == 0, F.avg("a")).alias("score"))
     by = by.join(F.broadcast(rows.sparkSession.createDataFrame([(i, float(p), float(e)) for i, (p, e) in enumerate(grid)], "candidate int, penalty double, mix double")), "candidate")
     best = F.max_by("candidate", F.when(F.col("score").isNotNull(), F.struct("score", -F.col("candidate")))).over(Window.partitionBy("cell"))
-    out = by.select("cell", "candidate", "penalty", "mix", "score", F.coalesce(F.col("candidate") == best, F.lit(False)).alias("chosen"))
+    out = by.select("cell", "candidate", "penalty", "mix", "score", F.coalesce(F.col("candidate") == best, F.lit(False)).alias("chosen")).orderBy("cell", "candidate")
     return out.withColumnRenamed("cell", cell) if cell else out.drop("cell")
 
 
