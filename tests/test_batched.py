@@ -10,7 +10,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import functions as F
 
 from weftline.operators import batched as ba
-from weftline.operators import decoding
+from weftline.operators import decoding, linear
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +96,17 @@ def test_chi_square_tail():
     for x, k, p in ((3.841458820694124, 1, 0.05), (5.991464547107979, 2, 0.05), (11.344866730144373, 3, 0.01), (9.487729036781154, 4, 0.05), (18.307038053275146, 10, 0.05)):
         assert math.isclose(ba.chi_square_tail(x, k), p, rel_tol=1e-9)
     assert ba.chi_square_tail(0.0, 3) == 1.0
+
+
+def test_cca_axes_pair_signs_and_leave_constants(spark):
+    rng = np.random.default_rng(2)
+    t = rng.normal(size=200)
+    z = np.column_stack([t + 0.1 * rng.normal(size=200), rng.normal(size=200), np.full(200, 4.0), -3 * t + 10 + 0.1 * rng.normal(size=200), rng.normal(size=200)])
+    rows = spark.createDataFrame([(r.tolist(),) for r in z], "z array<double>")
+    axes = linear.cca_axes(rows, "z", [0, 1, 2], [3, 4])
+    first = axes.first()
+    assert first["a"][0] > 0 and first["a"][2] == 0 and first["b"][0] < 0 and first["correlation"] > 0.98
+    assert np.allclose([r["correlation"] for r in axes.collect()], [r["correlation"] for r in linear.cca(rows, "z", [0, 1, 2], [3, 4]).collect()])
+    got = np.array([[*r["u"], *r["v"]] for r in linear.cca_transform(rows, axes, "z", [0, 1, 2], [3, 4]).collect()])
+    assert np.allclose(got.mean(0), 0, atol=1e-9) and np.allclose(got.std(0), 1) and abs(np.corrcoef(got[:, 0], got[:, 2])[0, 1] - first["correlation"]) < 1e-9
+    assert linear.cca_axes(rows.limit(0), "z", [0], [1]).count() == 0 and linear.cca_axes(rows, "z", [2], [3]).count() == 0

@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.batched import lasso_step
@@ -154,3 +154,47 @@ def cca(rows: DataFrame, vector: str, a: list[int], b: list[int], rcond: float =
             found = np.linalg.svd(whiten(pa_).T @ c[np.ix_(pa_, pb)] @ whiten(pb), compute_uv=False)
             out = [(i + 1, float(min(1.0, s))) for i, s in enumerate(found)]
     return rows.sparkSession.createDataFrame(out, "component int, correlation double")
+
+
+def cca_axes(rows: DataFrame, vector: str, a: list[int], b: list[int], rcond: float = 1e-9) -> DataFrame:
+    """(component from 1, correlation, a, b, a0, b0) with the axes as weights on the unscaled elements of either set, so
+    that a0 + sum(a * x) has mean 0 and variance 1. The largest weight of a (on scaled elements) is positive, and b has the
+    sign that pairs with it; constant elements weigh 0. No rows or a set without variance give no axes."""
+    g, out = gram(rows, vector).get(0), []
+    if g is not None:
+        c, keep = _scaled(g)
+        n, place = g[0, 0], {int(k): i for i, k in enumerate(keep)}
+        mean = g[0, 1:] / n
+        sd = np.sqrt(np.maximum(np.diag(g)[1:] / n - mean * mean, 0))
+        used = [[i for i in side if i in place] for side in (a, b)]
+
+        def whiten(side: list[int]) -> np.ndarray:
+            at = [place[i] for i in side]
+            values, vectors = np.linalg.eigh(c[np.ix_(at, at)])
+            good = values > rcond * max(values.max(initial=0), 1)
+            return vectors[:, good] / np.sqrt(values[good])
+
+        if all(used):
+            wa, wb = whiten(used[0]), whiten(used[1])
+            u, r, vt = np.linalg.svd(wa.T @ c[np.ix_([place[i] for i in used[0]], [place[i] for i in used[1]])] @ wb, full_matrices=False)
+            axes = wa @ u, wb @ vt.T
+            for k, value in enumerate(r):
+                sign = np.sign(axes[0][np.argmax(np.abs(axes[0][:, k])), k])
+                full = []
+                for side, own, w in zip((a, b), used, axes, strict=True):
+                    weight = dict(zip(own, sign * w[:, k] / sd[own], strict=True))
+                    full.append([float(weight.get(i, 0.0)) for i in side])
+                offsets = [-float(np.dot(w, mean[side])) for w, side in zip(full, (a, b), strict=True)]
+                out.append((k + 1, float(min(1.0, value)), *full, *offsets))
+    return rows.sparkSession.createDataFrame(out, "component int, correlation double, a array<double>, b array<double>, a0 double, b0 double")
+
+
+def cca_transform(rows: DataFrame, axes: DataFrame, vector: str, a: list[int], b: list[int]) -> DataFrame:
+    """Rows with u and v, arrays of their scores on all axes (as `cca_axes` gives them) of either set."""
+    found = axes.orderBy("component").collect()
+
+    def scores(side: list[int], name: str) -> Column:
+        own = F.transform(F.lit(side), lambda i: F.get(F.col(vector), i).cast("double"))
+        return F.array(*[F.aggregate(F.zip_with(own, F.lit(r[name]), lambda x, w: x * w), F.lit(r[name + "0"]), lambda s, t: s + t) for r in found])
+
+    return rows.withColumn("u", scores(a, "a")).withColumn("v", scores(b, "b"))

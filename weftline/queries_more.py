@@ -447,6 +447,19 @@ def _component_products(s: SparkSession, d: str) -> DataFrame:
 
 _add("m07_score_products", _component_products, "i j ~product", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 0.0 AS product FROM (SELECT unnest(range(64)) AS i) CROSS JOIN (SELECT unnest(range(64)) AS j) WHERE i < j")
 QUERIES["m07_components_to_reach"] = lambda s, d: dc.components_to_reach(li.pca(table(s, d, "embeddings"), "embedding"))
+
+
+def _axis_products(s: SparkSession, d: str) -> DataFrame:
+    """Means of products of scores (u then v, from 0) less what the axes state: 1 with itself, the correlation with its pair, else 0."""
+    rows = table(s, d, "embeddings")
+    axes = li.cca_axes(rows, "embedding", FIRST, SECOND)
+    each = li.cca_transform(rows, axes, "embedding", FIRST, SECOND).select(F.concat("u", "v").alias("z"))
+    pairs = each.select("z", F.posexplode("z").alias("i", "a")).select("i", "a", F.posexplode("z").alias("j", "b")).where("i <= j").groupBy("i", "j").agg(F.avg(F.col("a") * F.col("b")).alias("m"))
+    stated = F.when(F.col("i") == F.col("j"), 1.0).when(F.col("j") == F.col("i") + len(FIRST), F.col("correlation")).otherwise(0.0)
+    return pairs.join(F.broadcast(axes.select("component", "correlation")), F.col("component") == F.col("i") + 1, "left").select("i", "j", (F.col("m") - stated).alias("product"))
+
+
+_add("m09_axis_products", _axis_products, "i j ~product", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 0.0 AS product FROM (SELECT unnest(range(64)) AS i) CROSS JOIN (SELECT unnest(range(64)) AS j) WHERE i <= j")
 QUERIES["m09_cca_regions"] = lambda s, d: li.cca(table(s, d, "embeddings"), "embedding", FIRST, SECOND)
 _add("m08_window_variance", lambda s, d: dc.window_variance(_units(s, d).where("unit <= 12").withColumnsRenamed({"unit": "component", "x": "score"}).withColumn("win", F.col("vec_id") % 7), ["win"]), "win component n ~variance ~fraction place ~cumulative n_to_share status",
      "SELECT *, min(place) FILTER (WHERE cumulative >= 0.8 - 1e-12) OVER (PARTITION BY win) AS n_to_share, 'ok' AS status FROM (SELECT *, sum(fraction) OVER (PARTITION BY win ORDER BY place) AS cumulative FROM (SELECT *, variance / sum(variance) OVER (PARTITION BY win) AS fraction, row_number() OVER (PARTITION BY win ORDER BY variance DESC, component) AS place FROM (SELECT vec_id % 7 AS win, unit AS component, count(*) AS n, var_samp(x) AS variance FROM lv WHERE unit <= 12 GROUP BY 1, 2)))", LONG)
