@@ -42,6 +42,24 @@ def test_pulses_of_a_noisy_line(spark):
     assert got == [(100, 110), (300, 315)]
 
 
+def test_reference_spectra_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    density = rng.gamma(2, 1, (31, 4))
+    density[3, 1], density[5, 2], density[:, 3] = np.nan, 0, 0
+    rows = [(i, f, float(density[i, f]), i % 4 != 0) for i in range(31) for f in range(4)] + [(40, 0, None, True)]
+    df = spark.createDataFrame(rows, "series int, f int, density double, ok boolean")
+    reference = spectra.reference_spectrum(df, "ok")
+    want = np.nanmedian(density[[i for i in range(31) if i % 4]], axis=0)
+    assert np.allclose([r["reference"] for r in reference.orderBy("f").collect()], want)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        db = np.where((density > 0) & (want > 0), 10 * np.log10(density / want), np.nan)
+    levels = spectra.spectrum_levels(df, reference)
+    assert all((r["db"] is None) if r["series"] == 40 or np.isnan(db[r["series"], r["f"]]) else abs(r["db"] - db[r["series"], r["f"]]) < 1e-9 for r in levels.collect())
+    got = {r["f"]: (r["n"], r["median"], r["low"], r["high"]) for r in spectra.quartiles(levels, ["f"], "db").collect()}
+    assert sorted(got) == [0, 1, 2] and [got[f][0] for f in range(3)] == [31, 30, 30]  # nothing at a reference of 0
+    assert all(np.allclose(got[f][1:], np.nanpercentile(db[:, f], [50, 25, 75])) for f in range(3))
+
+
 def test_debounce(spark):
     rows = [(0, 0.0, 1), (0, 1.0, 0), (0, 1.01, 1), (0, 2.0, 0), (0, 3.0, 1), (0, 3.02, 0), (0, 9.0, 1), (1, 0.0, 1), (1, 5.0, 1), (1, 6.0, 0)]
     got = spectra.debounce(spark.createDataFrame(rows, "line int, t double, state int"), 0.1).collect()

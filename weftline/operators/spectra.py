@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ranks import quantiles
+
 TAU = 2 * math.pi
 
 
@@ -142,9 +144,29 @@ def coherence(a: DataFrame, b: DataFrame, rate: float, size: int) -> DataFrame:
     return sums.select("series", "f", (F.col("f") * rate / size).alias("frequency"), "segments", F.least(value, F.when(value.isNotNull(), 1.0)).alias("coherence"))
 
 
-def spectrum_levels(spectra: DataFrame, reference: float) -> DataFrame:
-    """Densities (series, frequency, density) in dB over a reference density; null where the density is 0."""
-    return spectra.withColumn("db", F.when(F.col("density") > 0, 10 * F.log10(F.col("density") / reference)))
+def reference_spectrum(spectra: DataFrame, valid: str | None = None) -> DataFrame:
+    """F, reference: the median over trials of the densities (series, f, density), of those rows alone where the column
+    `valid` is true; null densities do not count, and a frequency without any has no row. Ranges of density, not a
+    frequency, are a task's share."""
+    rows = spectra.where(F.col(valid)) if valid else spectra
+    return quantiles(rows.where(~F.isnan("density")), ["f"], "density", [0.5]).withColumnRenamed("q0", "reference")
+
+
+def spectrum_levels(spectra: DataFrame, reference: DataFrame) -> DataFrame:
+    """Adds to (series, f, density) the reference (f, reference) and db over it, null where either is null, 0 or not finite.
+
+    The reference has a row a frequency, so it is small whatever the trials are.
+    """
+    fine = lambda c: (F.col(c) > 0) & (F.col(c) < math.inf)
+    met = spectra.join(F.broadcast(reference.select("f", "reference")), "f", "left")
+    return met.withColumn("db", F.when(fine("density") & fine("reference"), 10 * F.log10(F.col("density") / F.col("reference"))))
+
+
+def quartiles(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """By key (few, of many rows) how many values there are, their median, and 25th and 75th percentile; nulls and NaN do not count."""
+    held = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
+    n = held.groupBy(*keys).agg(F.count("*").alias("n"))
+    return n.join(quantiles(held, keys, value, [0.5, 0.25, 0.75]).withColumnsRenamed({"q0": "median", "q1": "low", "q2": "high"}), list(keys))
 
 
 def running_median(samples: DataFrame, half: int = 3, pad: bool = True) -> DataFrame:

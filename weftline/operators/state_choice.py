@@ -118,9 +118,15 @@ def _chunk_sums(p: pd.DataFrame, groups: Sequence[Group], before: np.ndarray, af
     return np.concatenate(out)
 
 
-def _pass(rows: DataFrame, groups: Sequence[Group], inputs: int) -> list[np.ndarray]:
-    """The sums of _chunk_sums over all rows (session, chunk, i, x, y, fold, last_fold), by group and model."""
+def _pass(rows: DataFrame, groups: Sequence[Group], inputs: int, whole: bool) -> list[np.ndarray]:
+    """The sums of _chunk_sums over all rows (session, chunk, i, x, y, fold, last_fold), by group and model.
+
+    With `whole` every session is one chunk, whose ends are known: any chances before its first row, which begins anew,
+    and none to weigh after its last one.
+    """
     kind = dict(rows.dtypes)["session"]
+    # by number, so that tasks that are long for their few bytes are not put together
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "session", "chunk")
     shapes = [(len(g.out), g.states) for g in groups]
 
     def transfer(p: pd.DataFrame) -> pd.DataFrame:
@@ -155,9 +161,16 @@ def _pass(rows: DataFrame, groups: Sequence[Group], inputs: int) -> list[np.ndar
         if total is not None:
             yield pd.DataFrame({"v": [total]})
 
+    def alone(p: pd.DataFrame) -> pd.DataFrame:
+        before = np.concatenate([np.full(f * k, 1 / k) for f, k in shapes])
+        return pd.DataFrame({"v": [_chunk_sums(p.sort_values("i"), groups, before, np.ones(len(before)))]})
+
     matrices = rows.groupBy("session", "chunk").applyInPandas(transfer, f"session {kind}, chunk bigint, m array<double>")
     vectors = matrices.groupBy("session").applyInPandas(ends, f"session {kind}, chunk bigint, before array<double>, after array<double>")
-    each = rows.groupBy("session", "chunk").cogroup(vectors.groupBy("session", "chunk")).applyInPandas(sums, "v array<double>")
+    if whole:
+        each = rows.groupBy("session", "chunk").applyInPandas(alone, "v array<double>")
+    else:
+        each = rows.groupBy("session", "chunk").cogroup(vectors.groupBy("session", "chunk")).applyInPandas(sums, "v array<double>")
     cells = each.mapInPandas(add, "v array<double>").select(F.posexplode("v").alias("p", "v")).groupBy("p").agg(F.sum("v").alias("v")).toPandas()
     flat, out, at = cells.sort_values("p")["v"].to_numpy(), [], 0
     for g in groups:
@@ -211,7 +224,7 @@ def sweep(rows: DataFrame, states: Sequence[int], folds: int = 5, logistic: bool
     log-likelihood gains less than the tolerance, or after `steps`; figures are those of the parameters returned. A
     null y has no defined result; an empty table or a y without spread gives no models.
     """
-    first = rows.agg(F.max(F.size("x")).alias("p"), F.stddev_pop("y").alias("s"), F.avg("y").alias("m")).first()
+    first = rows.agg(F.max(F.size("x")).alias("p"), F.stddev_pop("y").alias("s"), F.max("i").alias("last")).first()
     if first["p"] is None or not first["s"]:
         return []
     p, cuts = first["p"], sorted({(j + 0.5) / k for k in states for j in range(k)})
@@ -228,7 +241,7 @@ def sweep(rows: DataFrame, states: Sequence[int], folds: int = 5, logistic: bool
     done, before = [], [np.full(folds + 1, -math.inf) for _ in groups]
     with written(data) as held:
         for n in range(steps + 1):
-            found, going, since = _pass(held, groups, p), [], []
+            found, going, since = _pass(held, groups, p, first["last"] < chunk), [], []
             for g, sums, b in zip(groups, found, before, strict=True):
                 end = (sums[:, 0] - b < tolerance * np.maximum(sums[:, 1], 1)) | (n == steps)
                 for j in np.flatnonzero(end):

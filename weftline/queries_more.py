@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import align as al
+from weftline.operators import assembly as asm
 from weftline.operators import batched as ba
 from weftline.operators import decoding as dc
 from weftline.operators import hmm
@@ -16,11 +17,12 @@ from weftline.operators import points as po
 from weftline.operators import policies as pl
 from weftline.operators import sessions as se
 from weftline.operators import spectra as sp
+from weftline.operators import state_choice as sc
 from weftline.operators import summaries as su
 from weftline.operators import targets as tg
 from weftline.operators import vectors as ve
 from weftline.plans.standins import table, trials, trials_of
-from weftline.queries import BLOCKS, COUNTERS, HOUR, LONG, MICRO_SQL, NB, QUERIES, RUNS, SIDED, SQL, VALID, _add, _centres, _folded, _micros, _points, _stream
+from weftline.queries import BLOCKS, COUNTERS, HOUR, LONG, MICRO_SQL, NB, QUERIES, RUNS, SIDED, SQL, VALID, WELCH, _add, _centres, _folded, _micros, _points, _stream
 from weftline.sources import tables as so
 from weftline.streaming import live
 
@@ -569,6 +571,46 @@ QUERIES["m22_linear_hmm"] = lambda s, d: _fitted(s, d)
 QUERIES["m22_logistic_hmm"] = lambda s, d: _fitted(s, d, True)
 QUERIES["m23_gaussian_hmm"] = lambda s, d: s.createDataFrame([(k, float(w[0]), float(v)) for m in [hmm.fit(_sequence(s, d), 3, steps=6)] for k, (w, v) in enumerate(zip(m.weights, m.deviations, strict=True))], "state int, mean double, deviation double")
 
+def _by_parity(s: SparkSession, d: str) -> DataFrame:
+    """Each user's values with whether their place is odd as the input."""
+    return _sequence(s, d).withColumn("x", F.array((F.col("i") % 2).cast("double")))
+
+
+def _one_state(s: SparkSession, d: str) -> DataFrame:
+    """What one state comes to: least squares without each held-out stretch, and how likely the stretch is under it."""
+    models = sc.sweep(_by_parity(s, d), [1], 5, steps=2, tolerance=0.0)
+    cells = [(m.out, m.n, m.held_n, m.loglik / m.n, m.held_loglik / m.held_n if m.held_n else None, float(m.weights[0, 0]), float(m.weights[0, 1]), float(m.deviations[0])) for m in models]
+    return s.createDataFrame(cells, "fold int, n bigint, held_n bigint, loglik double, held_out double, intercept double, slope double, deviation double")
+
+
+# Stretches of each user's rows, the first n % 5 of them a row longer.
+STRETCH = """, ys AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, coalesce(value, 0)::DOUBLE AS y, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+sx AS (SELECT session, i, (i % 2)::DOUBLE AS x, y, CASE WHEN i < n % 5 * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - n % 5 * (n // 5 + 1)) // greatest(n // 5, 1) END AS fold FROM ys),
+md AS (SELECT k.fold, s.fold = k.fold AS held, x, y FROM sx s CROSS JOIN (SELECT unnest(range(-1, 5)) AS fold) k),
+lr AS (SELECT fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) AS n, sqrt(regr_syy(y, x) / count(*) * (1 - regr_r2(y, x))) AS sd FROM md WHERE NOT held GROUP BY 1)"""
+_add("m22_stretches", lambda s, d: sc.lengths_of(_sequence(s, d), 5), "session fold first n", "SELECT session, fold, min(i) AS first, count(*) AS n FROM sx GROUP BY 1, 2", STRETCH)
+_add("m22_one_state", _one_state, "fold n held_n ~loglik ~held_out ~intercept ~slope ~deviation",
+     "SELECT fold, any_value(lr.n) AS n, count(*) FILTER (WHERE held) AS held_n, -ln(any_value(sd) * sqrt(2 * pi())) - avg(((y - a - b * x) / sd) ^ 2) FILTER (WHERE NOT held) / 2 AS loglik, -ln(any_value(sd) * sqrt(2 * pi())) - avg(((y - a - b * x) / sd) ^ 2) FILTER (WHERE held) / 2 AS held_out, any_value(a) AS intercept, any_value(b) AS slope, any_value(sd) AS deviation FROM md JOIN lr USING (fold) GROUP BY 1", STRETCH)
+QUERIES["m22_state_choice"] = lambda s, d: sc.scores(s, sc.sweep(_by_parity(s, d), [1, 2, 3], 5, steps=30))
+
+
+def _user_spectra(s: SparkSession, d: str) -> DataFrame:
+    """Densities of each user's values, a user being a trial."""
+    rows = _sequence(s, d).select("session", "i", F.col("y").alias("v"))
+    return asm.welch(rows.withColumnRenamed("session", "series"), 1.0, 32)
+
+
+def _levels(s: SparkSession, d: str) -> DataFrame:
+    spectra = _user_spectra(s, d)
+    return sp.spectrum_levels(spectra, sp.reference_spectrum(spectra))
+
+
+BY_USER = WELCH.replace("event_type", "user_id") + """, rf AS (SELECT f, quantile_cont(density, 0.5) AS reference FROM psd GROUP BY 1),
+db AS (SELECT series, f, reference, CASE WHEN density > 0 AND reference > 0 THEN 10 * log10(density / reference) END AS db FROM psd JOIN rf USING (f))"""
+_add("g11_levels", _levels, "series f ~reference ~db", "SELECT series, f, reference, db FROM db", BY_USER)
+_add("g11_level_quartiles", lambda s, d: sp.quartiles(_levels(s, d), ["f"], "db"), "f n ~median ~low ~high",
+     "SELECT f, count(db) AS n, quantile_cont(db, 0.5) AS median, quantile_cont(db, 0.25) AS low, quantile_cont(db, 0.75) AS high FROM db WHERE db IS NOT NULL GROUP BY 1", BY_USER)
+
 # The panel of policies; its SQL walks the history one trial at a time.
 PANEL = SIDED + """, pw(session, rn, seq, same, paid, home, n, away, run, pooled, fq) AS (
   SELECT session, 0::BIGINT, NULL::BIGINT, 0, 0, -1, 0, 0, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM v WHERE rn = 1
