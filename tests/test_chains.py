@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from weftline.operators import chains, hmm
+from weftline.operators import state_choice as sc
 
 KIND = "session string, i long, x array<double>, y double"
 
@@ -78,3 +79,9 @@ def test_long_sessions_are_chunks_with_known_ends(spark):
         assert np.allclose(a.weights, b.weights, atol=1e-7) and np.allclose(a.transitions, b.transitions, atol=1e-9) and abs(a.loglik - b.loglik) < 1e-7
     told = {(r["session"], r["chunk"]): r for r in chains.packed(df, 7, ["x"], ["y"]).collect()}
     assert told["s40", 5]["first"] == 35 and len(told["s40", 5]["x"]) == len(told["s40", 5]["y"]) == 5
+
+
+def test_a_session_without_a_name_is_in_every_model(spark):
+    df = spark.createDataFrame(uneven(), KIND)
+    a, b = (sc.sweep(d, [1, 2], 3, steps=2) for d in (df, df.withColumn("session", F.coalesce("session", F.lit("none")))))
+    assert [(m.n, m.held_n) for m in a] == [(m.n, m.held_n) for m in b] and all(abs(x.loglik - y.loglik) < 1e-6 for x, y in zip(a, b, strict=True))
