@@ -308,3 +308,27 @@ def test_penalties_of_inner_folds_against_numpy(spark):
                 assert np.isclose(got[name, o][1], 1 - error(fold != o, fold == o, a, b, best) / ((y - y.mean(0)) ** 2).sum())
             assert got[name, o][0] == best
     assert (("forward", None) in got) and decoding.nested_rank(df.where("fold < 2"), "v", "fold", [0, 1], [2], alphas).count() == 0
+
+
+def test_shuffle_null_ships_each_spike_once_and_counts_trials_over_stretches(spark):
+    rng = random.Random(5)
+    phase = {(s, t, i): rng.uniform(0, 6) for s in "ab" for t in range(5) for i in range(30) if rng.random() < 0.8} | {("c", 0, i): 1.0 for i in range(30)}
+    spikes = [(s, rng.randrange(1 if s == "c" else 5), rng.choice(["u", None]), rng.randrange(30)) for s in "aabbc" for _ in range(40)]
+    df = spark.createDataFrame(spikes, "session string, trial long, unit string, i long")
+    ph = spark.createDataFrame([(*k, p) for k, p in phase.items()], "session string, trial long, i long, phase double")
+    plan = [(k, r["session"], r["source"], r["target"]) for r in points.derangements(ph.select("session", "trial"), 6).collect() for k in [r["shuffle"]]]
+    plan += [(-1, s, t, t) for s, n in (("a", 5), ("b", 5), ("c", 1)) for t in range(n)]
+    want = {}
+    for k, s, source, target in plan:
+        for s2, t, u, i in spikes:
+            if (s2, t) == (s, source) and (s, target, i) in phase:
+                want.setdefault((k, s, u), []).append((t, phase[s, target, i]))
+    for width in (4096, 7):
+        observed, null = points.shuffle_null(df, ph, 6, width=width)
+        assert "explode(sequence" not in null._jdf.queryExecution().toString()  # no row for each spike and shuffle
+        got = {(r["shuffle"], r["session"], r["unit"]): r for r in null.collect()} | {(-1, r["session"], r["unit"]): r for r in observed.collect()}
+        assert set(got) == set(want)
+        for key, met in want.items():
+            c = np.cos(np.subtract.outer([p for _, p in met], [p for _, p in met]))
+            n = len(met)
+            assert (got[key]["n"], got[key]["trials"]) == (n, len({t for t, _ in met})) and (n < 2 or abs(got[key]["ppc"] - (c.sum() - n) / (n * (n - 1))) < 1e-9)
