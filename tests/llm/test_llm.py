@@ -199,3 +199,18 @@ def test_empty_tables(spark):
     found = [simhash.near_duplicates(docs), exact_dedup.exact_dedup(docs), substring.digests(substring.remove_repeats(docs)), mixing.mix(docs), pieces.round_trip(docs), token_counts.token_counts(docs)]
     found += [toxicity.toxicity(docs, labels), quality.quality(docs, labels), langid.identify(docs)]
     assert [f.count() for f in found] == [0] * len(found)
+
+
+def test_pieces_of_one_key_are_placed_by_the_first_column():
+    encoder = pieces.Encoder(read(PIECES))
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 3, (400, 3)).astype(np.uint64)
+    rows = rows[np.lexsort(rows.T[::-1])]
+    over = np.iinfo(np.uint64).max
+    for beyond, rest in ((False, 0), (True, over)):
+        short = np.array([[k, rest, rest] for k in range(5)], np.uint64)
+        want = [next((i for i, r in enumerate(rows.tolist()) if r > w or (r == w and not beyond)), len(rows)) for w in short.tolist()]
+        assert encoder._search([rows[:, 0].copy(), None, None], short, beyond).tolist() == want  # no other column is read
+        every = np.array([[a, b, c] for a in range(4) for b in (0, 1, 2, over) for c in (0, 1, over)], np.uint64)
+        want = [next((i for i, r in enumerate(rows.tolist()) if r > w or (r == w and not beyond)), len(rows)) for w in every.tolist()]
+        assert encoder._search([rows[:, k].copy() for k in range(3)], every, beyond).tolist() == want

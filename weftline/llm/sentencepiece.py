@@ -82,11 +82,18 @@ class Encoder:
         return edges.reshape(n + 1, self.v.longest + 1)
 
     def _search(self, ordered: list[np.ndarray], wanted: np.ndarray, beyond: bool) -> np.ndarray:
-        low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(ordered[0]), np.int64)
+        """Places of the wanted rows among the ordered ones: the first not under each, or, with `beyond`, the first over it.
+
+        The first column alone places a piece of up to four letters; others are looked for among the rows that share it.
+        """
+        low, high = (np.searchsorted(ordered[0], wanted[:, 0], side) for side in ("left", "right"))
+        # all rows are at or over zeros, and none is over the greatest number
+        short = (wanted[:, 1:] == (np.iinfo(np.uint64).max if beyond else 0)).all(axis=1)
+        (low if beyond else high)[short] = (high if beyond else low)[short]
         while (open_ := np.flatnonzero(low < high)).size:
             middle = (low[open_] + high[open_]) // 2
             less, same = np.zeros(len(open_), bool), np.ones(len(open_), bool)
-            for k, column in enumerate(ordered):
+            for k, column in enumerate(ordered[1:], 1):
                 value, want = column[middle], wanted[open_, k]
                 less |= same & (value < want)
                 same &= value == want
