@@ -2,10 +2,13 @@
 
 import math
 import random
+import subprocess
+import sys
 import time
 import tracemalloc
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +128,36 @@ def test_memory_of_a_text_of_30_mb():
     assert len(text) > 30_000_000 and peak < 400e6
 
 
+#: In a process of its own: the most memory, in MB beyond what it began with, that counting n-grams of 8 MB of random letters takes.
+GRAMS = """
+import re, numpy as np, pyarrow as pa
+from weftline.llm import ngrams, toxicity
+most = lambda: int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+letters = np.random.default_rng(5).integers(97, 123, 8_000_000, np.uint8).tobytes().decode()
+texts = [letters[i : i + 2_000] for i in range(0, len(letters), 2_000)]
+batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 2 for i in range(len(texts))])], ["text", "y"])
+before = most()
+{}
+print(most() - before)
+"""
+
+
+@pytest.mark.parametrize("work, limit", [("ngrams.present(texts[:250], (4, 5, 6), 22)", 90), ("[b.num_rows for b in toxicity.frequencies([batch], (4, 5, 6), 22, 6000)]", 64)])
+def test_memory_of_counting_ngrams(work, limit):
+    out = subprocess.run([sys.executable, "-c", GRAMS.format(work)], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(out.stdout) < limit
+
+
+def test_frequencies_by_class():
+    texts, y = ["abcd abcd", "abcd", "", "xyz", "abcd"] * 30, [1, 0, 0, 1, 1] * 30
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 40]), pa.array(y[i : i + 40])], ["text", "y"]) for i in range(0, len(texts), 40)]
+    rows = [r for b in toxicity.frequencies(iter(batches), (4,), 12, 300) for r in b.to_pylist()]
+    pos, neg = Counter(), Counter()
+    for t, label in zip(texts, y, strict=True):
+        (pos if label else neg).update(ngrams.present([t], (4,), 12)[1].tolist())
+    assert {r["bucket"]: (r["pos"], r["neg"]) for r in rows} == {k: (pos[k], neg[k]) for k in pos | neg} and len(rows) == len(pos | neg)
+
+
 def test_toxicity_learns_and_ranks(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

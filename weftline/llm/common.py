@@ -133,6 +133,13 @@ def lookup(big: DataFrame, small: DataFrame, key: str, weight: str, spread: str)
     return met.select(*big.columns, *[F.coalesce(f"_h_{c}", f"_l_{c}").alias(c) for c in values])
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order. By sorting: the hash table of np.unique takes many times the time, and memory that
+    the worker keeps."""
+    s = np.sort(values)
+    return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
+
+
 def by_size(texts: list, most: int, overlap: int) -> Iterator[list[tuple[int, str, int]]]:
     """Lists of (row, piece, own) of at most about `most` characters; longer texts are cut into pieces that overlap, of which
     the first `own` characters are a piece's own."""

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from weftline.llm.common import by_size
+from weftline.llm.common import by_size, distinct
 
 MULTIPLIER = np.uint32(0x01000193)
 MIX = np.uint32(0x9E3779B1)
@@ -52,11 +52,11 @@ def present(texts: list, orders: tuple[int, ...], bits: int, table: np.ndarray |
             else:
                 feature = table[at[places]].astype(np.int64)
                 key = (rows * width + feature - 1)[feature > 0]
-            keys.append(np.unique(key))
+            keys.append(distinct(key))
             new += len(keys[-1])
         if new > held:
-            merged, keys, new = np.unique(np.concatenate([merged, *keys])), [], 0
-    key = np.unique(np.concatenate([merged, *keys]))
+            merged, keys, new = distinct(np.concatenate([merged, *keys])), [], 0
+    key = distinct(np.concatenate([merged, *keys]))
     return key // width, key % width
 
 

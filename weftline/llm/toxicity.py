@@ -49,6 +49,24 @@ def sample_labels(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     return ids.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < keep * (1 << 30)).withColumn("w", 1 / keep)
 
 
+def frequencies(batches: Iterator[pa.RecordBatch], orders: tuple[int, ...], bits: int, most: int) -> Iterator[pa.RecordBatch]:
+    """bucket, pos, neg: in how many of the rows (text, y), of which no class has over `most`, each bucket is, by class.
+
+    The tally is of a whole task, so its size is fixed; texts are read and the tally is returned by small parts.
+    """
+    tally = np.zeros((2, 1 << bits), np.min_scalar_type(most))
+    for b in batches:
+        for at, texts in slices(b.column(0), 1 << 17):
+            rows, buckets = present(texts.to_pylist(), orders, bits)
+            one = b.column(1).slice(at, len(texts)).to_numpy(zero_copy_only=False)[rows] == 1
+            np.add.at(tally[1], buckets[one], 1)
+            np.add.at(tally[0], buckets[~one], 1)
+    for low in range(0, 1 << bits, 100_000):
+        part = tally[:, low : low + 100_000]
+        has = np.flatnonzero(part.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (low + has, part[1, has], part[0, has])], ["bucket", "pos", "neg"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, orders: tuple[int, ...] = (4, 5, 6), bits: int = 22, features: int = 16384, least_docs: int = 4, reg: float = 1e-3) -> ToxicityModel:
     """Learns from at most about per_class labelled rows of a class (a documented bound; the sample is broadcast ids).
 
@@ -65,20 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, orders: tuple
         prior = 0.5 if not n1 + n0 else (n1 + 0.5) / (n1 + n0 + 1)
         return ToxicityModel(orders, bits, table, np.zeros(1), float(np.log(prior / (1 - prior))))
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = np.zeros((2, 1 << bits), np.int32)  # of a whole task, by class: its size is fixed
-        for b in batches:
-            for at, texts in slices(b.column(0), 1 << 19):
-                rows, buckets = present(texts.to_pylist(), orders, bits)
-                one = b.column(1).slice(at, len(texts)).to_numpy(zero_copy_only=False)[rows] == 1
-                np.add.at(tally[1], buckets[one], 1)
-                np.add.at(tally[0], buckets[~one], 1)
-        has = np.flatnonzero(tally.any(axis=0))
-        for i in range(0, len(has), 100_000):
-            at = has[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (at, tally[1, at], tally[0, at])], ["bucket", "pos", "neg"])
-
-    df = train.select("text", "y").mapInArrow(frequencies, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    df = train.select("text", "y").mapInArrow(lambda batches: frequencies(batches, orders, bits, max(n1, n0)), "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     rate = lambda c, n: (F.col(c) + 0.5) / (n + 1.0)
     both = (F.col("pos") + F.col("neg") + 1.0) / (n1 + n0 + 2.0)
     gain = lambda p, n: n * (p * F.log(p / both) + (1 - p) * F.log((1 - p) / (1 - both)))
