@@ -63,6 +63,14 @@ def test_the_linear_model_is_fitted_to_its_optimum(spark):
     assert abs(got[0]["aic"] - 2 * 9 + 2 * got[0]["loglik"]) < 1e-6
 
 
+def test_the_gaussian_model_is_fitted_to_its_optimum(spark):
+    rows = more._sequence(spark, SF)
+    weights, sd, moves, told = plain(*sessions(rows), 3)
+    assert len(told) > 100  # far from done after six steps
+    got = sorted(more.QUERIES["m23_gaussian_hmm"](spark, SF).collect(), key=lambda r: r["state"])
+    assert np.allclose([r["mean"] for r in got], weights[:, 0], rtol=5e-3) and np.allclose([r["deviation"] for r in got], sd, rtol=5e-3)
+
+
 def normal(spark):
     """Two states that overlap, so that EM goes slowly."""
     rng, rows = np.random.default_rng(7), []
